@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, shuffle_shards, url_filter
+from . import decontaminate, shuffle_shards, tiff, token_files, url_filter
 
 
 def queries():
     return {
         "op2_external_shuffle": shuffle_shards.op2_external_shuffle,
+        "op3_tiff": tiff.op3_tiff,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op7_url_filter": url_filter.op7_url_filter,
+        "op8_token_files": token_files.op8_token_files,
     }
 
 
