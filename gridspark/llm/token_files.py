@@ -11,6 +11,7 @@ nothing. A second file says where in the stream each document lies.
 from __future__ import annotations
 
 import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from .common import documents, materialise, running_before, scratch_path, shuffl
 LENGTH = 1024
 BATCH = 256
 FILE_TOKENS = 32 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 SMALL_BATCH = 512
 
 
@@ -48,12 +49,14 @@ class WordTokenizer:
         self.capacity = capacity
         self.dtype = np.uint16 if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.known: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.pack = [struct.Struct(f"={n}{np.dtype(self.dtype).char}").pack for n in range(65)]
         self.stops = {c: self._whole(c) for c in ".,"}
         self.ends_word = np.zeros(self.model.get_vocab_size(with_added_tokens=True), bool)
         for token, k in self.model.get_vocab(with_added_tokens=True).items():
             self.ends_word[k] = token.endswith("</w>")
-        self.piecewise = all(self._whole(f"{a}{s}{b}") == self._whole(a) + self._whole(b) for s in " \n" for a in ("the", "x.", "9") for b in ("one", "'s", ",")) and all(self.ends_word[np.frombuffer(self._whole(w), self.dtype)].sum() == 1 for w in ("the", "zqxjk"))
+        self.piecewise = all(self._whole(f"{a}{s}{b}") == self._whole(a) + self._whole(b) for s in " \n" for a in ("the", "x.", "9") for b in ("one", "'s", ",")) and all(
+            self.ends_word[ids := np.frombuffer(self._whole(w), self.dtype)].sum() == 1 and [t.id for t in self.model.model.tokenize(w)] == ids.tolist() for w in ("the", "zqxjk")
+        )
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -75,29 +78,40 @@ class WordTokenizer:
         return out
 
     def _learn(self, fresh: list[str]) -> None:
-        """Ids of new pieces. Words, alone or before one stop or comma, are
-        encoded many at a time: each ends with its one end-of-word id."""
-        known, words, rest = self.known, [], []
+        """Ids of new pieces. Of a word before one stop or comma, or of other
+        case, those of the word are used; ASCII words go to the model as they
+        are (nothing in front of it would change them), other words many at a
+        time, as each ends with its one end-of-word id."""
+        known, new, tails, rest = self.known, {}, [], []
         for p in fresh:
             word = p.lower() if p.isascii() else p
-            tail = word[-1] if word[-1] in ".," and len(word) > 1 else ""
-            word = word[: len(word) - len(tail)]
-            (words if word.isalpha() and word.isascii() else rest).append((p, word, tail))
-        todo = list({w for _, w, _ in words})
-        for at in range(0, len(todo), 512):
-            some = todo[at : at + 512]
+            tail = word[-1] if word[-1] in ".," else ""
+            word = word[:-1] if tail else word
+            if not word.isalpha():
+                rest.append(p)
+                continue
+            if word not in known and word not in new:
+                new[word] = b""
+            tails.append((p, word, tail))
+        tokenize, pack = self.model.model.tokenize, self.pack
+        others = []
+        for w in new:
+            if w.isascii():
+                new[w] = pack[len(ids := [t.id for t in tokenize(w)])](*ids) if len(w) < 64 else self._whole(w)
+            else:
+                others.append(w)
+        for at in range(0, len(others), 256):
+            some = others[at : at + 256]
             ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, self.dtype)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(some):
-                raise ValueError("a word has not one end-of-word id")
-            data, size, start = ids.tobytes(), ids.itemsize, 0
-            for w, end in zip(some, ends.tolist()):
-                self.words[w] = data[start * size : end * size]
-                start = end
-        for p, word, tail in words:
-            known[p] = self.words[word] + (self.stops[tail] if tail else b"")
-        self.words.clear()
-        for p, _, _ in rest:
+            if len(ends) == len(some):
+                new.update(zip(some, (x.tobytes() for x in np.split(ids, ends[:-1]))))
+            else:  # a letter whose lower case is no letter alone
+                new.update((w, self._whole(w)) for w in some)
+        for p, word, tail in tails:
+            ids = new[word] if word in new else known[word]
+            known[p] = ids + self.stops[tail] if tail else ids
+        for p in rest:
             known[p] = self._whole(p)
 
 
