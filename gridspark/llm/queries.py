@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, shuffle_shards, tiff, token_files, url_filter
+from . import decontaminate, mixing, shuffle_shards, tiff, token_files, url_filter
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op2_external_shuffle": shuffle_shards.op2_external_shuffle,
         "op3_tiff": tiff.op3_tiff,
         "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op6_mix": mixing.op6_mix,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_token_files": token_files.op8_token_files,
     }
@@ -18,5 +19,6 @@ def queries():
 def oracle_sql():
     return {
         "op5_decontaminate": decontaminate.ORACLE,
+        "op6_mix": mixing.ORACLE,
         "op7_url_filter": url_filter.oracle(),
     }
