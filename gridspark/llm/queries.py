@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_dedup, shuffle_shards, tiff, token_files, url_filter
+from . import decontaminate, line_dedup, mixing, near_dedup, shuffle_shards, tiff, token_files, url_filter
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_token_files": token_files.op8_token_files,
         "op9_near_dedup": near_dedup.op9_near_dedup,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
 
