@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, near_dedup, shuffle_shards, tiff, token_files, url_filter
+from . import decontaminate, line_dedup, mixing, near_dedup, shuffle_shards, tiff, token_files, toxicity, url_filter
 
 
 def queries():
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_external_shuffle": shuffle_shards.op2_external_shuffle,
         "op3_tiff": tiff.op3_tiff,
         "op5_decontaminate": decontaminate.op5_decontaminate,

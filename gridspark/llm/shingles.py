@@ -56,10 +56,10 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         first = last
 
 
-def _sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
+def _words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts laid end to end, and each text's first word."""
     n = len(data)
-    data = _fold[data]
-    space = _space[data]
+    space = breaks[data]
     before, after = np.ones(n + 1, bool), np.ones(n + 1, bool)
     before[1:] = space
     before[offsets] = True
@@ -72,7 +72,11 @@ def _sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarr
     sums = np.zeros(n + 1, _U)
     np.cumsum((data.astype(_U) + _U(1)) * power[:n], out=sums[1:])
     words = mixed((sums[ends] - sums[starts]) * unpower[starts] + (ends - starts).astype(_U))
-    edges = np.searchsorted(starts, offsets)
+    return words, np.searchsorted(starts, offsets)
+
+
+def _sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    words, edges = _words(_fold[data], offsets, _space)
     if len(words) >= k:
         joined = words[: len(words) - k + 1].copy()
         for i in range(1, k):
@@ -96,3 +100,18 @@ def minhashes(items: np.ndarray, factors: np.ndarray) -> np.ndarray:
     for i in range(0, len(items), 2048):
         np.minimum(least, (items[None, i : i + 2048] * factors[:, None]).min(axis=1), out=least)
     return (least >> _U(32)).astype("<u4")
+
+
+def hashed_words(texts: pa.Array, breaks: np.ndarray, chunk: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of texts: the 64-bit hashes of their words, one text after the
+    other, and where each text's words begin (one more than texts). ``breaks``
+    says of each byte value whether it stands between words; A to Z fold."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None and texts.buffers()[2].size else np.zeros(0, np.uint8)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + chunk, "right")) - 1)
+        at = offsets[first : last + 1]
+        yield _words(_fold[data[at[0] : at[-1]]], at - at[0], breaks)
+        first = last
