@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, near_dedup, shuffle_shards, tiff, token_files, toxicity, url_filter
+from . import decontaminate, line_dedup, lm_scoring, mixing, near_dedup, shuffle_shards, tiff, token_files, toxicity, url_filter
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_external_shuffle": shuffle_shards.op2_external_shuffle,
         "op3_tiff": tiff.op3_tiff,
+        "op4_attention_lm": lm_scoring.op4_attention_lm,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_mix": mixing.op6_mix,
         "op7_url_filter": url_filter.op7_url_filter,

@@ -56,8 +56,8 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         first = last
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of texts laid end to end, and each text's first word."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts laid end to end start and end."""
     n = len(data)
     space = breaks[data]
     before, after = np.ones(n + 1, bool), np.ones(n + 1, bool)
@@ -67,12 +67,21 @@ def _words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[n
     after = np.append(after[1:], True)
     after[offsets[1:][offsets[1:] > 0] - 1] = True
     starts = np.flatnonzero(~space & before[:n])
-    ends = np.flatnonzero(~space & after[:n]) + 1
+    return starts, np.flatnonzero(~space & after[:n]) + 1
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts laid end to end, and each text's first word."""
+    starts, ends = word_spans(data, offsets, breaks)
+    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    n = len(data)
     power, unpower = _grown(n + 1)
     sums = np.zeros(n + 1, _U)
     np.cumsum((data.astype(_U) + _U(1)) * power[:n], out=sums[1:])
-    words = mixed((sums[ends] - sums[starts]) * unpower[starts] + (ends - starts).astype(_U))
-    return words, np.searchsorted(starts, offsets)
+    return mixed((sums[ends] - sums[starts]) * unpower[starts] + (ends - starts).astype(_U))
 
 
 def _sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -95,11 +104,11 @@ def _sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarr
 
 
 def minhashes(items: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """For each odd factor, the high half of the least product with an item."""
+    """For each odd factor, the low half of the least product with an item."""
     least = np.full(len(factors), np.iinfo(_U).max, _U)
-    for i in range(0, len(items), 2048):
-        np.minimum(least, (items[None, i : i + 2048] * factors[:, None]).min(axis=1), out=least)
-    return (least >> _U(32)).astype("<u4")
+    for i in range(0, len(items), 512):
+        np.minimum(least, (items[None, i : i + 512] * factors[:, None]).min(axis=1), out=least)
+    return least.astype("<u4")
 
 
 def hashed_words(texts: pa.Array, breaks: np.ndarray, chunk: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
