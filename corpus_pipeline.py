@@ -1,11 +1,77 @@
-"""The corpus pipeline: a stage after the other, each on all that the one before kept."""
+"""The corpus pipeline: toxicity, near-duplicates, benchmark decontamination,
+mixing to source weights, token files.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all documents that the stage
+before it kept, and returns a DataFrame; ``run`` writes that as Parquet in the
+shared folder and reads it back as the next stage's ``docs``. All but the last
+return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridspark.llm.common import documents, materialise, word_count
+from gridspark.llm.decontaminate import find_contamination
+from gridspark.llm.mixing import copies, mix
+from gridspark.llm.near_dedup import near_duplicates
+from gridspark.llm.token_files import token_table
+from gridspark.llm.toxicity import THRESHOLD, classify, corpus_model
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below both 0.3 and the threshold of their
+    language, or that the classifier has no reason to reject: a document goes
+    where its score reaches the higher of the two."""
+    scored = classify(docs, corpus_model(spark, docs, sf_dir))
+    return scored.where(F.col("score") < F.greatest("threshold", F.lit(THRESHOLD))).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates stays, that of the
+    smallest doc_id. Documents without words are linked with nothing and stay.
+    Rows that share a doc_id are one document here: they stay or go together."""
+    found = near_duplicates(docs)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    return docs.join(gone.join(kept, "doc_id", "left_anti"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words lie in a benchmark window."""
+    found = find_contamination(docs, documents(spark, sf_dir, "benchmark"))
+    return found.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: their words taken, in whole
+    documents to the nearest number, so from never to twice."""
+    mixed = mix(docs.withColumn("_words", word_count(F.col("text"))), size="_words")
+    times = F.sequence(F.lit(1), copies(F.col("_words"), F.col("taken")))
+    mixed = mixed.where(copies(F.col("_words"), F.col("taken")) > 0)
+    return mixed.withColumn("_copy", F.explode(times)).select(*docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents, and what is read back of each."""
+    return token_table(spark, docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token files", write_tokens),
+]
+
+#: SQL cannot express the trained classifier of the first stage.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
