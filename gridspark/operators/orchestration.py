@@ -40,7 +40,8 @@ class Workflow:
         self.tasks[task.name] = task
 
     def depend(self, task: str, on: str) -> None:
-        self.tasks[task].needs.append(on)
+        if on not in self.tasks[task].needs:
+            self.tasks[task].needs.append(on)
 
     def remove(self, name: str) -> None:
         self.tasks.pop(name)
