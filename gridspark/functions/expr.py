@@ -107,3 +107,12 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(F.size(a) != F.size(b), 0.0).when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
+
+
+def wind_speed(u: Column, v: Column) -> Column:
+    return F.sqrt(u * u + v * v)
+
+
+def matched(names: Column, wanted: str) -> Column:
+    """Whether any of the names contains the wanted text."""
+    return F.array_join(names, ",").contains(wanted)

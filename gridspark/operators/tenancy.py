@@ -142,3 +142,36 @@ def checksum(df: DataFrame, by: list[str]) -> DataFrame:
     parts = df.withColumns({"_a": F.pmod(h, F.lit(1 << 31)), "_b": F.shiftrightunsigned(h, 33)}).groupBy(*by)
     out = parts.agg(F.count(F.lit(1)).alias("n"), F.sum("_a").alias("a"), F.sum("_b").alias("b"))
     return out.select(*by, "n", F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("checksum"))
+
+
+#: What a research tenant gets if nothing else is said.
+RESEARCH_QUOTA = {"storage_tb": 10.0, "compute_hours": 1000.0, "jobs": 10.0, "memory_gb": 128.0, "gpu": 0.0, "bandwidth_gbps": 1.0}
+
+
+def available(requests: DataFrame, state: DataFrame, resources=RESOURCES) -> DataFrame:
+    """Requests (tenant_id, request_<resource>...) against tenants (tenant_id,
+    active, used_..., quota_...): ``granted`` and the ``reasons`` why not."""
+    out = requests.join(state, "tenant_id", "left")
+    over = [F.when(F.col(f"used_{r}") + F.col(f"request_{r}") > F.col(f"quota_{r}"), F.lit(f"{r} would exceed its quota")) for r in resources if f"request_{r}" in requests.columns]
+    known = F.when(F.col("active").isNull(), F.lit("no such tenant")).when(~F.col("active"), F.lit("tenant is not active"))
+    reasons = F.array_compact(F.array(known, *over))
+    return out.withColumns({"reasons": reasons, "granted": F.size(reasons) == 0})
+
+
+def grant(acl: DataFrame, new: DataFrame) -> DataFrame:
+    """Grants are appended; of one key the latest holds when access is checked."""
+    return acl.unionByName(new)
+
+
+def is_member(owner: Column, members: Column, who: Column) -> Column:
+    return (owner == who) | F.coalesce(F.array_contains(members, who), F.lit(False))
+
+
+def without_tenant(tenants: DataFrame, tenant: str) -> DataFrame:
+    return tenants.where(F.col("tenant_id") != tenant)
+
+
+def monthly_reset(events: DataFrame, at: int, resources: tuple[str, ...] = ("compute_hours", "jobs")) -> DataFrame:
+    """Events that bring the monthly resources of every tenant to 0 at ``at``."""
+    left = events.where(F.col("resource").isin(*resources)).groupBy("tenant_id", "resource").agg((-F.sum("amount")).alias("amount"))
+    return events.unionByName(left.withColumn("event_id", F.lit(at).cast(dict(events.dtypes)["event_id"])).select(*events.columns))

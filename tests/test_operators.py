@@ -242,3 +242,24 @@ def test_each_batch_and_windows(spark, tmp_path, sf):
     q = ingest.each_batch(stream, lambda b: quality.range_check(b.withColumnRenamed("event_type", "variable"), 0.0, 150.0), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_facade_and_rights(spark):
+    from gridspark.plans import facade
+
+    _, df = spiked(spark)
+    v = {r.variable: r for r in facade.validate(df, ["lat_idx", "lon_idx"], [quality.range_check]).collect()}
+    assert v[None].n_failed == 2 and v["temperature"].passed
+    rec = spark.createDataFrame([("a", ["t"], True, 1), ("a", ["u"], False, 2), ("b", ["t"], True, 3)], "data_source string, variables array<string>, passed boolean, ts int")
+    assert [r.ts for r in facade.history(rec, source="a").collect()] == [2, 1]
+    assert [r.ts for r in facade.history(rec, variable="t", passed=True, since=F.lit(2)).collect()] == [3]
+    assert [r.ts for r in facade.latest(rec, 2).collect()] == [2, 3]
+    done = spark.createDataFrame([(1, "completed"), (1, "failed")], "execution_id int, status string")
+    assert facade.completion(done).first().percent == 50.0
+    state = spark.createDataFrame([("a", True, 2.0, 3.0)], "tenant_id string, active boolean, used_jobs double, quota_jobs double")
+    req = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("z", 1.0)], "tenant_id string, request_jobs double")
+    got = {(r.tenant_id, r.request_jobs): (r.granted, list(r.reasons)) for r in tenancy.available(req, state, ("jobs",)).collect()}
+    assert got[("a", 1.0)][0] and got[("a", 2.0)] == (False, ["jobs would exceed its quota"]) and got[("z", 1.0)] == (False, ["no such tenant"])
+    acl = spark.createDataFrame([("r", "user", "u", ["read"], None, 1)], "resource_id string, grantee_kind string, grantee string, permissions array<string>, expires_at int, granted_at int")
+    gone = spark.createDataFrame([("r", "user", "u")], "resource_id string, grantee_kind string, grantee string")
+    assert tenancy.grant(acl, acl).count() == 2 and tenancy.revoke(acl, gone).count() == 0
