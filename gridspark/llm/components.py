@@ -22,15 +22,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     todo = materialise(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(low, high).distinct(), "edges")
     found = None
     while not todo.isEmpty():
+        first = todo
         parents = _roots(materialise(todo.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent")), "parents"))
         for end in ("a", "b"):
             p = parents.select(F.col("id").alias(end), "parent")
             todo = todo.join(p, end, "left").withColumn(end, F.coalesce("parent", end)).drop("parent")
-        todo = materialise(todo.where("a <> b").select(low, high).distinct(), "edges")
+        before, todo = first, materialise(todo.where("a <> b").select(low, high).distinct(), "edges")
+        discard(before)
         if found is not None:
             above = parents.select(F.col("id").alias("parent"), F.col("parent").alias("above"))
             kept = found.join(above, "parent", "left").select("id", F.coalesce("above", "parent").alias("parent"))
-            parents = materialise(kept.unionByName(parents), "parents")
+            before, parents = (found, parents), materialise(kept.unionByName(parents), "parents")
+            for table in before:
+                discard(table)
         found = parents
     if found is None:
         return todo.select(F.col("b").alias("id"), F.col("a").alias("component"))

@@ -1,7 +1,7 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Texts become sets of word shingles, equal sets one vertex. Every vertex has a
-sketch of 64 minwise tokens. A tree sends a vertex down the branches of one or
+sketch of minwise tokens. A tree sends a vertex down the branches of one or
 two of its minwise tokens (so many that, on average, one of them is common to
 two sets at the threshold); a node holds the vertices that agree on all tokens
 of its path. Small nodes are compared exhaustively, others branch again, and
@@ -9,7 +9,7 @@ independent trees are repeated until the target recall. Every link is confirmed
 on the full sets.
 
 Copies of copies need not meet in all pairs: each vertex is first held against
-the smallest of its node, and from then on only vertices of different components
+its likeliest partner, and from then on only vertices of different components
 are compared.
 """
 
@@ -24,18 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, documents, materialise, shuffle_partitions
-from .components import connected_components
+from .common import documents, materialise, shuffle_partitions
+from .nodes import linked
 from .shingles import minhashes, shingle_sets
 
 SHINGLE, PERCENT = 5, 85
-TOKENS = 64
-TREES = 12
-#: A node with so few vertices outside its largest component is compared exhaustively.
+#: Minwise tokens of a sketch; the first of them, kept at full length, make paths.
+TOKENS, PATH_TOKENS = 256, 64
+TREES, ROOT_DEPTH = 20, 2
+#: Nodes of so many vertices are compared exhaustively.
 SMALL = 16
 LEVELS = 12
-#: Of 64 tokens two sets at 85 % share 54.4 on average, with a deviation of 2.9: fewer than this is 6 deviations below.
-LEAST_TOKENS = 37
+#: Two sets at the threshold share that part of the tokens; pairs so many deviations below it are not compared in full.
+DEVIATIONS = 5
 #: The sketch says little about sets of fewer shingles; they go to the full comparison.
 SKETCHED_FROM = 64
 #: Texts compared with one leader in a group.
@@ -44,28 +45,37 @@ _RNG = np.random.default_rng(20240501)
 FACTORS = (_RNG.integers(0, 1 << 63, TOKENS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def root_tokens(trees: int, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """The (tree, token) branches at the roots: 1/threshold of them a tree on average."""
-    n = round(trees * 100 / percent)
-    return [(i % trees, i % TOKENS) for i in range(n)]
+def roots(trees: int, percent: int) -> list[list[int]]:
+    """The branches of all trees at the first two levels, as the tokens of their
+    paths: of each tree as many as make two sets at the threshold share one."""
+    n = round(trees * (100 / percent) ** ROOT_DEPTH)
+    return [[(ROOT_DEPTH * i + d) % PATH_TOKENS for d in range(ROOT_DEPTH)] for i in range(n)]
+
+
+def least_common(percent: int) -> int:
+    p = percent / 100
+    return max(0, int(TOKENS * p - DEVIATIONS * (TOKENS * p * (1 - p)) ** 0.5))
 
 
 def with_sets(df: DataFrame, text: str) -> DataFrame:
     """``df`` without the text, and vertex (a digest of the shingle set, null for
-    an empty one), n_shingles, sketch."""
+    an empty one), n_shingles, path (the first tokens), sketch (all tokens, cut
+    to 8 bits)."""
     kept = [f for f in df.schema.fields if f.name != text]
-    added = [T.StructField("vertex", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("sketch", T.BinaryType())]
+    added = [T.StructField("vertex", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("path", T.BinaryType()), T.StructField("sketch", T.BinaryType())]
     at, keep = df.columns.index(text), [i for i, c in enumerate(df.columns) if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, sketches = [], [], []
+            digests, sizes, paths, sketches = [], [], [], []
             for items in shingle_sets(batch.column(at), SHINGLE):
                 digests.append(digest_of(items))
                 sizes.append(len(items))
-                sketches.append(minhashes(items, FACTORS).tobytes() if len(items) else None)
-            arrays = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *arrays], [*(batch.schema.names[i] for i in keep), "vertex", "n_shingles", "sketch"])
+                tokens = minhashes(items, FACTORS) if len(items) else None
+                paths.append(None if tokens is None else tokens[:PATH_TOKENS].tobytes())
+                sketches.append(None if tokens is None else tokens.astype(np.uint8).tobytes())
+            arrays = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(paths, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *arrays], [*(batch.schema.names[i] for i in keep), "vertex", "n_shingles", "path", "sketch"])
 
     return df.mapInArrow(run, T.StructType([*kept, *added]))
 
@@ -89,41 +99,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     """
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     base = materialise(with_sets(docs, "t"), "sets")
-    vertices = base.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("k").alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    vertices = base.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("k").alias("first"), *(F.first(c).alias(c) for c in ("n_shingles", "path", "sketch")))
     vertices = materialise(vertices, "vertices")
-
-    # Roots: rows (node, vertex) of nodes with company.
-    branches = [F.xxhash64(F.lit(t), F.lit(c), F.substring("sketch", 4 * c + 1, 4)) for t, c in root_tokens(trees, percent)]
-    rows = materialise(_shared(vertices.select(F.explode(F.array(*branches)).alias("node"), "vertex")), "nodes")
-    stars = rows.where("vertex <> leader").select(F.col("leader").alias("a"), F.col("vertex").alias("b")).distinct()
-    links = _confirmed(_alike(stars, vertices, percent), vertices, docs, percent)
-    label = connected_components(links)
-
-    found, level = [], 0
-    rows = rows.select("node", "vertex")
-    while True:
-        small, large = _apart(rows, label)
-        found.append(small)
-        level += 1
-        if large is None or large.isEmpty():
-            break
-        if level == LEVELS:  # nothing is left out: what still stands together is compared in full
-            found.append(_across(large, None))
-            break
-        tokens = large.join(vertices.select("vertex", "sketch"), "vertex")
-        pick = lambda salt: F.pmod(F.xxhash64("node", F.lit(level), F.lit(salt)), F.lit(TOKENS)).cast("int")
-        twice = F.pmod(F.xxhash64("node", F.lit(level), F.lit("twice")), F.lit(percent)) < 100 - percent
-        picks = F.when(twice, F.array(pick("a"), pick("b"))).otherwise(F.array(pick("a")))
-        tokens = tokens.withColumn("pick", F.explode(picks)).withColumn("next", F.xxhash64("node", "pick", F.expr("substring(sketch, 4 * pick + 1, 4)")))
-        rows = materialise(_shared(tokens.select(F.col("next").alias("node"), "vertex")), "nodes").select("node", "vertex")
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = materialise(pairs.distinct(), "pairs")
-    if not pairs.isEmpty():
-        more = _confirmed(_alike(pairs, vertices, percent), vertices, docs, percent)
-        if not more.isEmpty():
-            label = connected_components(more.unionByName(label.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    token = lambda c: F.substring("path", 4 * c + 1, 4)
+    branches = [F.xxhash64(F.lit(i), *map(token, tokens)) for i, tokens in enumerate(roots(trees, percent))]
+    rows = vertices.select(F.explode(F.array(*branches)).alias("node"), "vertex")
+    tokens = vertices.select("vertex", F.transform(F.sequence(F.lit(0), F.lit(PATH_TOKENS - 1)), lambda i: F.substring("path", 4 * i + 1, F.lit(4))).alias("tokens"))
+    label, _ = linked(
+        rows,
+        tokens,
+        PATH_TOKENS,
+        percent,
+        SMALL,
+        LEVELS,
+        lambda pairs: alike(pairs, vertices, percent),
+        lambda pairs: texts_of(pairs, vertices, docs),
+        lambda pairs, texts: confirmed(pairs, texts, percent),
+    )
 
     member = label.select(F.col("id").alias("vertex"), "component")
     member = member.unionByName(label.select(F.col("component").alias("vertex"), "component").distinct())
@@ -135,69 +127,45 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     return out.select(F.col("k").alias(key), "n_shingles", F.when(F.col("vertex").isNull(), F.col("k")).otherwise(F.col("component_id")).alias("component_id"), "vertex")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that hold more than one vertex, with the node's smallest."""
-    counts = rows.groupBy("node").agg(F.min("vertex").alias("leader"), F.max("vertex").alias("other"))
-    return rows.join(counts.where("leader <> other").select("node", "leader"), "node")
-
-
-def _apart(rows: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Of nodes with several components: pairs across components of those that
-    are small, and the rows of the others, to be branched further."""
-    rows = rows.join(label.select(F.col("id").alias("vertex"), "component"), "vertex", "left")
-    rows = rows.select("node", "vertex", F.coalesce("component", "vertex").alias("component"))
-    sizes = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("major"), (F.sum("n") - F.max("n")).alias("minor"))
-    rows = materialise(rows.join(sizes.where("minor > 0"), "node"), "nodes")
-    return _across(rows, SMALL), rows.where(F.col("minor") > SMALL).select("node", "vertex")
-
-
-def _across(rows: DataFrame, most: int | None) -> DataFrame:
-    """Pairs of a node's vertices of different components, each once. With
-    ``most``, only of nodes with so few vertices outside the largest component,
-    so that a vertex meets that many others at most."""
-    if most is None:
-        rows = rows.withColumns({"component": F.col("vertex"), "major": F.lit(b"")})
-    else:
-        rows = rows.where(F.col("minor") <= most)
-    few = rows.where("component <> major").select("node", F.col("vertex").alias("v"), F.col("component").alias("c"))
-    both = rows.join(few, "node").where("component <> c AND (component = major OR vertex < v)")
-    return both.select(F.least("vertex", "v").alias("a"), F.greatest("vertex", "v").alias("b"))
-
-
-def _alike(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and sketches allow a link."""
+def alike(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes and tokens allow a link, with one document's key of either
+    and the number of common tokens."""
     for end in ("a", "b"):
-        v = vertices.select(F.col("vertex").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}"), F.col("first").alias(f"k{end}"))
-        pairs = pairs.join(v, end)
-    pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    least = LEAST_TOKENS if percent == PERCENT else max(0, int(TOKENS * percent / 100 - 6 * (TOKENS * percent * (100 - percent)) ** 0.5 / 100))
+        pairs = pairs.join(vertices.select(F.col("vertex").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n_shingles", "sketch"))), end)
+    sizes = F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent
+    least = least_common(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, TOKENS) for i in (4, 5))
+                one, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, TOKENS) for i in (4, 5))
+                common = (one == other).sum(axis=1)
                 small = np.minimum(batch.column(2).to_numpy(), batch.column(3).to_numpy()) < SKETCHED_FROM
-                yield batch.select([0, 1, 6, 7]).filter(pa.array(small | ((sa == sb).sum(axis=1) >= least)))
+                kept = batch.select([0, 1]).append_column("common", pa.array(common, pa.int64()))
+                yield kept.filter(pa.array(small | (common >= least)))
+
+    ordered = pairs.where(sizes).select("a", "b", *(f"{c}_{end}" for c in ("n_shingles", "sketch") for end in "ab"))
+    return ordered.mapInArrow(run, "a binary, b binary, common long")
 
-    key = dict(vertices.dtypes)["first"]
-    return pairs.select("a", "b", "na", "nb", "sa", "sb", "ka", "kb").mapInArrow(run, f"a binary, b binary, ka {key}, kb {key}")
 
+def texts_of(pairs: DataFrame, vertices: DataFrame, docs: DataFrame) -> DataFrame:
+    """vertex and text of one document of each vertex in the pairs. A text comes
+    by its document's key; where keys repeat, the set's digest tells later which
+    of the texts is meant."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().join(vertices.select("vertex", "first"), "vertex")
+    return materialise(docs.join(wanted, docs["k"].eqNullSafe(wanted["first"])).select("vertex", "t"), "texts")
 
-def _confirmed(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links among the pairs, by the full sets of one document each.
 
-    Pairs are grouped by their first vertex, in groups of about ``GROUP``; a
-    group is its leader's text and those to be held against it. A text comes by
-    its document's key; where the key is not unique, the set's digest tells
-    which of the texts is meant."""
-    pairs = materialise(pairs, "pairs")
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links among the pairs, by the full sets. Pairs are grouped by their first
+    vertex, in groups of about ``GROUP``; a group is its leader's text and those
+    to be held against it."""
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     salt = F.pmod(F.xxhash64("b"), F.expr(f"n div {GROUP}L + 1"))
-    salted = pairs.join(counts, "a").select(F.xxhash64("a", salt).alias("g"), "a", "b", "ka", "kb")
-    want = salted.select("g", F.lit(1).alias("part"), F.col("b").alias("v"), F.col("kb").alias("k"), "a")
-    want = want.unionByName(salted.select("g", F.lit(0).alias("part"), F.col("a").alias("v"), F.col("ka").alias("k"), "a").distinct())
-    texts = want.alias("w").join(docs.alias("d"), F.col("w.k").eqNullSafe(F.col("d.k"))).select("w.g", "w.part", "w.v", "w.a", "d.t")
+    salted = pairs.join(counts, "a").select(F.xxhash64("a", salt).alias("g"), "a", "b")
+    want = salted.select("g", F.lit(1).alias("part"), F.col("b").alias("vertex"), "a")
+    want = want.unionByName(salted.select("g", F.lit(0).alias("part"), F.col("a").alias("vertex"), "a").distinct())
+    texts = want.join(texts, "vertex").select("g", "part", "vertex", "a", "t")
     texts = texts.repartition(shuffle_partitions(pairs.sparkSession), "g").sortWithinPartitions("g", "a", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,37 +2,64 @@
 
 A node may hold any number of vertices, so none is ever listed in one place:
 company is found by sums, and pairs come from joins that give each vertex a
-bounded number of partners.
+bounded number of partners. A small node is compared exhaustively. Of a large
+one each vertex is compared with the smallest, and the node branches on further
+tokens until its parts are small.
+
+Candidates are scored by sketches first. Each vertex then tries its likeliest
+partner; most pairs fall inside a component after that and need no comparison.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
+from .components import connected_components
+
+
+#: How often each vertex tries its likeliest partner before all pairs are compared.
+BEST_FIRST = 1
+
+
+#: Tokens of a branch.
+DEPTH = 2
+#: Levels at which a node may have two branches. Below, vertices that still stand together are so alike that a second branch would only repeat them.
+TWOFOLD = 4
+
 
+def _branches(level: int, n_tokens: int, percent: int) -> Column:
+    """The branches of a node, each as the places of its tokens: at the first
+    levels one or two, so many on average that two sets at the threshold share
+    one."""
+    chance = round(1e6 * ((100 / percent) ** DEPTH - 1))
+    pick = lambda salt: F.pmod(F.xxhash64("node", F.lit(level), F.lit(salt)), F.lit(n_tokens)).cast("int")
+    one, other = (F.array(*(pick(f"{name}{d}") for d in range(DEPTH))) for name in "ab")
+    twice = F.pmod(F.xxhash64("node", F.lit(level), F.lit("twice")), F.lit(1_000_000)) < chance
+    return F.when(twice, F.array(one, other)).otherwise(F.array(one)) if level <= TWOFOLD else F.array(one)
 
-def shared(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that hold more than one vertex, with the node's smallest as ``leader``."""
-    ends = rows.groupBy("node").agg(F.min("vertex").alias("leader"), F.max("vertex").alias("other"))
-    return rows.join(ends.where("leader <> other").select("node", "leader"), "node")
 
+def company(rows: DataFrame) -> DataFrame:
+    """Rows of nodes that hold more than one vertex, with ``n``, how many, and
+    ``leader``, the smallest."""
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("vertex").alias("leader"))
+    return rows.join(sizes.where("n > 1"), "node")
 
-def stars(rows: DataFrame) -> DataFrame:
-    """Each vertex with its node's leader: pairs (a, b), each once."""
-    return rows.where("vertex <> leader").select(F.col("leader").alias("a"), F.col("vertex").alias("b")).distinct()
 
+def relabelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    known = label.select(F.col("id").alias("component"), F.col("component").alias("_found"))
+    return rows.join(known, "component", "left").withColumn("component", F.coalesce("_found", "component")).drop("_found")
 
-def apart(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """Rows of nodes that hold vertices of different components: node, vertex,
-    component, major (the component of most) and minor (how many are not of it).
-    ``label`` has the component of each ``id`` that is not the smallest of its own."""
-    rows = rows.select("node", "vertex").join(label.select(F.col("id").alias("vertex"), "component"), "vertex", "left")
-    rows = rows.select("node", "vertex", F.coalesce("component", "vertex").alias("component"))
+
+def apart(rows: DataFrame) -> DataFrame:
+    """Rows of nodes that hold several components, with major (the component of
+    most vertices) and minor (how many are not of it)."""
     sizes = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("major"), (F.sum("n") - F.max("n")).alias("minor"))
-    return materialise(rows.join(sizes.where("minor > 0"), "node"), "nodes")
+    return rows.join(sizes.where("minor > 0"), "node")
 
 
 def across(rows: DataFrame) -> DataFrame:
@@ -44,25 +71,94 @@ def across(rows: DataFrame) -> DataFrame:
     return both.select(F.least("vertex", "v").alias("a"), F.greatest("vertex", "v").alias("b"))
 
 
-def branch_until_small(rows: DataFrame, label: DataFrame, sketches: DataFrame, tokens: int, percent: int, small: int, levels: int) -> DataFrame:
-    """Pairs across components of all nodes, each once. A node with more than
-    ``small`` vertices outside its largest component branches on one or two
-    tokens of the vertices' ``sketch`` (an array), chosen by the node; what is
-    still large after ``levels`` is compared as it is, so nothing is left out."""
-    found = []
+def linked(
+    rows: DataFrame,
+    tokens: DataFrame,
+    n_tokens: int,
+    percent: int,
+    small: int,
+    levels: int,
+    score: Callable[[DataFrame], DataFrame],
+    fetch: Callable[[DataFrame], DataFrame],
+    confirm: Callable[[DataFrame, DataFrame], DataFrame],
+) -> tuple[DataFrame, list[DataFrame]]:
+    """Components of the vertices of ``rows`` (node, vertex), as (id, component),
+    and the links that made them.
+
+    ``score`` takes pairs (a, b), drops those that cannot be links and adds
+    ``common``, higher for likelier ones; ``fetch`` takes these and returns what
+    it needs of their vertices; ``confirm`` takes pairs and that, and returns
+    the links among them. A node of more than ``small`` vertices branches on
+    ``tokens`` of the vertices (vertex, tokens: an array), chosen by the node. What is still large after ``levels`` is compared across its components
+    once the other links are known, so nothing is left out.
+    """
+    links: list[DataFrame] = []
+    pairs, held = [], []
     for level in range(1, levels + 1):
-        rows = apart(rows, label)
-        found.append(across(rows.where(F.col("minor") <= small) if level < levels else rows))
-        rows = rows.where(F.col("minor") > small).select("node", "vertex")
-        if level == levels or rows.isEmpty():
+        rows = materialise(company(rows), "nodes")
+        held.append(rows)
+        few = rows.where(F.col("n") <= small).select("node", "vertex")
+        other = few.select("node", F.col("vertex").alias("b"))
+        pairs.append(few.join(other, "node").where("vertex < b").select(F.col("vertex").alias("a"), "b"))
+        large = rows.where(F.col("n") > small)
+        pairs.append(large.where("vertex <> leader").select(F.col("leader").alias("a"), F.col("vertex").alias("b")))
+        if level == levels or large.isEmpty():
+            break
+        # The tokens are looked up once; from then on the rows, few by now, carry them.
+        further = large.select("node", "vertex", "tokens") if level > 1 else large.select("node", "vertex").join(tokens, "vertex")
+        further = further.withColumn("pick", F.explode(_branches(level, n_tokens, percent)))
+        own = (F.element_at("tokens", F.col("pick")[d] + 1) for d in range(DEPTH))
+        rows = further.select(F.xxhash64("node", "pick", *own).alias("node"), "vertex", "tokens")
+    every = pairs[0]
+    for more in pairs[1:]:
+        every = every.unionByName(more)
+    scored = materialise(score(every.distinct()), "scored")
+    needed = fetch(scored)
+    label = _resolved(scored, None, links, lambda some: confirm(some, needed), BEST_FIRST)
+    if not links:
+        links.append(confirm(scored, needed))
+    held.append(needed)
+    if not large.isEmpty():
+        rest = relabelled(large.select("node", "vertex", F.col("vertex").alias("component")), label)
+        rest = materialise(apart(rest), "nodes")
+        held.append(rest)
+        scored = materialise(score(across(rest).distinct()), "scored")
+        needed = fetch(scored)
+        label = _resolved(scored, label, links, lambda some: confirm(some, needed), 0)
+        held.append(needed)
+    for table in held:
+        discard(table)
+    return label, links
+
+
+def _resolved(scored: DataFrame, label: DataFrame | None, links: list[DataFrame], confirm: Callable[[DataFrame], DataFrame], best_first: int) -> DataFrame:
+    """Components after all scored pairs: first each vertex's likeliest partner,
+    ``best_first`` times, then every pair that still joins different components."""
+    for step in range(best_first + 1):
+        if scored.isEmpty():  # as it is of an empty table
+            break
+        tried, rest = scored, None
+        if step < best_first:
+            whole = F.struct(*scored.columns)
+            ends = scored.select(F.explode(F.array("a", "b")).alias("v"), whole.alias("pair"))
+            best = ends.groupBy("v").agg(F.max_by("pair", F.struct("pair.common", "pair.a", "pair.b")).alias("pair"))
+            tried = materialise(best.select("pair.*").distinct(), "tried")
+            rest = scored.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        found = confirm(tried)
+        links.append(found)
+        edges = found.select("a", "b")
+        if label is not None:
+            edges = edges.unionByName(label.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        label = connected_components(edges)
+        if rest is None:
+            discard(scored)
             break
-        pick = lambda salt: F.pmod(F.xxhash64("node", F.lit(level), F.lit(salt)), F.lit(tokens)).cast("int")  # noqa: B023, E731
-        twice = F.pmod(F.xxhash64("node", F.lit(level), F.lit("twice")), F.lit(percent)) < 100 - percent
-        picks = F.when(twice, F.array(pick("a"), pick("b"))).otherwise(F.array(pick("a")))
-        further = rows.join(sketches, "vertex").withColumn("pick", F.explode(picks))
-        further = further.select(F.xxhash64("node", "pick", F.element_at("sketch", F.col("pick") + 1)).alias("node"), "vertex")
-        rows = materialise(shared(further), "nodes")
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return materialise(pairs.distinct(), "pairs")
+        for end in ("a", "b"):
+            rest = rest.join(label.select(F.col("id").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+        before, scored = scored, materialise(rest.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select(*scored.columns), "scored")
+        discard(before)
+        discard(tried)
+    if label is None:
+        none = scored.select("a", "b").limit(0)
+        label = connected_components(none)
+    return label
