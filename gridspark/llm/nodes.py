@@ -2,9 +2,9 @@
 
 A node may hold any number of vertices, so none is ever listed in one place:
 company is found by sums, and pairs come from joins that give each vertex a
-bounded number of partners. A small node is compared exhaustively. Of a large
-one each vertex is compared with the smallest, and the node branches on further
-tokens until its parts are small.
+bounded number of partners. A small node is compared exhaustively; a large one
+branches on further tokens until its parts are small. Of parts that stay large,
+being very alike, each vertex is compared with the smallest.
 
 Candidates are scored by sketches first. Each vertex then tries its likeliest
 partner; most pairs fall inside a component after that and need no comparison.
@@ -101,12 +101,13 @@ def linked(
         other = few.select("node", F.col("vertex").alias("b"))
         pairs.append(few.join(other, "node").where("vertex < b").select(F.col("vertex").alias("a"), "b"))
         large = rows.where(F.col("n") > small)
-        pairs.append(large.where("vertex <> leader").select(F.col("leader").alias("a"), F.col("vertex").alias("b")))
         if level == levels or large.isEmpty():
+            pairs.append(large.where("vertex <> leader").select(F.col("leader").alias("a"), F.col("vertex").alias("b")))
             break
         # The tokens are looked up once; from then on the rows, few by now, carry them.
         further = large.select("node", "vertex", "tokens") if level > 1 else large.select("node", "vertex").join(tokens, "vertex")
-        further = further.withColumn("pick", F.explode(_branches(level, n_tokens, percent)))
+        branches = _branches(level, n_tokens, percent)
+        further = further.withColumn("pick", F.explode(branches) if level <= TWOFOLD else branches[0])
         own = (F.element_at("tokens", F.col("pick")[d] + 1) for d in range(DEPTH))
         rows = further.select(F.xxhash64("node", "pick", *own).alias("node"), "vertex", "tokens")
     every = pairs[0]
