@@ -15,7 +15,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "\t\n\x0b\x0c\r "
 
 
+#: Rows of an Arrow batch. Texts are thousands of bytes each: Spark's usual batch would hold tens of MB in the JVM, and as much in Python.
+BATCH_ROWS = "1000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, unless the session has a size of its own."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session has none (as in tests) a temporary one is set.
     """
+    small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="gridspark-")

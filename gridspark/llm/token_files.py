@@ -28,7 +28,7 @@ from .common import documents, materialise, running_before, scratch_path, shuffl
 LENGTH = 1024
 BATCH = 256
 FILE_TOKENS = 32 << 20
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 SMALL_BATCH = 512
 
 
@@ -77,6 +77,18 @@ class WordTokenizer:
                 del known[p]
         return out
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of words without white space in them, each as bytes of ``dtype``."""
+        if not self.piecewise:
+            return [self._whole(w) for w in words]
+        fresh = [w for w in words if w not in self.known]
+        self._learn(fresh)
+        out = [self.known[w] for w in words]
+        if len(self.known) > self.capacity:
+            for w in fresh:
+                del self.known[w]
+        return out
+
     def _learn(self, fresh: list[str]) -> None:
         """Ids of new pieces. Of a word before one stop or comma, or of other
         case, those of the word are used; ASCII words go to the model as they
