@@ -25,6 +25,8 @@ SMALL, LEVELS = 12, 9
 WORDS = 32
 #: Minima of a line that has company, for branching.
 TOKENS = 32
+#: Trees of a node's first branching: lines at the threshold stand together in few bands, and every level parts some of them.
+TREES = 3
 
 
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -113,7 +115,7 @@ def line_components(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     texts = materialise(texts, "lines")
     maps = materialise(bitmaps(texts), "bitmaps")
     tokens = maps.select(F.col("hi").alias("vertex"), "tokens")
-    _, found = linked(rows, tokens, TOKENS, percent, SMALL, LEVELS, lambda pairs: alike(pairs, maps, percent), lambda pairs: texts, lambda pairs, own: verified(pairs, own, percent))
+    _, found = linked(rows, tokens, TOKENS, percent, SMALL, LEVELS, lambda pairs: alike(pairs, maps, percent), lambda pairs: texts, lambda pairs, own: verified(pairs, own, percent), TREES)
     for table in (rows, maps, texts, sketched):
         discard(table)
     links = found[0]

@@ -2,9 +2,12 @@
 
 A node may hold any number of vertices, so none is ever listed in one place:
 company is found by sums, and pairs come from joins that give each vertex a
-bounded number of partners. A small node is compared exhaustively; a large one
-branches on further tokens until its parts are small. Of parts that stay large,
-being very alike, each vertex is compared with the smallest.
+bounded number of partners. A small node is compared exhaustively; of a large
+one each vertex is compared with the smallest. Once the components of these links
+are known, a node needs its vertices of different components compared and no
+others: where few are outside its largest component, each of them meets all.
+Other nodes branch on further tokens, at every level so often that two sets at the
+threshold share one branch on average, until few are outside or none.
 
 Candidates are scored by sketches first. Each vertex then tries its likeliest
 partner; most pairs fall inside a component after that and need no comparison.
@@ -27,19 +30,16 @@ BEST_FIRST = 1
 
 #: Tokens of a branch.
 DEPTH = 2
-#: Levels at which a node may have two branches. Below, vertices that still stand together are so alike that a second branch would only repeat them.
-TWOFOLD = 4
 
 
-def _branches(level: int, n_tokens: int, percent: int) -> Column:
-    """The branches of a node, each as the places of its tokens: at the first
-    levels one or two, so many on average that two sets at the threshold share
-    one."""
-    chance = round(1e6 * ((100 / percent) ** DEPTH - 1))
+def _branches(level: int, n_tokens: int, percent: int, trees: int) -> Column:
+    """The branches of a node, each as the places of its tokens: so many on
+    average that two sets at the threshold share ``trees`` of them."""
+    whole, part = divmod(round(1e6 * trees * (100 / percent) ** DEPTH), 1_000_000)
     pick = lambda salt: F.pmod(F.xxhash64("node", F.lit(level), F.lit(salt)), F.lit(n_tokens)).cast("int")
-    one, other = (F.array(*(pick(f"{name}{d}") for d in range(DEPTH))) for name in "ab")
-    twice = F.pmod(F.xxhash64("node", F.lit(level), F.lit("twice")), F.lit(1_000_000)) < chance
-    return F.when(twice, F.array(one, other)).otherwise(F.array(one)) if level <= TWOFOLD else F.array(one)
+    all_of = [F.array(*(pick(f"{i}-{d}") for d in range(DEPTH))) for i in range(whole + 1)]
+    more = F.pmod(F.xxhash64("node", F.lit(level), F.lit("more")), F.lit(1_000_000)) < part
+    return F.when(more, F.array(*all_of)).otherwise(F.array(*all_of[:-1]))
 
 
 def company(rows: DataFrame) -> DataFrame:
@@ -56,9 +56,9 @@ def relabelled(rows: DataFrame, label: DataFrame) -> DataFrame:
 
 def apart(rows: DataFrame) -> DataFrame:
     """Rows of nodes that hold several components, with major (the component of
-    most vertices) and minor (how many are not of it)."""
-    sizes = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("major"), (F.sum("n") - F.max("n")).alias("minor"))
+    most vertices), minor (how many are not of it) and ``leader``, the smallest."""
+    sizes = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"), F.min("vertex").alias("low"))
+    sizes = sizes.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("major"), (F.sum("n") - F.max("n")).alias("minor"), F.min("low").alias("leader"))
     return rows.join(sizes.where("minor > 0"), "node")
 
 
@@ -81,6 +81,7 @@ def linked(
     score: Callable[[DataFrame], DataFrame],
     fetch: Callable[[DataFrame], DataFrame],
     confirm: Callable[[DataFrame, DataFrame], DataFrame],
+    trees: int = 1,
 ) -> tuple[DataFrame, list[DataFrame]]:
     """Components of the vertices of ``rows`` (node, vertex), as (id, component),
     and the links that made them.
@@ -88,45 +89,56 @@ def linked(
     ``score`` takes pairs (a, b), drops those that cannot be links and adds
     ``common``, higher for likelier ones; ``fetch`` takes these and returns what
     it needs of their vertices; ``confirm`` takes pairs and that, and returns
-    the links among them. A node of more than ``small`` vertices branches on
-    ``tokens`` of the vertices (vertex, tokens: an array), chosen by the node. What is still large after ``levels`` is compared across its components
-    once the other links are known, so nothing is left out.
+    the links among them. A node of more than ``small`` vertices, that many of
+    them outside its largest component, branches on ``tokens`` of the vertices
+    (vertex, tokens: an array), chosen by the node; the first time in ``trees``
+    trees, for one alone misses more pairs the more levels follow. What has still
+    as many outside after ``levels`` is compared across its components once the
+    other links are known, so nothing is left out.
     """
     links: list[DataFrame] = []
-    pairs, held = [], []
-    for level in range(1, levels + 1):
-        rows = materialise(company(rows), "nodes")
-        held.append(rows)
-        few = rows.where(F.col("n") <= small).select("node", "vertex")
-        other = few.select("node", F.col("vertex").alias("b"))
-        pairs.append(few.join(other, "node").where("vertex < b").select(F.col("vertex").alias("a"), "b"))
-        large = rows.where(F.col("n") > small)
-        if level == levels or large.isEmpty():
-            pairs.append(large.where("vertex <> leader").select(F.col("leader").alias("a"), F.col("vertex").alias("b")))
-            break
-        # The tokens are looked up once; from then on the rows, few by now, carry them.
-        further = large.select("node", "vertex", "tokens") if level > 1 else large.select("node", "vertex").join(tokens, "vertex")
-        branches = _branches(level, n_tokens, percent)
-        further = further.withColumn("pick", F.explode(branches) if level <= TWOFOLD else branches[0])
-        own = (F.element_at("tokens", F.col("pick")[d] + 1) for d in range(DEPTH))
-        rows = further.select(F.xxhash64("node", "pick", *own).alias("node"), "vertex", "tokens")
-    every = pairs[0]
-    for more in pairs[1:]:
-        every = every.unionByName(more)
-    scored = materialise(score(every.distinct()), "scored")
-    needed = fetch(scored)
-    label = _resolved(scored, None, links, lambda some: confirm(some, needed), BEST_FIRST)
-    if not links:
-        links.append(confirm(scored, needed))
-    held.append(needed)
-    if not large.isEmpty():
-        rest = relabelled(large.select("node", "vertex", F.col("vertex").alias("component")), label)
-        rest = materialise(apart(rest), "nodes")
-        held.append(rest)
-        scored = materialise(score(across(rest).distinct()), "scored")
+    held: list[DataFrame] = []
+
+    def joined(pairs: DataFrame, label: DataFrame | None, best_first: int) -> DataFrame:
+        scored = materialise(score(pairs.distinct()), "scored")
         needed = fetch(scored)
-        label = _resolved(scored, label, links, lambda some: confirm(some, needed), 0)
         held.append(needed)
+        label = _resolved(scored, label, links, lambda some: confirm(some, needed), best_first)
+        if not links:
+            links.append(confirm(scored, needed))
+        return label
+
+    def star(rows: DataFrame) -> DataFrame:
+        return rows.where("vertex <> leader").select(F.col("leader").alias("a"), F.col("vertex").alias("b"))
+
+    rows = materialise(company(rows), "nodes")
+    held.append(rows)
+    few, large = rows.where(F.col("n") <= small).select("node", "vertex"), rows.where(F.col("n") > small)
+    other = few.select("node", F.col("vertex").alias("b"))
+    pairs = few.join(other, "node").where("vertex < b").select(F.col("vertex").alias("a"), "b")
+    label = joined(pairs.unionByName(star(large)), None, BEST_FIRST)
+    if not large.isEmpty():
+        # The tokens are looked up once; from then on the rows carry them and their component.
+        rows = relabelled(large.select("node", "vertex", F.col("vertex").alias("component")), label).join(tokens, "vertex")
+        every = None
+        for level in range(1, levels + 1):
+            rows = materialise(apart(rows), "nodes")
+            held.append(rows)
+            large = rows.where(F.col("minor") > small)
+            pairs = across(rows.where(F.col("minor") <= small)).unionByName(star(large.where("component <> major")))
+            every = pairs if every is None else every.unionByName(pairs)
+            if level == levels or large.isEmpty():
+                break
+            branches = _branches(level, n_tokens, percent, trees if level == 1 else 1)
+            further = large.select("node", "vertex", "component", "tokens", F.explode(branches).alias("pick"))
+            own = (F.element_at("tokens", F.col("pick")[d] + 1) for d in range(DEPTH))
+            rows = further.select(F.xxhash64("node", "pick", *own).alias("node"), "vertex", "component", "tokens")
+        label = joined(every, label, BEST_FIRST)
+        if not large.isEmpty():
+            rest = large.select("node", "vertex", F.col("vertex").alias("component"))
+            rest = materialise(apart(relabelled(rest, label)), "nodes")
+            held.append(rest)
+            label = joined(across(rest), label, 0)
     for table in held:
         discard(table)
     return label, links

@@ -522,6 +522,34 @@ def test_lines_equal_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+def template_lines(n, twins, seed=4):
+    """Lines of one template that differ in ten characters, too much for a link,
+    and a twin of the first ones that differs in five, just enough."""
+    rng = np.random.default_rng(seed)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789"))
+    make = lambda k: "".join(rng.choice(letters, k))
+    head, tail = make(60), make(70)
+    own = [make(10) for _ in range(n)]
+    return [head + x + tail for x in own] + [head + make(5) + x[5:] + tail for x in own[:twins]]
+
+
+def test_lines_of_a_large_node_find_their_links(spark):
+    lines = template_lines(2000, 200)
+    names = {g: i for i, g in enumerate(sorted({x[i : i + 10] for x in lines for i in range(len(x) - 9)}))}
+    has = np.zeros((len(lines), len(names)), "f4")
+    for i, x in enumerate(lines):
+        has[i, [names[x[j : j + 10]] for j in range(len(x) - 9)]] = 1
+    size = has.sum(axis=1)
+    linked = 0
+    for i in range(0, len(lines), 300):
+        common = has[i : i + 300] @ has.T
+        linked += int((100 * common >= 80 * (size[i : i + 300, None] + size - common)).sum())
+    links = (linked - len(lines)) // 2
+    assert 200 <= links < 210  # the twins, and hardly another by brute force
+    found = line_dedup.line_components(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert found.count() >= 0.88 * links
+
+
 def test_line_edges(spark):
     out = line_dedup.dedup_lines(odd_docs(spark).withColumn("n_lines", F.lit("old")))
     assert out.count() == len(ODD) + 3 and line_dedup.dedup_lines(empty(spark)).count() == 0
