@@ -328,6 +328,15 @@ def test_mix_meets_its_targets(spark, sf):
     assert again == {r.doc_id: r.taken for r in out}
 
 
+def test_small_sources_meet_their_targets_in_a_large_mix(spark):
+    rows = [(i, "large", 5000) for i in range(2000)] + [(10_000 + i, f"s{i // 10}", 50 + i % 7) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    for slots in (1 << 10, 1 << 14):  # blocks of some thousand words and of some hundred
+        out = mixing.mix(df, slots=slots).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+        assert len(out) == 41 and all(abs(r.taken - r.target) <= 1 for r in out)
+    assert mixing.mix(df, slots=1 << 10).where("taken > 2 * size").count() == 0
+
+
 def test_mix_edges(spark):
     df = odd_docs(spark).withColumn("size", word_count(F.col("text")))
     out = mixing.mix(df)
