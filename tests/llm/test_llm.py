@@ -234,6 +234,20 @@ def test_base_equals_counting(spark, sf):
         assert r.score < 0
 
 
+def test_successors_come_from_all_documents(spark):
+    rows = [(i, f"north wind {i % 7} south" + " west east" * (i % 3)) for i in range(40)] + [(40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("doc_id").alias("k"), (F.col("doc_id") % 5 == 1).alias("held"), F.col("text").cast("binary").alias("t"))
+    path = tokenizers.path("word_bpe_49k.json")
+    symbol = np.arange(49408) % 1000
+    got = lm_scoring._successors(lm_scoring.packed(docs.repartition(3), path, 300), symbol, 49407)
+    tokens, want = token_files.WordTokenizer(path, 1000), Counter()
+    for k, t in rows:
+        if k % 5 != 1:
+            ids = [49407, *(int(i) for w in words(t) for i in np.frombuffer(tokens.words([w])[0], tokens.dtype)), 49407]
+            want.update((a % 1000, b % 1000) for a, b in zip(ids, ids[1:]))
+    assert Counter({(a, b): n for a, b, n in zip(*(x.tolist() for x in got))}) == want
+
+
 def test_lm_edges(spark):
     path = tokenizers.path("word_bpe_49k.json")
     got = lm_scoring.score_texts(odd_docs(spark), lambda k: F.lit(True), path, 49407, pack_bytes=2000).collect()
