@@ -11,6 +11,8 @@ stays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,18 +24,21 @@ SHINGLE, PERCENT = 10, 80
 BANDS, ROWS = 6, 2
 SMALL, LEVELS = 12, 9
 #: Longs of a line's bitmap.
-WORDS = 32
-#: Minima of a line that has company, for branching.
+WORDS = 16
+#: Minima of a line in a large node, for branching.
 TOKENS = 32
 #: Trees of a node's first branching: lines at the threshold stand together in few bands, and every level parts some of them.
 TREES = 3
+#: Rows of a line that makes up so large a part of all are dealt with by broadcast; there can be no more than this many such lines.
+HOT = 1000
 
 
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per line that has more than white space: k, pos, hi, lo, line."""
-    lines = df.select(F.col(key).alias("k"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    """One row per line that has more than white space: k, x (a digest of the
+    text), pos, hi, lo, line."""
+    lines = df.select(F.col(key).alias("k"), F.xxhash64(text).alias("x"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     lines = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    return lines.select("k", "pos", F.xxhash64(F.lit(1), "line").alias("hi"), F.xxhash64(F.lit(2), "line").alias("lo"), "line")
+    return lines.select("k", "x", "pos", F.xxhash64(F.lit(1), "line").alias("hi"), F.xxhash64(F.lit(2), "line").alias("lo"), "line")
 
 
 def order(h: Column, j: int) -> Column:
@@ -58,35 +63,46 @@ def sketches(lines: DataFrame) -> DataFrame:
     return least.select("hi", "lo", F.array(*(f"m{j}" for j in range(BANDS * ROWS))).alias("sketch"))
 
 
-def bitmaps(texts: DataFrame) -> DataFrame:
-    """hi, n (shingles, repeats counted), bits (which of 2,048 values the hashes
-    of the line's shingles take) and tokens (further minima)."""
+def hashes(texts: DataFrame) -> DataFrame:
+    """hi, lo, n and h: one row for each place where a shingle starts."""
     runs = coded(texts).select("hi", "lo", "n", "units", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
-    runs = runs.select("hi", "lo", "n", F.xxhash64(F.expr(f"substring(units, 2 * i - 1, {2 * SHINGLE})")).alias("h"))
+    return runs.select("hi", "lo", "n", F.xxhash64(F.expr(f"substring(units, 2 * i - 1, {2 * SHINGLE})")).alias("h"))
+
+
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """vertex, n (shingles, repeats counted) and bits: which of 1,024 values the
+    hashes of the line's shingles take."""
     word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1))
     bit = F.expr("shiftleft(1L, cast(h & 63 AS INT))")
-    maps = runs.groupBy("hi", "lo", "n").agg(*(F.bit_or(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(WORDS)), *(F.min(order(F.col("h"), BANDS * ROWS + j)).alias(f"t{j}") for j in range(TOKENS)))
-    bits, tokens = (F.array(*(f"{c}{j}" for j in range(n))) for c, n in (("w", WORDS), ("t", TOKENS)))
-    return maps.select("hi", "n", bits.alias("bits"), tokens.alias("tokens"))
+    maps = hashes(texts).groupBy("hi", "lo", "n").agg(*(F.bit_or(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(WORDS)))
+    return maps.select(F.col("hi").alias("vertex"), "n", F.array(*(f"w{j}" for j in range(WORDS))).alias("bits"))
 
 
-def alike(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """Pairs that can be links, and a bound of their similarity. Every value
-    that one line's shingles take and the other's don't is a shingle of one of
-    them only, so no link is dropped."""
-    for end in ("a", "b"):
-        pairs = pairs.join(maps.select(F.col("hi").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits_{end}")), end)
-    differ = F.lit(0)
-    for j in range(WORDS):
-        differ = differ + F.bit_count(F.element_at("bits_a", j + 1).bitwiseXOR(F.element_at("bits_b", j + 1)))
-    bounded = pairs.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), differ.alias("differ"))
-    bounded = bounded.where(100 * (F.col("n") - F.col("differ")) >= percent * (F.col("n") + F.col("differ")))
-    return bounded.select("a", "b", ((F.col("n") - F.col("differ")) / (F.col("n") + F.col("differ"))).alias("common"))
+def tokens_of(texts: DataFrame) -> DataFrame:
+    """vertex and tokens, further minima of the line."""
+    least = hashes(texts).groupBy("hi", "lo").agg(*(F.min(order(F.col("h"), BANDS * ROWS + j)).alias(f"t{j}") for j in range(TOKENS)))
+    return least.select(F.col("hi").alias("vertex"), F.array(*(f"t{j}" for j in range(TOKENS))).alias("tokens"))
+
+
+def alike(percent: int):
+    """Whether two lines can be links, and a bound of their similarity in
+    thousandths. Every value that one line's shingles take and the other's don't
+    is a shingle of one of them only, so no link is ruled out."""
+
+    def judge(one: Callable[[str], Column], other: Callable[[str], Column]) -> tuple[Column, Column]:
+        n, differ = one("n") + other("n"), F.lit(0)
+        for j in range(WORDS):
+            differ = differ + F.bit_count(F.get(one("bits"), F.lit(j)).bitwiseXOR(F.get(other("bits"), F.lit(j))))
+        return differ * (100 + percent) <= n * (100 - percent), F.floor(1000 * (n - differ) / (n + differ))
+
+    return judge
 
 
 def shingle_array(line: str) -> Column:
-    """The line's distinct shingles: what a look-ahead finds at every place."""
-    return F.array_distinct(F.regexp_extract_all(F.col(line), F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
+    """Hashes of the line's distinct shingles, of ten characters each."""
+    units = F.array(F.encode(line, "UTF-32"))
+    runs = F.transform(units, lambda u: F.transform(F.sequence(F.lit(0), (F.octet_length(u) / 4).cast("int") - SHINGLE), lambda i: F.xxhash64(F.substring(u, 4 * i + 1, F.lit(4 * SHINGLE)))))
+    return F.array_distinct(F.get(runs, F.lit(0)))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -114,8 +130,8 @@ def line_components(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     texts = lines.select("hi", "lo", "line").join(involved, "hi", "left_semi").groupBy("hi", "lo").agg(F.first("line").alias("line"))
     texts = materialise(texts, "lines")
     maps = materialise(bitmaps(texts), "bitmaps")
-    tokens = maps.select(F.col("hi").alias("vertex"), "tokens")
-    _, found = linked(rows, tokens, TOKENS, percent, SMALL, LEVELS, lambda pairs: alike(pairs, maps, percent), lambda pairs: texts, lambda pairs, own: verified(pairs, own, percent), TREES)
+    wanted = lambda some: materialise(tokens_of(texts.join(some.select(F.col("vertex").alias("hi")), "hi", "left_semi")), "tokens")
+    _, found = linked(rows, maps, alike(percent), wanted, TOKENS, percent, SMALL, LEVELS, lambda pairs: texts, lambda pairs, own: verified(pairs, own, percent), TREES)
     for table in (rows, maps, texts, sketched):
         discard(table)
     links = found[0]
@@ -128,17 +144,29 @@ def line_components(df: DataFrame, key: str = "doc_id", text: str = "text", perc
 
 
 def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``k`` and the positions (from 0) of the lines that go, exact (equal to
-    the line that stays, or to another of its component) and fuzzy."""
-    found = materialise(line_components(df, key, text, percent), "line-components")
-    lines = lines_of(df, key, text).select("k", "pos", "hi", "lo").join(found, ["hi", "lo"], "left")
-    lines = lines.select("k", "pos", "hi", "lo", F.coalesce("chi", "hi").alias("chi"), F.coalesce("clo", "lo").alias("clo"))
-    lines = materialise(lines, "line-places")
-    stays = lines.groupBy("chi", "clo").agg(F.min(F.struct("k", "pos", "hi", "lo")).alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    goes = lines.join(stays, ["chi", "clo"]).where(~(F.col("k").eqNullSafe(F.col("stays.k")) & (F.col("pos") == F.col("stays.pos"))))
-    same = (F.col("hi") == F.col("stays.hi")) & (F.col("lo") == F.col("stays.lo"))
-    goes = goes.select("k", "pos", same.alias("exact")).distinct()
-    return goes.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("pos", "exact"))).alias("goes"))
+    """k, x and the positions (from 0) of the lines that go from the row of that
+    key and text: exact (equal to the line that stays) and fuzzy.
+
+    What stays of a component is settled among the distinct lines, one row each,
+    so a line that stands in a third of all documents is summed up where it is read.
+    """
+    found = line_components(df, key, text, percent)
+    lines = materialise(lines_of(df, key, text).select("k", "x", "pos", "hi", "lo"), "line-places")
+    place = F.struct(F.col("k").isNotNull().alias("known"), "k", "x", "pos")
+    own = lines.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    own = own.join(found, ["hi", "lo"], "left").withColumns({"chi": F.coalesce("chi", "hi"), "clo": F.coalesce("clo", "lo")})
+    own = materialise(own, "distinct-lines")
+    stays = own.groupBy("chi", "clo").agg(F.min(F.struct("first", "hi", "lo")).alias("stays"), F.sum("n").alias("total")).where("total > 1").select("chi", "clo", "stays")
+    verdict = own.join(stays, ["chi", "clo"]).select("hi", "lo", "n", F.col("stays.first").alias("stay"), ((F.col("hi") == F.col("stays.hi")) & (F.col("lo") == F.col("stays.lo"))).alias("exact"))
+    verdict = materialise(verdict, "verdicts")
+    rare = F.col("n") <= lines.count() // HOT
+    hot = verdict.where(~rare).drop("n").withColumn("hot", F.lit(True))  # ``HOT`` rows at most
+    known = lines.join(F.broadcast(hot), ["hi", "lo"], "left")
+    common = known.where("hot").drop("hot")
+    goes = known.where("hot IS NULL").select(*lines.columns).join(verdict.where(rare).drop("n"), ["hi", "lo"]).unionByName(common)
+    first = F.col("k").eqNullSafe(F.col("stay.k")) & (F.col("x") == F.col("stay.x")) & (F.col("pos") == F.col("stay.pos"))
+    goes = goes.where(~first).select("k", "x", "pos", "exact").distinct()
+    return goes.groupBy("k", "x").agg(F.sort_array(F.collect_list(F.struct("pos", "exact"))).alias("goes"))
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -149,24 +177,30 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     Lines end at line feeds. Two lines are linked where the Jaccard similarity
     of their ten-character shingles is at least ``percent``; a line shorter than
     that is linked with equal lines only. Of each component the line that comes
-    first by (key, place in the text) stays. Lines of white space only stay and
-    count as lines.
+    first by (key, digest of the text, place in the text) stays. Lines of white
+    space only stay and count as lines.
 
     A null text stays null and has no lines; an empty one has one line, empty.
     Other columns pass as they are; input columns named like an output column
-    are replaced. Rows of the same key are taken as one document: they lose the
-    same lines. A null key comes first. An empty table gives an empty one.
+    are replaced. Rows of the same key and different texts are different
+    documents; rows of the same key and text are one document that is there
+    several times, and each loses the same lines. A null key comes first. An
+    empty table gives an empty one.
     """
     own = df.drop("n_lines", "n_exact", "n_fuzzy")
     goes = dropped_lines(own.select(F.col(key), F.col(text)), key, text, percent)
-    out = own.join(goes, own[key].eqNullSafe(goes["k"]), "left").drop("k")
+    out = own.withColumn("_x", F.xxhash64(text))
+    out = out.join(goes, out[key].eqNullSafe(goes["k"]) & (out["_x"] == goes["x"]), "left").drop("k", "x", "_x")
     pos = F.coalesce(F.transform("goes", lambda g: g["pos"]), F.array().cast("array<int>"))
     lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("_pos", i))
     n_exact = F.coalesce(F.size(F.filter("goes", lambda g: g["exact"])), F.lit(0))
-    out = out.withColumns({"_pos": pos, "n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_exact": F.when(F.col("goes").isNull(), 0).otherwise(n_exact)})
+    out = out.withColumns({"_pos": pos, "_lines": lines, "n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_exact": F.when(F.col("goes").isNull(), 0).otherwise(n_exact)})
     out = out.withColumn("n_fuzzy", F.size("_pos") - F.col("n_exact"))
-    clean = F.when(F.size("_pos") == 0, F.col(text)).otherwise(F.array_join(kept, "\n"))
+    # The stretches between the lines that go: each line is copied once.
+    edges = F.concat(F.array(F.lit(-1)), "_pos", F.array(F.col("n_lines")))
+    stretch = F.transform(F.sequence(F.lit(0), F.size("_pos")), lambda i: F.slice("_lines", F.get("_edges", i) + 2, F.get("_edges", i + 1) - F.get("_edges", i) - 1))
+    out = out.withColumn("_edges", edges)
+    clean = F.when(F.size("_pos") == 0, F.col(text)).otherwise(F.array_join(F.flatten(stretch), "\n"))
     return out.withColumn(text, clean).select(*own.columns, "n_lines", "n_exact", "n_fuzzy")
 
 

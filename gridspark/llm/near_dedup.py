@@ -16,11 +16,11 @@ are compared.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +37,12 @@ SMALL = 16
 LEVELS = 12
 #: Two sets at the threshold share that part of the tokens; pairs so many deviations below it are not compared in full.
 DEVIATIONS = 5
-#: The sketch says little about sets of fewer shingles; they go to the full comparison.
-SKETCHED_FROM = 64
+#: Longs of a bitmap. Sets of up to ``MAPPED`` shingles have one, sets of more than ``SKETCHED`` a sketch. Two sets that
+#: can be links differ less in size than these two numbers do, so both have the one or both have the other.
+WORDS = 32
+MAPPED, SKETCHED = 1300, 800
+#: Bits of a token in a sketch.
+NIBBLE = 4
 #: Texts compared with one leader in a group.
 GROUP = 32
 _RNG = np.random.default_rng(20240501)
@@ -53,33 +57,74 @@ def roots(trees: int, percent: int) -> list[list[int]]:
 
 
 def least_common(percent: int) -> int:
-    p = percent / 100
+    """So many tokens of a sketch agree, by their few bits, in two sets at the threshold."""
+    p = percent / 100 + (1 - percent / 100) / (1 << NIBBLE)
     return max(0, int(TOKENS * p - DEVIATIONS * (TOKENS * p * (1 - p)) ** 0.5))
 
 
 def with_sets(df: DataFrame, text: str) -> DataFrame:
     """``df`` without the text, and vertex (a digest of the shingle set, null for
-    an empty one), n_shingles, path (the first tokens), sketch (all tokens, cut
-    to 8 bits)."""
+    an empty one), n_shingles, path (the first tokens), bits (which of 2,048
+    values the shingles' hashes take, null for large sets) and sketch (the last
+    bits of all tokens, null for small sets)."""
     kept = [f for f in df.schema.fields if f.name != text]
-    added = [T.StructField("vertex", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("path", T.BinaryType()), T.StructField("sketch", T.BinaryType())]
+    longs = T.ArrayType(T.LongType(), False)
+    added = [T.StructField("vertex", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("path", T.BinaryType()), T.StructField("bits", longs), T.StructField("sketch", longs)]
     at, keep = df.columns.index(text), [i for i, c in enumerate(df.columns) if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.field("element", pa.int64(), False))
         for batch in batches:
-            digests, sizes, paths, sketches = [], [], [], []
+            digests, sizes, paths, maps, sketches = [], [], [], [], []
             for items in shingle_sets(batch.column(at), SHINGLE):
+                n = len(items)
                 digests.append(digest_of(items))
-                sizes.append(len(items))
-                tokens = minhashes(items, FACTORS) if len(items) else None
+                sizes.append(n)
+                tokens = minhashes(items, FACTORS if n > SKETCHED else FACTORS[:PATH_TOKENS]) if n else None
                 paths.append(None if tokens is None else tokens[:PATH_TOKENS].tobytes())
-                sketches.append(None if tokens is None else tokens.astype(np.uint8).tobytes())
-            arrays = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(paths, pa.binary()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *arrays], [*(batch.schema.names[i] for i in keep), "vertex", "n_shingles", "path", "sketch"])
+                maps.append(bitmap(items) if 0 < n <= MAPPED else None)
+                sketches.append(nibbles(tokens) if n > SKETCHED else None)
+            arrays = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(paths, pa.binary()), pa.array(maps, kind), pa.array(sketches, kind)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *arrays], [*(batch.schema.names[i] for i in keep), "vertex", "n_shingles", "path", "bits", "sketch"])
 
     return df.mapInArrow(run, T.StructType([*kept, *added]))
 
 
+def bitmap(items: np.ndarray) -> np.ndarray:
+    taken = np.zeros(64 * WORDS, np.uint8)
+    taken[(items % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+    return np.packbits(taken).view(np.int64)
+
+
+def nibbles(tokens: np.ndarray) -> np.ndarray:
+    low = (tokens & ((1 << NIBBLE) - 1)).astype(np.uint8)
+    return (low[::2] << NIBBLE | low[1::2]).view(np.int64)
+
+
+def alike(percent: int):
+    """Whether two sets can be links, and how many in a thousand of their shingles
+    (or tokens) may be common. A value that one set's hashes take and the other's
+    don't belongs to a shingle of one of them only, so bitmaps rule no link out;
+    sketches rule out what is ``DEVIATIONS`` deviations below the threshold."""
+
+    def judge(one: Callable[[str], Column], other: Callable[[str], Column]) -> tuple[Column, Column]:
+        n = one("n_shingles") + other("n_shingles")
+        sizes = F.least(one("n_shingles"), other("n_shingles")) * 100 >= F.greatest(one("n_shingles"), other("n_shingles")) * percent
+        differ, equal = F.lit(0), F.lit(TOKENS)
+        for i in range(WORDS):
+            differ = differ + F.bit_count(F.get(one("bits"), F.lit(i)).bitwiseXOR(F.get(other("bits"), F.lit(i))))
+        for i in range(TOKENS * NIBBLE // 64):
+            x = F.get(one("sketch"), F.lit(i)).bitwiseXOR(F.get(other("sketch"), F.lit(i)))
+            x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+            equal = equal - F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111)))
+        mapped = one("bits").isNotNull() & other("bits").isNotNull()
+        possible = F.when(mapped, differ * (100 + percent) <= n * (100 - percent)).otherwise(equal >= least_common(percent))
+        common = F.when(mapped, F.floor(1000 * (n - differ) / (n + differ))).otherwise(F.floor(equal * 1000 / TOKENS))
+        return sizes & possible, common
+
+    return judge
+
+
 def digest_of(items: np.ndarray) -> bytes | None:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
 
@@ -99,7 +144,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     """
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     base = materialise(with_sets(docs, "t"), "sets")
-    vertices = base.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("k").alias("first"), *(F.first(c).alias(c) for c in ("n_shingles", "path", "sketch")))
+    vertices = base.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("k").alias("first"), *(F.first(c).alias(c) for c in ("n_shingles", "path", "bits", "sketch")))
     vertices = materialise(vertices, "vertices")
     token = lambda c: F.substring("path", 4 * c + 1, 4)
     branches = [F.xxhash64(F.lit(i), *map(token, tokens)) for i, tokens in enumerate(roots(trees, percent))]
@@ -107,12 +152,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     tokens = vertices.select("vertex", F.transform(F.sequence(F.lit(0), F.lit(PATH_TOKENS - 1)), lambda i: F.substring("path", 4 * i + 1, F.lit(4))).alias("tokens"))
     label, _ = linked(
         rows,
-        tokens,
+        vertices.select("vertex", "n_shingles", "bits", "sketch"),
+        alike(percent),
+        lambda some: materialise(tokens.join(some, "vertex"), "tokens"),
         PATH_TOKENS,
         percent,
         SMALL,
         LEVELS,
-        lambda pairs: alike(pairs, vertices, percent),
         lambda pairs: texts_of(pairs, vertices, docs),
         lambda pairs, texts: confirmed(pairs, texts, percent),
     )
@@ -127,27 +173,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     return out.select(F.col("k").alias(key), "n_shingles", F.when(F.col("vertex").isNull(), F.col("k")).otherwise(F.col("component_id")).alias("component_id"), "vertex")
 
 
-def alike(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and tokens allow a link, with one document's key of either
-    and the number of common tokens."""
-    for end in ("a", "b"):
-        pairs = pairs.join(vertices.select(F.col("vertex").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n_shingles", "sketch"))), end)
-    sizes = F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent
-    least = least_common(percent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                one, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, TOKENS) for i in (4, 5))
-                common = (one == other).sum(axis=1)
-                small = np.minimum(batch.column(2).to_numpy(), batch.column(3).to_numpy()) < SKETCHED_FROM
-                kept = batch.select([0, 1]).append_column("common", pa.array(common, pa.int64()))
-                yield kept.filter(pa.array(small | (common >= least)))
-
-    ordered = pairs.where(sizes).select("a", "b", *(f"{c}_{end}" for c in ("n_shingles", "sketch") for end in "ab"))
-    return ordered.mapInArrow(run, "a binary, b binary, common long")
-
-
 def texts_of(pairs: DataFrame, vertices: DataFrame, docs: DataFrame) -> DataFrame:
     """vertex and text of one document of each vertex in the pairs. A text comes
     by its document's key; where keys repeat, the set's digest tells later which

@@ -2,12 +2,15 @@
 
 A node may hold any number of vertices, so none is ever listed in one place:
 company is found by sums, and pairs come from joins that give each vertex a
-bounded number of partners. A small node is compared exhaustively; of a large
-one each vertex is compared with the smallest. Once the components of these links
-are known, a node needs its vertices of different components compared and no
-others: where few are outside its largest component, each of them meets all.
-Other nodes branch on further tokens, at every level so often that two sets at the
-threshold share one branch on average, until few are outside or none.
+bounded number of partners. A small node is compared exhaustively. Of a larger one
+each vertex is first compared with one leader, the vertex that stands in the
+largest company over all nodes: the text that copies were made from is such a
+vertex. Once the components of these links are known, only vertices of different
+components are compared: where that takes few comparisons, all at once, as a
+condition of a join, so that only pairs which can be links come out of it. Other
+nodes have another star for what is outside the largest component, and then
+branch on further tokens, at every level so often that two sets at the threshold
+share one branch on average, until few comparisons are left or none.
 
 Candidates are scored by sketches first. Each vertex then tries its likeliest
 partner; most pairs fall inside a component after that and need no comparison.
@@ -23,13 +26,20 @@ from pyspark.sql import functions as F
 from .common import discard, materialise
 from .components import connected_components
 
-
 #: How often each vertex tries its likeliest partner before all pairs are compared.
 BEST_FIRST = 1
-
-
 #: Tokens of a branch.
 DEPTH = 2
+#: A node branches if comparing it across its components takes more than the square of this.
+MEDIUM = 512
+#: What ``apart`` adds.
+PARTED = ("major", "n", "minor", "leader")
+#: So often ``levels`` levels follow each other with fresh components between them. Nodes shrink at every level; what
+#: is still large after all of them holds sets that agree on all tokens and are no links, and is compared across its components.
+ROUNDS = 6
+
+#: Of two vertices' features, given as functions from a feature's name to its column: whether the pair can be a link, and how likely it is one.
+Alike = Callable[[Callable[[str], Column], Callable[[str], Column]], tuple[Column, Column]]
 
 
 def _branches(level: int, n_tokens: int, percent: int, trees: int) -> Column:
@@ -43,108 +53,157 @@ def _branches(level: int, n_tokens: int, percent: int, trees: int) -> Column:
 
 
 def company(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that hold more than one vertex, with ``n``, how many, and
-    ``leader``, the smallest."""
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("vertex").alias("leader"))
+    """Rows of nodes that hold more than one vertex, with ``n``, how many."""
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     return rows.join(sizes.where("n > 1"), "node")
 
 
+def central(rows: DataFrame) -> DataFrame:
+    """``rows`` with central (the sizes of all of the vertex's nodes together) and
+    ``leader``, the node's most central vertex."""
+    rows = rows.join(rows.groupBy("vertex").agg(F.sum("n").alias("central")), "vertex")
+    leaders = rows.groupBy("node").agg(F.max(F.struct("central", "vertex")).alias("_lead"))
+    return rows.join(leaders.select("node", F.col("_lead.vertex").alias("leader")), "node")
+
+
 def relabelled(rows: DataFrame, label: DataFrame) -> DataFrame:
     known = label.select(F.col("id").alias("component"), F.col("component").alias("_found"))
     return rows.join(known, "component", "left").withColumn("component", F.coalesce("_found", "component")).drop("_found")
 
 
 def apart(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that hold several components, with major (the component of
-    most vertices), minor (how many are not of it) and ``leader``, the smallest."""
-    sizes = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"), F.min("vertex").alias("low"))
-    sizes = sizes.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("major"), (F.sum("n") - F.max("n")).alias("minor"), F.min("low").alias("leader"))
-    return rows.join(sizes.where("minor > 0"), "node")
-
-
-def across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a node's vertices of different components, each once in a
-    node: those outside the largest component against all. A vertex meets
-    ``minor`` others at most."""
-    few = rows.where("component <> major").select("node", F.col("vertex").alias("v"), F.col("component").alias("c"))
-    both = rows.join(few, "node").where("component <> c AND (component = major OR vertex < v)")
-    return both.select(F.least("vertex", "v").alias("a"), F.greatest("vertex", "v").alias("b"))
+    """Rows of nodes that hold several components, with n (the node's vertices),
+    major (the component of most of them), minor (how many are not of it) and
+    leader (of the smallest components' vertices the most central)."""
+    sizes = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("central", "vertex")).alias("_lead"))
+    sizes = sizes.groupBy("node").agg(
+        F.max_by("component", F.struct("_n", "component")).alias("major"),
+        F.sum("_n").alias("n"),
+        (F.sum("_n") - F.max("_n")).alias("minor"),
+        F.max(F.struct(-F.col("_n"), F.col("_lead"))).alias("_lead"),
+    )
+    sizes = sizes.where("minor > 0").select("node", "major", "n", "minor", F.col("_lead._lead.vertex").alias("leader"))
+    return rows.join(sizes, "node")
+
+
+def star(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every vertex and its node's leader."""
+    rows = rows.where("vertex <> leader")
+    return rows.select(F.least("leader", "vertex").alias("a"), F.greatest("leader", "vertex").alias("b"))
+
+
+def _own(features: DataFrame, end: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{end}") for c in features.columns if c != "vertex"]
+
+
+def scored(pairs: DataFrame, features: DataFrame, alike: Alike) -> DataFrame:
+    """The pairs that can be links, each once, with ``common``, higher for likelier ones."""
+    pairs = pairs.distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(features.select(F.col("vertex").alias(end), *_own(features, end)), end)
+    possible, common = alike(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"))
+    return pairs.where(possible).select("a", "b", common.alias("common"))
+
+
+def across(rows: DataFrame, features: DataFrame, alike: Alike) -> DataFrame:
+    """The pairs (a, b, common) of a node's vertices of different components that
+    can be links: those outside the largest component against all."""
+    rows = rows.select("node", "vertex", "component", "major").join(features, "vertex")
+    one = rows.select("node", "major", F.col("vertex").alias("u"), F.col("component").alias("cu"), *_own(features, "u"))
+    other = rows.where("component <> major").select("node", F.col("vertex").alias("v"), F.col("component").alias("cv"), *_own(features, "v"))
+    possible, common = alike(lambda c: F.col(f"{c}_u"), lambda c: F.col(f"{c}_v"))
+    both = one.join(other, "node").where(F.expr("cu <> cv AND (cu = major OR u < v)") & possible)
+    return both.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), common.alias("common")).distinct()
 
 
 def linked(
     rows: DataFrame,
-    tokens: DataFrame,
+    features: DataFrame,
+    alike: Alike,
+    tokens: Callable[[DataFrame], DataFrame],
     n_tokens: int,
     percent: int,
     small: int,
     levels: int,
-    score: Callable[[DataFrame], DataFrame],
     fetch: Callable[[DataFrame], DataFrame],
     confirm: Callable[[DataFrame, DataFrame], DataFrame],
     trees: int = 1,
+    medium: int = MEDIUM,
 ) -> tuple[DataFrame, list[DataFrame]]:
     """Components of the vertices of ``rows`` (node, vertex), as (id, component),
     and the links that made them.
 
-    ``score`` takes pairs (a, b), drops those that cannot be links and adds
-    ``common``, higher for likelier ones; ``fetch`` takes these and returns what
-    it needs of their vertices; ``confirm`` takes pairs and that, and returns
-    the links among them. A node of more than ``small`` vertices, that many of
-    them outside its largest component, branches on ``tokens`` of the vertices
-    (vertex, tokens: an array), chosen by the node; the first time in ``trees``
-    trees, for one alone misses more pairs the more levels follow. What has still
-    as many outside after ``levels`` is compared across its components once the
-    other links are known, so nothing is left out.
+    ``features`` (vertex, ...) is what ``alike`` judges by whether a pair can be a
+    link; ``fetch`` takes pairs and returns what it needs of their vertices;
+    ``confirm`` takes pairs and that, and returns the links among them. A node in
+    which more than ``medium`` squared comparisons are left, of more than ``small``
+    vertices outside its largest component, branches on ``tokens`` of its vertices (a function from (vertex) to
+    (vertex, tokens: an array)), chosen by the node; the first time in ``trees``
+    trees, for one alone misses more pairs the more levels follow. Nothing is left
+    out: see ``ROUNDS``.
     """
     links: list[DataFrame] = []
     held: list[DataFrame] = []
 
-    def joined(pairs: DataFrame, label: DataFrame | None, best_first: int) -> DataFrame:
-        scored = materialise(score(pairs.distinct()), "scored")
-        needed = fetch(scored)
+    def joined(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
+        pairs = materialise(pairs, "scored")
+        if label is not None and pairs.isEmpty():
+            return label
+        needed = fetch(pairs)
         held.append(needed)
-        label = _resolved(scored, label, links, lambda some: confirm(some, needed), best_first)
+        label = _resolved(pairs, label, links, lambda some: confirm(some, needed))
         if not links:
-            links.append(confirm(scored, needed))
+            links.append(confirm(pairs, needed))
         return label
 
-    def star(rows: DataFrame) -> DataFrame:
-        return rows.where("vertex <> leader").select(F.col("leader").alias("a"), F.col("vertex").alias("b"))
+    def branching(k: int) -> Column:
+        return (F.col("minor") > small) & (F.col("minor") * F.col("n") > medium**2) & F.lit(k < ROUNDS - 1)
 
     rows = materialise(company(rows), "nodes")
     held.append(rows)
-    few, large = rows.where(F.col("n") <= small).select("node", "vertex"), rows.where(F.col("n") > small)
-    other = few.select("node", F.col("vertex").alias("b"))
-    pairs = few.join(other, "node").where("vertex < b").select(F.col("vertex").alias("a"), "b")
-    label = joined(pairs.unionByName(star(large)), None, BEST_FIRST)
-    if not large.isEmpty():
-        # The tokens are looked up once; from then on the rows carry them and their component.
-        rows = relabelled(large.select("node", "vertex", F.col("vertex").alias("component")), label).join(tokens, "vertex")
-        every = None
-        for level in range(1, levels + 1):
-            rows = materialise(apart(rows), "nodes")
+    few = rows.where(F.col("n") <= small).select("node", "vertex")
+    pairs = few.join(few.select("node", F.col("vertex").alias("b")), "node").where("vertex < b").select(F.col("vertex").alias("a"), "b")
+    large = rows.where(F.col("n") > small)
+    if large.isEmpty():
+        label = joined(scored(pairs, features, alike), None)
+    else:
+        large = materialise(central(large), "nodes")
+        held.append(large)
+        label = joined(scored(pairs.unionByName(star(large)), features, alike), None)
+        own = tokens(large.select("vertex").distinct())
+        held.append(own)
+        # From here on the rows carry their tokens and their component.
+        rows = large.select("node", "vertex", "central", F.col("vertex").alias("component")).join(own, "vertex")
+        for k in range(ROUNDS):
+            rows = materialise(apart(relabelled(rows, label)), "nodes")
             held.append(rows)
-            large = rows.where(F.col("minor") > small)
-            pairs = across(rows.where(F.col("minor") <= small)).unionByName(star(large.where("component <> major")))
-            every = pairs if every is None else every.unionByName(pairs)
-            if level == levels or large.isEmpty():
+            before, label = label, joined(scored(star(rows.where(branching(k)).where("component <> major")), features, alike), label)
+            if label is not before:
+                rows = materialise(apart(relabelled(rows.drop(*PARTED), label)), "nodes")
+                held.append(rows)
+            found = None
+            for level in range(k * levels + 1, (k + 1) * levels + 1):
+                pairs = across(rows.where(~branching(k)).drop("tokens"), features, alike)
+                found = pairs if found is None else found.unionByName(pairs)
+                many = rows.where(branching(k))
+                if done := many.isEmpty():
+                    break
+                branches = _branches(level, n_tokens, percent, trees if level == 1 else 1)
+                further = many.select("node", "vertex", "central", "component", "tokens", F.explode(branches).alias("pick"))
+                at = (F.element_at("tokens", F.col("pick")[d] + 1) for d in range(DEPTH))
+                rows = further.select(F.xxhash64("node", "pick", *at).alias("node"), "vertex", "central", "component", "tokens")
+                rows = materialise(apart(rows), "nodes")
+                held.append(rows)
+            label = joined(found.distinct(), label)
+            if done:
                 break
-            branches = _branches(level, n_tokens, percent, trees if level == 1 else 1)
-            further = large.select("node", "vertex", "component", "tokens", F.explode(branches).alias("pick"))
-            own = (F.element_at("tokens", F.col("pick")[d] + 1) for d in range(DEPTH))
-            rows = further.select(F.xxhash64("node", "pick", *own).alias("node"), "vertex", "component", "tokens")
-        label = joined(every, label, BEST_FIRST)
-        if not large.isEmpty():
-            rest = large.select("node", "vertex", F.col("vertex").alias("component"))
-            rest = materialise(apart(relabelled(rest, label)), "nodes")
-            held.append(rest)
-            label = joined(across(rest), label, 0)
+            rows = rows.drop(*PARTED)
     for table in held:
         discard(table)
     return label, links
 
 
-def _resolved(scored: DataFrame, label: DataFrame | None, links: list[DataFrame], confirm: Callable[[DataFrame], DataFrame], best_first: int) -> DataFrame:
+def _resolved(scored: DataFrame, label: DataFrame | None, links: list[DataFrame], confirm: Callable[[DataFrame], DataFrame], best_first: int = BEST_FIRST) -> DataFrame:
     """Components after all scored pairs: first each vertex's likeliest partner,
     ``best_first`` times, then every pair that still joins different components."""
     for step in range(best_first + 1):
