@@ -25,6 +25,7 @@ BANDS, ROWS = 6, 2
 SMALL, LEVELS = 12, 9
 #: Longs of a line's bitmap.
 WORDS = 16
+BITS = [f"w{j}" for j in range(WORDS)]
 #: Minima of a line in a large node, for branching.
 TOKENS = 32
 #: Trees of a node's first branching: lines at the threshold stand together in few bands, and every level parts some of them.
@@ -70,12 +71,12 @@ def hashes(texts: DataFrame) -> DataFrame:
 
 
 def bitmaps(texts: DataFrame) -> DataFrame:
-    """vertex, n (shingles, repeats counted) and bits: which of 1,024 values the
-    hashes of the line's shingles take."""
+    """vertex, n (shingles, repeats counted) and ``BITS``: which of 1,024 values
+    the hashes of the line's shingles take."""
     word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1))
     bit = F.expr("shiftleft(1L, cast(h & 63 AS INT))")
-    maps = hashes(texts).groupBy("hi", "lo", "n").agg(*(F.bit_or(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(WORDS)))
-    return maps.select(F.col("hi").alias("vertex"), "n", F.array(*(f"w{j}" for j in range(WORDS))).alias("bits"))
+    maps = hashes(texts).groupBy("hi", "lo", "n").agg(*(F.bit_or(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(c) for j, c in enumerate(BITS)))
+    return maps.select(F.col("hi").alias("vertex"), F.col("n").cast("long").alias("n"), *BITS)
 
 
 def tokens_of(texts: DataFrame) -> DataFrame:
@@ -91,8 +92,8 @@ def alike(percent: int):
 
     def judge(one: Callable[[str], Column], other: Callable[[str], Column]) -> tuple[Column, Column]:
         n, differ = one("n") + other("n"), F.lit(0)
-        for j in range(WORDS):
-            differ = differ + F.bit_count(F.get(one("bits"), F.lit(j)).bitwiseXOR(F.get(other("bits"), F.lit(j))))
+        for c in BITS:
+            differ = differ + F.bit_count(one(c).bitwiseXOR(other(c)))
         return differ * (100 + percent) <= n * (100 - percent), F.floor(1000 * (n - differ) / (n + differ))
 
     return judge

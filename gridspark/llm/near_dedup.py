@@ -62,32 +62,37 @@ def least_common(percent: int) -> int:
     return max(0, int(TOKENS * p - DEVIATIONS * (TOKENS * p * (1 - p)) ** 0.5))
 
 
+#: What a vertex is judged by, all longs.
+BITS, SKETCH = [f"w{i}" for i in range(WORDS)], [f"s{i}" for i in range(TOKENS * NIBBLE // 64)]
+
+
 def with_sets(df: DataFrame, text: str) -> DataFrame:
     """``df`` without the text, and vertex (a digest of the shingle set, null for
-    an empty one), n_shingles, path (the first tokens), bits (which of 2,048
-    values the shingles' hashes take, null for large sets) and sketch (the last
-    bits of all tokens, null for small sets)."""
+    an empty one), n_shingles, path (the first tokens), ``BITS`` (which of 2,048
+    values the shingles' hashes take, 0 for large sets) and ``SKETCH`` (the last
+    bits of all tokens, 0 for small sets)."""
     kept = [f for f in df.schema.fields if f.name != text]
-    longs = T.ArrayType(T.LongType(), False)
-    added = [T.StructField("vertex", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("path", T.BinaryType()), T.StructField("bits", longs), T.StructField("sketch", longs)]
+    added = [T.StructField("vertex", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("path", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in BITS + SKETCH)]
+    schema = T.StructType([*kept, *added])
     at, keep = df.columns.index(text), [i for i, c in enumerate(df.columns) if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.field("element", pa.int64(), False))
         for batch in batches:
-            digests, sizes, paths, maps, sketches = [], [], [], [], []
-            for items in shingle_sets(batch.column(at), SHINGLE):
+            digests, sizes, paths, longs = [], [], [], np.zeros((batch.num_rows, len(BITS + SKETCH)), np.int64)
+            for i, items in enumerate(shingle_sets(batch.column(at), SHINGLE)):
                 n = len(items)
                 digests.append(digest_of(items))
                 sizes.append(n)
                 tokens = minhashes(items, FACTORS if n > SKETCHED else FACTORS[:PATH_TOKENS]) if n else None
                 paths.append(None if tokens is None else tokens[:PATH_TOKENS].tobytes())
-                maps.append(bitmap(items) if 0 < n <= MAPPED else None)
-                sketches.append(nibbles(tokens) if n > SKETCHED else None)
-            arrays = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(paths, pa.binary()), pa.array(maps, kind), pa.array(sketches, kind)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *arrays], [*(batch.schema.names[i] for i in keep), "vertex", "n_shingles", "path", "bits", "sketch"])
+                if 0 < n <= MAPPED:
+                    longs[i, :WORDS] = bitmap(items)
+                if n > SKETCHED:
+                    longs[i, WORDS:] = nibbles(tokens)
+            arrays = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(paths, pa.binary()), *map(pa.array, longs.T.copy())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *arrays], [f.name for f in schema.fields])
 
-    return df.mapInArrow(run, T.StructType([*kept, *added]))
+    return df.mapInArrow(run, schema)
 
 
 def bitmap(items: np.ndarray) -> np.ndarray:
@@ -111,13 +116,13 @@ def alike(percent: int):
         n = one("n_shingles") + other("n_shingles")
         sizes = F.least(one("n_shingles"), other("n_shingles")) * 100 >= F.greatest(one("n_shingles"), other("n_shingles")) * percent
         differ, equal = F.lit(0), F.lit(TOKENS)
-        for i in range(WORDS):
-            differ = differ + F.bit_count(F.get(one("bits"), F.lit(i)).bitwiseXOR(F.get(other("bits"), F.lit(i))))
-        for i in range(TOKENS * NIBBLE // 64):
-            x = F.get(one("sketch"), F.lit(i)).bitwiseXOR(F.get(other("sketch"), F.lit(i)))
+        for c in BITS:
+            differ = differ + F.bit_count(one(c).bitwiseXOR(other(c)))
+        for c in SKETCH:
+            x = one(c).bitwiseXOR(other(c))
             x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
             equal = equal - F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111)))
-        mapped = one("bits").isNotNull() & other("bits").isNotNull()
+        mapped = F.greatest(one("n_shingles"), other("n_shingles")) <= MAPPED
         possible = F.when(mapped, differ * (100 + percent) <= n * (100 - percent)).otherwise(equal >= least_common(percent))
         common = F.when(mapped, F.floor(1000 * (n - differ) / (n + differ))).otherwise(F.floor(equal * 1000 / TOKENS))
         return sizes & possible, common
@@ -130,7 +135,8 @@ def digest_of(items: np.ndarray) -> bytes | None:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, trees: int = TREES) -> DataFrame:
-    """One row per document: ``key``, n_shingles, component_id, vertex.
+    """One row per document: ``key``, n_shingles, component_id, vertex, digest (of
+    the text) and stays.
 
     Documents are linked where 100 * |intersection| >= percent * |union| of
     their shingle sets; ``component_id`` is the smallest key reachable by links.
@@ -138,21 +144,25 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     as the one shingle. A null or empty text, or one without words, has no
     shingles, is linked with nothing and has its own key as component.
 
+    ``stays`` is true for the first row of each component by (key, digest) and for
+    every row without shingles, so of a component one document stays.
+
     A null key is no smallest key unless all of the component are null.
-    Repeated rows are equal sets and each keep their row; ties need no order. An
-    empty table gives an empty one. Other columns are not read.
+    Repeated rows are equal sets and each keep their row, with the same values;
+    ties need no order. An empty table gives an empty one. Other columns are not
+    read.
     """
-    docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    docs = df.select(F.col(key).alias("k"), F.xxhash64(text).alias("x"), F.col(text).alias("t"))
     base = materialise(with_sets(docs, "t"), "sets")
-    vertices = base.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min("k").alias("first"), *(F.first(c).alias(c) for c in ("n_shingles", "path", "bits", "sketch")))
-    vertices = materialise(vertices, "vertices")
+    vertices = base.where("vertex IS NOT NULL").groupBy("vertex").agg(F.min(F.struct(F.col("k").isNull().alias("unknown"), "k", "x")).alias("first"), F.first(F.struct("n_shingles", "path", *BITS, *SKETCH)).alias("of"))
+    vertices = materialise(vertices.select("vertex", "first", "of.*"), "vertices")
     token = lambda c: F.substring("path", 4 * c + 1, 4)
     branches = [F.xxhash64(F.lit(i), *map(token, tokens)) for i, tokens in enumerate(roots(trees, percent))]
     rows = vertices.select(F.explode(F.array(*branches)).alias("node"), "vertex")
     tokens = vertices.select("vertex", F.transform(F.sequence(F.lit(0), F.lit(PATH_TOKENS - 1)), lambda i: F.substring("path", 4 * i + 1, F.lit(4))).alias("tokens"))
     label, _ = linked(
         rows,
-        vertices.select("vertex", "n_shingles", "bits", "sketch"),
+        vertices.select("vertex", "n_shingles", *BITS, *SKETCH),
         alike(percent),
         lambda some: materialise(tokens.join(some, "vertex"), "tokens"),
         PATH_TOKENS,
@@ -166,19 +176,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     member = label.select(F.col("id").alias("vertex"), "component")
     member = member.unionByName(label.select(F.col("component").alias("vertex"), "component").distinct())
     named = member.join(vertices.select("vertex", "first"), "vertex")
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = member.join(smallest, "component").select("vertex", "component_id")
-    ids = vertices.select("vertex", "first").join(named, "vertex", "left").select("vertex", F.coalesce("component_id", "first").alias("component_id"))
-    out = base.select("k", "n_shingles", "vertex").join(ids, "vertex", "left")
-    return out.select(F.col("k").alias(key), "n_shingles", F.when(F.col("vertex").isNull(), F.col("k")).otherwise(F.col("component_id")).alias("component_id"), "vertex")
+    smallest = named.groupBy("component").agg(F.min("first").alias("least"))
+    named = member.join(smallest, "component").select("vertex", "least")
+    ids = vertices.select("vertex", "first").join(named, "vertex", "left").select("vertex", F.coalesce("least", "first").alias("least"))
+    out = base.select("k", "x", "n_shingles", "vertex").join(ids, "vertex", "left")
+    alone = F.col("vertex").isNull()
+    stays = alone | (F.col("k").eqNullSafe(F.col("least.k")) & F.col("x").eqNullSafe(F.col("least.x")))
+    return out.select(F.col("k").alias(key), "n_shingles", F.when(alone, F.col("k")).otherwise(F.col("least.k")).alias("component_id"), "vertex", F.col("x").alias("digest"), stays.alias("stays"))
 
 
 def texts_of(pairs: DataFrame, vertices: DataFrame, docs: DataFrame) -> DataFrame:
     """vertex and text of one document of each vertex in the pairs. A text comes
-    by its document's key; where keys repeat, the set's digest tells later which
-    of the texts is meant."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().join(vertices.select("vertex", "first"), "vertex")
-    return materialise(docs.join(wanted, docs["k"].eqNullSafe(wanted["first"])).select("vertex", "t"), "texts")
+    by its document's key and digest."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
+    wanted = wanted.join(vertices.select("vertex", F.col("first.k").alias("key"), F.col("first.x").alias("digest")), "vertex")
+    return materialise(docs.join(wanted, docs["k"].eqNullSafe(wanted["key"]) & (docs["x"] == wanted["digest"])).select("vertex", "t"), "texts")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:

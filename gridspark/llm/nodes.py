@@ -31,14 +31,14 @@ BEST_FIRST = 1
 #: Tokens of a branch.
 DEPTH = 2
 #: A node branches if comparing it across its components takes more than the square of this.
-MEDIUM = 512
+MEDIUM = 1024
 #: What ``apart`` adds.
 PARTED = ("major", "n", "minor", "leader")
 #: So often ``levels`` levels follow each other with fresh components between them. Nodes shrink at every level; what
 #: is still large after all of them holds sets that agree on all tokens and are no links, and is compared across its components.
 ROUNDS = 6
 
-#: Of two vertices' features, given as functions from a feature's name to its column: whether the pair can be a link, and how likely it is one.
+#: Of two vertices' features (longs), given as functions from a feature's name to its column: whether the pair can be a link, and how likely it is one.
 Alike = Callable[[Callable[[str], Column], Callable[[str], Column]], tuple[Column, Column]]
 
 
@@ -93,14 +93,17 @@ def star(rows: DataFrame) -> DataFrame:
 
 
 def _own(features: DataFrame, end: str) -> list[Column]:
-    return [F.col(c).alias(f"{c}_{end}") for c in features.columns if c != "vertex"]
+    """The features, longs all of them, as columns that are known not to be null:
+    the code that is generated for comparing them stays short enough to be compiled."""
+    return [F.coalesce(c, F.lit(0).cast("long")).alias(f"{c}_{end}") for c in features.columns if c != "vertex"]
 
 
 def scored(pairs: DataFrame, features: DataFrame, alike: Alike) -> DataFrame:
     """The pairs that can be links, each once, with ``common``, higher for likelier ones."""
     pairs = pairs.distinct()
     for end in ("a", "b"):
-        pairs = pairs.join(features.select(F.col("vertex").alias(end), *_own(features, end)), end)
+        own = features.select(F.col("vertex").alias(end), *_own(features, end))
+        pairs = pairs.join(own, end)
     possible, common = alike(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"))
     return pairs.where(possible).select("a", "b", common.alias("common"))
 
