@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, running_before
+from .common import documents, running_before, scratch_path
 
 BUCKET_BYTES = 32 << 20
 MIN_BUCKETS = 1024
@@ -80,15 +80,17 @@ def external_shuffle(
     return out.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("position") - first)
 
 
-def write_shards(df: DataFrame, path: str) -> None:
+def write_shards(df: DataFrame, path: str) -> DataFrame:
     """Writes the shards of ``external_shuffle`` as Parquet, one folder a shard,
-    each bucket's run in the order of its slots."""
+    each bucket's run in the order of its slots, and reads them back. A task that
+    is lost writes its files anew: they appear when the job commits."""
     df.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def op2_external_shuffle(spark, sf_dir) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = external_shuffle(docs, "doc_id")
+    out = write_shards(external_shuffle(docs, "doc_id"), scratch_path(spark, "shards"))
     return out.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
