@@ -22,6 +22,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import documents, materialise, running_before, scratch_path, shuffle_partitions
 
@@ -220,7 +221,7 @@ def write_sequences(
     are not read, whatever their names. A task that is run again writes files of
     the same name and content; nothing is listed before it is complete.
     """
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}[dict(df.dtypes)[key]]
+    kind = to_arrow_type(df.schema[key].dataType)
     rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.repartitionByRange(shuffle_partitions(df.sparkSession), "k").sortWithinPartitions("k", "t")
 
@@ -288,7 +289,7 @@ def token_table(spark, docs: DataFrame, tokenizer: str | None = None) -> DataFra
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     path = scratch_path(spark, "sequences")
     files = write_sequences(docs.select("doc_id", "text"), path, tokenizer, 1)
-    return read_documents(files, path)
+    return read_documents(files, path, key_type=dict(docs.dtypes)["doc_id"])
 
 
 def op8_token_files(spark, sf_dir) -> DataFrame:
