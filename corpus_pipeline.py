@@ -21,21 +21,29 @@ from gridspark.llm.toxicity import THRESHOLD, classify, corpus_model
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below both 0.3 and the threshold of their
-    language, or that the classifier has no reason to reject: a document goes
-    where its score reaches the higher of the two."""
+    """Documents that the classifier does not predict to be toxic: those whose
+    score is below 0.3, the operator's ``predicted``. A null text is scored as an
+    empty one; repeated rows stay or go alike."""
     scored = classify(docs, corpus_model(spark, docs, sf_dir))
-    return scored.where(F.col("score") < F.greatest("threshold", F.lit(THRESHOLD))).select(*docs.columns)
+    return scored.where(F.col("score") < THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates stays, that of the
-    smallest doc_id. Documents without words are linked with nothing and stay.
-    Rows that share a doc_id are one document here: they stay or go together."""
+    """One row of each component of near-duplicates stays, the first by (doc_id,
+    digest of the text); a null doc_id comes last. Rows without words are linked
+    with nothing and stay. Rows that share a doc_id are judged one by one; of rows
+    that share doc_id and text one stays."""
     found = near_duplicates(docs)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return docs.join(gone.join(kept, "doc_id", "left_anti"), "doc_id", "left_anti").select(*docs.columns)
+    row = F.xxhash64("text")
+    gone = found.where(~F.col("stays")).select(F.col("doc_id").alias("_k"), F.col("digest").alias("_d")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_k")) & (row == F.col("_d"))
+    kept = docs.join(gone, same, "left_anti")
+    again = found.where(F.col("stays") & F.col("vertex").isNotNull()).groupBy(F.col("doc_id").alias("_k"), F.col("digest").alias("_d")).count().where("count > 1").select("_k", "_d")
+    again = materialise(again, "repeated")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same, "left_anti").unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
