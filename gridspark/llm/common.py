@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,6 +100,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, which at its end gives back the memory that the
+    allocators of Arrow and of the C library keep: Spark uses a worker again for
+    the next stage, beside an executor that has grown meanwhile."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # no glibc here
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return f
+
+
 def running_before(total: str, by: list[str], order: list[str]) -> Column:
     """Sum of ``total`` over the rows before this one. For summary tables only."""
     w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)

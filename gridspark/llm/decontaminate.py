@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, documents, materialise
+from .common import LOWER, UPPER, documents, materialise, trimmed
 
 WINDOW = 13
 #: Item texts are searched for in groups of so many bytes at most; each group is one pass over the texts.
@@ -190,7 +190,7 @@ def _searched(df: DataFrame, group, key: str, text: str, window: int, seen: T.St
             kept = [n for n in batch.schema.names if n != "_seen"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out, _SEEN)], [*kept, "_seen"])
 
-    return df.mapInArrow(search, schema)
+    return df.mapInArrow(trimmed(search), schema)
 
 
 _SEEN = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))), ("items", pa.list_(pa.string()))])

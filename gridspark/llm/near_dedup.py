@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, materialise, shuffle_partitions
+from .common import documents, materialise, shuffle_partitions, trimmed
 from .nodes import linked
 from .shingles import minhashes, shingle_sets
 
@@ -92,7 +92,7 @@ def with_sets(df: DataFrame, text: str) -> DataFrame:
             arrays = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(paths, pa.binary()), *map(pa.array, longs.T.copy())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *arrays], [f.name for f in schema.fields])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def bitmap(items: np.ndarray) -> np.ndarray:
@@ -222,7 +222,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                         ends[1].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(e, pa.binary()) for e in ends], ["a", "b"])
 
-    return materialise(texts.mapInArrow(run, "a binary, b binary"), "links")
+    return materialise(texts.mapInArrow(trimmed(run), "a binary, b binary"), "links")
 
 
 def op9_near_dedup(spark, sf_dir) -> DataFrame:

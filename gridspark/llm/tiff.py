@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, trimmed
 
 ROW = 64
 ROWS_OF_OUTPUT = 256
@@ -294,7 +294,7 @@ def encode_texts(df: DataFrame, text: str = "text", media: str = "media") -> Dat
                 stored = [text_to_tiff(t.as_py() or b"") for t in batch.column(at).cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stored, pa.binary())], [*batch.schema.names, media])
 
-    return df.mapInArrow(encode, schema)
+    return df.mapInArrow(trimmed(encode), schema)
 
 
 def decode_pages(df: DataFrame, media: str = "media") -> DataFrame:
@@ -328,7 +328,7 @@ def decode_pages(df: DataFrame, media: str = "media") -> DataFrame:
                 arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *(n for n, _ in added)])
 
-    return df.mapInArrow(decode, schema)
+    return df.mapInArrow(trimmed(decode), schema)
 
 
 def pages_of(data: bytes | None) -> Iterator[tuple]:

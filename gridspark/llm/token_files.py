@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import documents, materialise, running_before, scratch_path, shuffle_partitions
+from .common import documents, materialise, running_before, scratch_path, shuffle_partitions, trimmed
 
 LENGTH = 1024
 BATCH = 256
@@ -245,7 +245,7 @@ def write_sequences(
         columns = list(zip(*done)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "number", "file", "n_docs", "n_tokens"])
 
-    files = rows.mapInArrow(write, "part int, number int, file string, n_docs long, n_tokens long")
+    files = rows.mapInArrow(trimmed(write), "part int, number int, file string, n_docs long, n_tokens long")
     return materialise(files, "token-files")
 
 
@@ -269,7 +269,7 @@ def read_documents(files: DataFrame, path: str, key: str = "doc_id", key_type: s
                         crcs = [zlib.crc32(stored.tokens(int(s), int(n)).astype("<u4")) for s, n in zip(starts, counts)]
                         yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(starts + base), docs.column(2), pa.array(crcs, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
 
-    return listed.mapInArrow(read, f"key {key_type}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
+    return listed.mapInArrow(trimmed(read), f"key {key_type}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
