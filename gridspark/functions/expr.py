@@ -9,18 +9,68 @@ from pyspark.sql import functions as F
 
 EARTH_KM, DEGREE_KM = 6371.0, 111.0
 OMEGA = 7.2921e-5
-#: Earlier keys win where several are contained in a variable's name.
-RANGES = {
+# Physical bounds of variables, as the cleaner and as the quality engine have them.
+CLEANER_RANGES = {
     "temperature": (180.0, 330.0),
-    "temperature_2m": (180.0, 340.0),
-    "sea_surface_temperature": (270.0, 310.0),
-    "pressure": (50000.0, 110000.0),
-    "u_wind": (-120.0, 120.0),
-    "v_wind": (-120.0, 120.0),
-    "wind_speed": (0.0, 120.0),
+    "temperature_2m": (180.0, 320.0),
+    "temperature_surface": (180.0, 330.0),
+    "water_temperature": (271.0, 305.0),
+    "sea_surface_temperature": (271.0, 305.0),
+    "skin_temperature": (200.0, 330.0),
+    "sea_ice_temperature": (200.0, 273.0),
     "relative_humidity": (0.0, 100.0),
-    "precipitation": (0.0, 0.1),
-    "salinity": (0.0, 45.0),
+    "specific_humidity": (0.0, 0.05),
+    "pressure": (87000.0, 108500.0),
+    "pressure_surface": (87000.0, 108500.0),
+    "pressure_sea_level": (87000.0, 108500.0),
+    "surface_pressure": (87000.0, 108500.0),
+    "wind_speed": (0.0, 150.0),
+    "wind_speed_10m": (0.0, 85.0),
+    "u_wind": (-150.0, 150.0),
+    "v_wind": (-150.0, 150.0),
+    "wind_direction": (0.0, 360.0),
+    "wind_direction_10m": (0.0, 360.0),
+    "precipitation": (0.0, 1000.0),
+    "salinity": (0.0, 42.0),
+    "geopotential_height": (0.0, 50000.0),
+    "vorticity": (-1e-2, 1e-2),
+    "divergence": (-1e-3, 1e-3),
+    "sea_ice_concentration": (0.0, 1.0),
+    "sea_ice_thickness": (0.0, 50.0),
+    "soil_moisture": (0.0, 1.0),
+    "albedo": (0.0, 1.0),
+    "cloud_cover": (0.0, 1.0),
+}
+ENGINE_RANGES = {
+    "temperature": (180.0, 330.0),
+    "temperature_2m": (180.0, 320.0),
+    "water_temperature": (271.0, 305.0),
+    "sea_surface_temperature": (271.0, 305.0),
+    "skin_temperature": (200.0, 330.0),
+    "sea_ice_temperature": (200.0, 273.0),
+    "pressure": (87000.0, 108500.0),
+    "surface_pressure": (87000.0, 108500.0),
+    "pressure_sea_level": (87000.0, 108500.0),
+    "wind_speed": (0.0, 100.0),
+    "wind_speed_10m": (0.0, 85.0),
+    "wind_direction": (0.0, 360.0),
+    "wind_direction_10m": (0.0, 360.0),
+    "u_wind": (-150.0, 150.0),
+    "v_wind": (-150.0, 150.0),
+    "relative_humidity": (0.0, 100.0),
+    "specific_humidity": (0.0, 0.05),
+    "precipitation": (0.0, 1000.0),
+    "salinity": (0.0, 42.0),
+    "sea_ice_concentration": (0.0, 1.0),
+    "sea_ice_thickness": (0.0, 50.0),
+    "soil_moisture": (0.0, 1.0),
+    "albedo": (0.0, 1.0),
+    "cloud_cover": (0.0, 1.0),
+    "geopotential_height": (0.0, 50000.0),
+    "shortwave_radiation": (0.0, 1500.0),
+    "sensible_heat_flux": (-500.0, 500.0),
+    "latent_heat_flux": (-500.0, 500.0),
+    "evapotranspiration": (0.0, 100.0),
 }
 
 
@@ -67,12 +117,16 @@ def compare(value: Column, operator: Column | str, threshold: Column) -> Column:
     return found.when(op == "==", F.abs(value - threshold) < 1e-10).otherwise(value > threshold)
 
 
-def range_of(variable: Column, substring: bool = True, ranges=RANGES) -> tuple[Column, Column]:
-    """Bounds for a variable: of the longest key that its lower-cased name
-    contains (or is, without ``substring``); null where there is none."""
+def range_of(variable: Column, rule: str = "first", ranges: dict[str, tuple[float, float]] | None = None) -> tuple[Column, Column]:
+    """Bounds for a variable, null where there are none. By the rule ``exact`` a
+    key must be the name (the cleaner's table), by ``first`` the first key that the
+    lower-cased name contains holds (the engine's table), by ``longest`` the
+    longest such key, which tells a surface temperature from a temperature."""
+    ranges = ranges or (CLEANER_RANGES if rule == "exact" else ENGINE_RANGES)
+    keys = sorted(ranges, key=len, reverse=True) if rule == "longest" else list(ranges)
     low = high = F.lit(None).cast("double")
-    for key in sorted(ranges, key=len):
-        hit = F.lower(variable).contains(key) if substring else variable == key
+    for key in reversed(keys):
+        hit = variable == key if rule == "exact" else F.lower(variable).contains(key)
         low, high = F.when(hit, ranges[key][0]).otherwise(low), F.when(hit, ranges[key][1]).otherwise(high)
     return low, high
 
@@ -116,3 +170,33 @@ def wind_speed(u: Column, v: Column) -> Column:
 def matched(names: Column, wanted: str) -> Column:
     """Whether any of the names contains the wanted text."""
     return F.array_join(names, ",").contains(wanted)
+
+
+def lead_seconds(start: Column, end: Column) -> Column:
+    """Duration or lead time, in seconds."""
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6
+
+
+def iso(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def from_iso(text: Column) -> Column:
+    """The time that an ISO string names; null for anything else."""
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+
+
+def array_reductions(a: Column) -> dict[str, Column]:
+    """Mean, ends and norm of an array's numbers; null for an empty one."""
+    x = F.transform(a, lambda v: v.cast("double"))
+    total = F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    squares = F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
+    some = F.size(x) > 0
+    return {"mean": F.when(some, total / F.size(x)), "min": F.array_min(x), "max": F.array_max(x), "norm": F.when(some, F.sqrt(squares))}
+
+
+def merged(entries: Column) -> Column:
+    """A map of entries (key, value) in their order, of one key the last."""
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    last = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
+    return F.map_from_arrays(keys, F.transform(keys, last))

@@ -138,3 +138,43 @@ def _taper(kind: str, c):
     near = 1 - 5 / 3 * c**2 + 5 / 8 * c**3 + c**4 / 2 - c**5 / 4
     far = 4 - 5 * c + 5 / 3 * c**2 + 5 / 8 * c**3 - c**4 / 2 + c**5 / 12 - 2 / (3 * safe)
     return np.where(c <= 1, near, np.where(c < 2, np.maximum(far, 0), 0))
+
+
+def increments(analysis: DataFrame, background: DataFrame, keys: list[str]) -> DataFrame:
+    """Analysis less background of the cells (keys..., value) that both have."""
+    before = background.select(*keys, F.col("value").alias("_b"))
+    return analysis.join(before, keys).select(*keys, (F.col("value") - F.col("_b")).alias("increment"))
+
+
+def nearest_levels(obs: DataFrame, levels: DataFrame, altitude: str = "altitude") -> DataFrame:
+    """lev_idx of the level (idx, pos) nearest to each observation's altitude, the
+    first of equally near ones; the lowest index without an altitude."""
+    one = levels.agg(F.sort_array(F.collect_list(F.struct("idx", "pos"))).alias("_axis"))
+    out = obs.crossJoin(F.broadcast(one))  # one row: an axis is small by nature
+    near = F.array_min(F.transform("_axis", lambda a: F.struct(F.coalesce(F.abs(a["pos"] - F.col(altitude)), F.lit(0.0)).alias("d"), a["idx"].alias("i"))))
+    return out.withColumn("lev_idx", near["i"]).drop("_axis")
+
+
+def four_d_var(background: DataFrame, innovations: DataFrame, cell: list[str], centre: Column, width_hours: float, radius_km: float, background_error: float, ts: str = "ts") -> DataFrame:
+    """The increments of ``three_d_var`` from the observations in the window."""
+    return three_d_var(background, in_window(innovations, centre, width_hours, ts), cell, radius_km, background_error)
+
+
+#: Which of the three procedures a method's name asks for.
+METHODS = {"enkf": "enkf", "letkf": "enkf", "etkf": "enkf", "3dvar": "three_d_var", "4dvar": "four_d_var", "hybrid": "four_d_var"}
+
+
+def assimilate(method: str, background: DataFrame, obs: DataFrame, cell: list[str], centre: Column, radius_km: float = 500.0, background_error: float = 1.0, window_hours: float = 6.0, members: DataFrame | None = None) -> DataFrame:
+    """Increments (cell..., increment) by the method: refused observations and, for
+    4DVar, those outside the window go first. The ensemble methods take members
+    (group, member, lat, lon, value) and observations with group and obs_id, and
+    return the analysis itself."""
+    kind = METHODS.get(method.lower(), "enkf")
+    good = rejected(obs).where("rejected IS NULL").drop("rejected")
+    if kind == "enkf":
+        if members is None:
+            raise ValueError(f"{method} needs an ensemble")
+        return enkf(members, good, "group", radius_km)
+    if kind == "four_d_var":
+        return four_d_var(background, good, cell, centre, window_hours, radius_km, background_error)
+    return three_d_var(background, good, cell, radius_km, background_error)

@@ -117,16 +117,48 @@ class Coupling:
     scale: float = 1.0
     tau: float = 86400.0
     interval: float = 3600.0
-    level: float | None = None
+    level: float | None = None  # of the source, the nearest
+    target_level: float | None = None  # of the target, the nearest; else its first three
 
 
+# What the components hand to each other when fully coupled, 20 maps over 8 interfaces.
 COUPLINGS = (
-    Coupling("atmosphere", "ocean", "temperature", "sea_surface_temperature", "relaxation", tau=10 * 86400, level=1000.0),
-    Coupling("ocean", "atmosphere", "sea_surface_temperature", "temperature", "relaxation", tau=5 * 86400),
+    Coupling("atmosphere", "ocean", "temperature", "sea_surface_temperature", "relaxation", tau=3 * 86400, level=1000.0),
+    Coupling("atmosphere", "ocean", "u_wind", "u_current", "flux", scale=0.001),
+    Coupling("atmosphere", "ocean", "v_wind", "v_current", "flux", scale=0.001),
+    Coupling("atmosphere", "ocean", "sensible_heat_flux", "water_temperature", "flux", scale=1 / (1025 * 4186 * 50)),
+    Coupling("atmosphere", "ocean", "precipitation", "salinity", "flux", scale=-0.01),
+    Coupling("ocean", "atmosphere", "sea_surface_temperature", "temperature", "relaxation", tau=86400, target_level=1000.0),
     Coupling("atmosphere", "land", "temperature", "skin_temperature", "relaxation", tau=86400, level=1000.0),
-    Coupling("atmosphere", "land", "precipitation", "soil_moisture", "flux"),
-    Coupling("atmosphere", "sea_ice", "temperature", "sea_ice_temperature", "relaxation", tau=86400, level=1000.0),
+    Coupling("atmosphere", "land", "precipitation", "soil_moisture", "flux", scale=0.001),
+    Coupling("atmosphere", "land", "shortwave_radiation", "skin_temperature", "flux", scale=1e-6),
+    Coupling("land", "atmosphere", "skin_temperature", "temperature", "relaxation", tau=2 * 86400, target_level=1000.0),
+    Coupling("land", "atmosphere", "evapotranspiration", "specific_humidity", "flux", scale=0.001),
+    Coupling("land", "atmosphere", "albedo", "shortwave_radiation", "direct", scale=0.5),
+    Coupling("ocean", "sea_ice", "water_temperature", "sea_ice_temperature", "relaxation", tau=5 * 86400, level=5.0),
+    Coupling("ocean", "sea_ice", "u_current", "ice_u_velocity", "direct", scale=0.01, level=5.0),
+    Coupling("ocean", "sea_ice", "v_current", "ice_v_velocity", "direct", scale=0.01, level=5.0),
+    Coupling("sea_ice", "ocean", "sea_ice_concentration", "sea_surface_temperature", "flux", scale=-5e-6),
+    Coupling("atmosphere", "sea_ice", "temperature", "sea_ice_temperature", "relaxation", tau=2 * 86400, level=1000.0),
+    Coupling("atmosphere", "sea_ice", "u_wind", "ice_u_velocity", "flux", scale=0.0001),
+    Coupling("atmosphere", "sea_ice", "v_wind", "ice_v_velocity", "flux", scale=0.0001),
+    Coupling("sea_ice", "atmosphere", "sea_ice_concentration", "shortwave_radiation", "flux", scale=-0.01),
 )
+ONE_WAY = (
+    Coupling("atmosphere", "ocean", "temperature", "sea_surface_temperature", "relaxation", tau=86400),
+    Coupling("atmosphere", "land", "precipitation", "soil_moisture", "flux", scale=0.001),
+)
+
+
+def couplings_of(kind: str) -> tuple[Coupling, ...]:
+    """The maps of a kind of coupling: both ways and full are the same, one way
+    has two, anything else none."""
+    return {"fully_coupled": COUPLINGS, "two_way": COUPLINGS, "one_way": ONE_WAY}.get(kind, ())
+
+
+def coupling_table(spark: SparkSession, couplings=COUPLINGS) -> DataFrame:
+    rows = [(c.source, c.target, c.source_var, c.target_var, c.method, float(c.scale), float(c.tau), c.level) for c in couplings]
+    return spark.createDataFrame(rows, "source string, target string, source_var string, target_var string, method string, scale double, tau double, level double")
 
 
 def nearest_level(state: DataFrame, level: float) -> DataFrame:
@@ -138,7 +170,10 @@ def nearest_level(state: DataFrame, level: float) -> DataFrame:
 
 def couple(target: DataFrame, source: DataFrame, c: Coupling, seconds: float) -> DataFrame:
     """The target's field drawn to, replaced by or fed from the source's, on the
-    same latitudes and longitudes; of a field with levels the first three."""
+    same latitudes and longitudes; of a field with levels the first three, or the
+    one named. A map of a variable that either side lacks changes nothing."""
+    if c.source_var not in source.columns or c.target_var not in target.columns:
+        return target
     picked = nearest_level(source, c.level) if c.level is not None else source.where("lev_idx = 0")
     given = picked.select("lat", "lon", F.col(c.source_var).alias("_given"))
     x, g = F.col(c.target_var), F.col("_given") * c.scale
@@ -146,7 +181,12 @@ def couple(target: DataFrame, source: DataFrame, c: Coupling, seconds: float) ->
         new = x + min(1.0, seconds / c.tau) * (g - x)
     else:
         new = g if c.method == "direct" else x + g * seconds
-    return target.join(given, ["lat", "lon"], "left").withColumn(c.target_var, F.when((F.col("lev_idx") < 3) & F.col("_given").isNotNull(), new).otherwise(x)).drop("_given")
+    meant, columns = F.col("lev_idx") < 3, target.columns
+    if c.target_level is not None:
+        own = nearest_level(target, c.target_level).select("lev_idx").distinct().withColumn("_meant", F.lit(True))
+        target, meant = target.join(F.broadcast(own), "lev_idx", "left"), F.coalesce("_meant", F.lit(False))  # one level
+    out = target.join(given, ["lat", "lon"], "left").withColumn(c.target_var, F.when(meant & F.col("_given").isNotNull(), new).otherwise(x))
+    return out.select(*columns)
 
 
 def run(spark: SparkSession, hours: float, step_seconds: float = 10800.0, resolution: float = 10.0, couplings=COUPLINGS, seed: int = 0) -> dict[str, DataFrame]:
@@ -170,6 +210,18 @@ def run(spark: SparkSession, hours: float, step_seconds: float = 10800.0, resolu
     return state
 
 
+def outputs(spark: SparkSession, hours: float, every: float, step_seconds: float = 10800.0, resolution: float = 10.0, couplings=COUPLINGS, seed: int = 0, most: int = 50) -> DataFrame:
+    """Means of the surface fields after each ``every`` hours, ``most`` times at
+    most: hours, field, mean."""
+    found, times = None, [every * (k + 1) for k in range(min(most, int(hours // every)))]
+    for at in times:
+        top = combined(run(spark, at, step_seconds, resolution, couplings, seed))
+        names = [c for c in top.columns if c not in ("lat", "lon")]
+        one = top.agg(*(F.avg(c).alias(c) for c in names)).unpivot([], names, "field", "mean").withColumn("hours", F.lit(at))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def combined(state: dict[str, DataFrame]) -> DataFrame:
     """Surface fields of all components side by side, named component_variable,
     on the first component's latitudes and longitudes."""
@@ -209,13 +261,17 @@ def lagged(states: DataFrame, cell: list[str], members: int, lags=(0, 6, 12, 18,
 
 
 def smoothed_noise(grid: DataFrame, by: list[str], sigma: float, seed: int = 200) -> DataFrame:
-    """Gaussian-smoothed noise on each group's grid (lat_idx, lon_idx), edges reflected."""
+    """Gaussian-smoothed noise on each group's grid (lat_idx, lon_idx), edges
+    reflected; every group has noise of its own."""
+    import zlib
+
     import numpy as np
     import pandas as pd
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         n, m = int(pdf["lat_idx"].max()) + 1, int(pdf["lon_idx"].max()) + 1
-        z = np.random.default_rng(seed).normal(size=(n, m))
+        group = zlib.crc32(repr([pdf[c].iloc[0] for c in by]).encode())
+        z = np.random.default_rng([seed, group]).normal(size=(n, m))
         r = max(1, int(4 * sigma + 0.5))
         k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
         k /= k.sum()
@@ -228,6 +284,26 @@ def smoothed_noise(grid: DataFrame, by: list[str], sigma: float, seed: int = 200
     return grid.groupBy(*by).applyInPandas(one, f"{kinds}, noise double")
 
 
+def stochastic(control: DataFrame, members: int, by: list[str] = ["variable"], sigma: float = 2.0, amplitude: float = 0.05, seed: int = 200) -> DataFrame:  # noqa: B006
+    """Members of a control (by..., lat_idx, lon_idx, value) that differ by smooth
+    noise in the field's own deviations."""
+    std = control.groupBy(*by).agg(F.stddev_pop(finite(F.col("value"))).alias("_s"))
+    out = control.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
+    out = smoothed_noise(out, [*by, "member"], sigma, seed).join(std, by)
+    return out.withColumn("value", F.col("value") + amplitude * F.col("_s") * F.col("noise")).drop("noise", "_s")
+
+
+def generated(control: DataFrame, members: int, keys: list[str], method: str = "random", history: DataFrame | None = None, **options) -> DataFrame:
+    """Initial members by the method's name: ``bred``, ``stochastic``, ``lagged``
+    (which needs the history), else random noise, as for the methods that have no
+    procedure of their own."""
+    if method == "stochastic":
+        return stochastic(control, members, **options)
+    if method == "lagged" and history is not None:
+        return lagged(history, keys, members, **options)
+    return perturbed(control, members, keys, "bred" if method in ("bred", "bred_vectors") else "random", **options)
+
+
 def integrate(members: DataFrame, key: str, step, lead_seconds: float, dt: float) -> DataFrame:
     """Each member (a group) moved on by ``step(pandas, seconds)`` until the lead time."""
     import pandas as pd

@@ -227,3 +227,19 @@ def _hht(x, fs, bins: int = 100):
         k = np.clip((f / (fs / 2) * bins).astype(int), 0, bins - 1)
         np.add.at(power, (k, np.arange(n)), np.abs(z) ** 2)
     return (np.arange(bins) + 0.5) * fs / 2 / bins, np.arange(n) / fs, power
+
+
+def combined_similarity(d1: Column, d2: Column, v1: Column, v2: Column, m1: Column, m2: Column) -> dict[str, Column]:
+    """score (six parts in ten by time, four by space), temporal, spatial, and the
+    absolute differences of the variables that both have."""
+    t, s = temporal_similarity(d1, d2, v1, v2), spatial_similarity(m1, m2)
+    common = F.array_sort(F.array_intersect(F.map_keys(m1), F.map_keys(m2)))
+    matched = F.map_from_arrays(common, F.transform(common, lambda k: F.abs(m1[k] - m2[k])))
+    return {"score": 0.6 * t + 0.4 * s, "temporal": t, "spatial": s, "matched_variables": matched}
+
+
+def event_database(df: DataFrame, event: list[str], variable: str = "variable") -> DataFrame:
+    """A row for each event: the fingerprint of all its values, and its means by variable."""
+    means = df.groupBy(*event, variable).agg(F.avg(finite(F.col("value"))).alias("_m"))
+    means = means.groupBy(*event).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(variable, "_m")))).alias("means"))
+    return fingerprint(df, event).join(means, event)

@@ -17,16 +17,19 @@ EVENTS = (
     ("heatwave", "humidity", ">", 0.6),
     ("heavy_rain", "precipitation", ">", 1e-4),
 )
+#: A cell's id is its level times this, and its place in the level: four times its parent's, and its quarter.
+LEVEL = 1 << 52
 EVENT_RADIUS = {"typhoon": 500.0, "heatwave": 300.0, "heavy_rain": 200.0}
 
 
 def base_mesh(spark: SparkSession, resolution: float, lat=(-90.0, 90.0), lon=(0.0, 360.0)) -> DataFrame:
     """Cells of level 0 in rows from the south: cell_id, level, bounds."""
-    rows, columns = int((lat[1] - lat[0]) / resolution), int((lon[1] - lon[0]) / resolution)
+    rows, columns = (int((x[1] - x[0]) / resolution + 1e-9) for x in (lat, lon))
     i, j = F.expr(f"id div {columns}"), F.col("id") % columns
-    south, west = lat[0] + i * resolution, lon[0] + j * resolution
+    # Each bound is worked out once for both cells that it parts, so that no point lies in two cells or in none.
+    south, west, north, east = lat[0] + i * resolution, lon[0] + j * resolution, lat[0] + (i + 1) * resolution, lon[0] + (j + 1) * resolution
     cells = spark.range(rows * columns)
-    return cells.select(F.col("id").alias("cell_id"), F.lit(0).alias("level"), south.alias("lat_min"), (south + resolution).alias("lat_max"), west.alias("lon_min"), (west + resolution).alias("lon_max"))
+    return cells.select(F.col("id").alias("cell_id"), F.lit(0).alias("level"), south.alias("lat_min"), north.alias("lat_max"), west.alias("lon_min"), east.alias("lon_max"))
 
 
 def children(cells: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def children(cells: DataFrame) -> DataFrame:
         parts.append(F.struct(F.lit(k).alias("k"), a[0].alias("lat_min"), a[1].alias("lat_max"), o[0].alias("lon_min"), o[1].alias("lon_max")))
     out = cells.select("cell_id", "level", F.explode(F.array(*parts)).alias("c"))
     return out.select(
-        (F.col("cell_id") * 4 + F.col("c.k") + 1_000_000).alias("cell_id"), (F.col("level") + 1).alias("level"), "c.lat_min", "c.lat_max", "c.lon_min", "c.lon_max", F.col("cell_id").alias("parent")
+        ((F.col("level") + 1).cast("long") * LEVEL + (F.col("cell_id") % LEVEL) * 4 + F.col("c.k")).alias("cell_id"), (F.col("level") + 1).alias("level"), "c.lat_min", "c.lat_max", "c.lon_min", "c.lon_max", F.col("cell_id").alias("parent")
     )
 
 
@@ -61,12 +64,13 @@ def coarsen(mesh: DataFrame) -> DataFrame:
 
 def locate(points: DataFrame, mesh: DataFrame, base: float) -> DataFrame:
     """Each point (lat, lon) with the deepest leaf that contains it (half-open
-    bounds). Points and leaves meet by the base cell they lie in, so each point
-    meets only the leaves of one base cell."""
-    key = lambda a, o: (F.floor(a / base), F.floor(o / base))
-    pk, mk = key(F.col("lat"), F.col("lon")), key(F.col("lat_min"), F.col("lon_min"))
-    p = points.withColumns({"_a": pk[0], "_o": pk[1]})
-    m = mesh.withColumns({"_a": mk[0], "_o": mk[1]})
+    bounds). Points and leaves meet by the base cell they lie in, a leaf by its
+    centre; a point so near an edge that rounding decides meets those on either
+    side, and the bounds settle it."""
+    near = lambda x: F.array_distinct(F.array(F.floor(x / base - 1e-6), F.floor(x / base + 1e-6)))
+    mid = lambda c: F.floor((F.col(f"{c}_min") + F.col(f"{c}_max")) / 2 / base)
+    p = points.withColumn("_a", F.explode(near(F.col("lat")))).withColumn("_o", F.explode(near(F.col("lon"))))
+    m = mesh.withColumns({"_a": mid("lat"), "_o": mid("lon")})
     inside = (F.col("lat") >= F.col("lat_min")) & (F.col("lat") < F.col("lat_max")) & (F.col("lon") >= F.col("lon_min")) & (F.col("lon") < F.col("lon_max"))
     return p.join(m, ["_a", "_o"]).where(inside).drop("_a", "_o")
 
@@ -136,3 +140,41 @@ def cluster_events(events: DataFrame) -> DataFrame:
 
 def contains(lat: Column, lon: Column) -> Column:
     return (lat >= F.col("lat_min")) & (lat < F.col("lat_max")) & (lon >= F.col("lon_min")) & (lon < F.col("lon_max"))
+
+
+def centres(mesh: DataFrame) -> DataFrame:
+    """lat and lon of the cells' centres, and their area in square degrees."""
+    mid = lambda c: (F.col(f"{c}_min") + F.col(f"{c}_max")) / 2
+    area = (F.col("lat_max") - F.col("lat_min")) * (F.col("lon_max") - F.col("lon_min"))
+    return mesh.withColumns({"lat": mid("lat"), "lon": mid("lon"), "area": area})
+
+
+def refine_to(mesh: DataFrame, points: DataFrame, level: int, base: float, max_level: int = 4, min_km: float = 1.0) -> DataFrame:
+    """The mesh with the leaves that hold the points quartered until these are
+    leaves of ``level``; four levels at most, so the loop is a short plan."""
+    for k in range(min(level, max_level)):
+        hit = locate(points.select("lat", "lon"), mesh.where(F.col("level") == k), base).select("cell_id").distinct()
+        mesh = refine(mesh, hit, max_level, min_km)
+    return mesh
+
+
+def cells_by_gradient(located: DataFrame, variable: str = "value", lat: str = "lat_idx", lon: str = "lon_idx") -> DataFrame:
+    """Of each mesh cell the largest forward-difference gradient of the grid
+    points in it; points without a neighbour on either axis inside the cell count
+    for nothing."""
+    ahead = lambda by, axis: F.lead(variable).over(W.partitionBy("cell_id", by).orderBy(axis)) - F.col(variable)
+    out = located.withColumns({"_dy": ahead(lon, lat), "_dx": ahead(lat, lon)})
+    return out.groupBy("cell_id").agg(F.max(F.sqrt(F.col("_dy") * F.col("_dy") + F.col("_dx") * F.col("_dx"))).alias("gradient"))
+
+
+def refined_by(mesh: DataFrame, cells: DataFrame, criteria: list[tuple[str, str, float]], base: float, events=EVENTS, max_level: int = 4, min_km: float = 1.0) -> DataFrame:
+    """One turn of the refiner: leaves are quartered where a criterion (variable,
+    operator, threshold) holds on the cells (lat, lon, variables...) in them, and
+    those that hold the centre of an extreme event."""
+    located = locate(cells, mesh, base)
+    chosen = event_candidates(cells, events).select("lat", "lon")
+    hit = locate(chosen, mesh, base).select("cell_id")
+    for variable, operator, threshold in criteria:
+        if variable in cells.columns:
+            hit = hit.unionByName(cells_to_refine(located, variable, operator, threshold).select("cell_id"))
+    return refine(mesh, hit, max_level, min_km)

@@ -12,7 +12,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -230,3 +230,54 @@ def bayesian(evaluate: Callable[[dict], float], ranges: list[Range], iterations:
 
 def _matern(r):
     return (1 + math.sqrt(5) * r + 5 * r * r / 3) * np.exp(-math.sqrt(5) * r)
+
+
+def validated(results: DataFrame) -> DataFrame:
+    """Results (status, checksum, expected, start, end) with ``valid``: completed,
+    of the expected checksum where one is given, and not ended before the start."""
+    ok = (F.col("status") == "completed") & (F.col("expected").isNull() | (F.col("checksum") == F.col("expected"))) & (F.col("end") >= F.col("start"))
+    return results.withColumn("valid", F.coalesce(ok, F.lit(False)))
+
+
+def cancelled(executions: DataFrame, gone: DataFrame) -> DataFrame:
+    """The executions with those of ``gone`` (execution_id) cancelled that still run."""
+    mark = gone.select("execution_id", F.lit(True).alias("_gone")).distinct()
+    out = executions.join(mark, "execution_id", "left")
+    return out.withColumn("status", F.when(F.col("_gone") & (F.col("status") == "running"), "cancelled").otherwise(F.col("status"))).drop("_gone")
+
+
+def cleaned(executions: DataFrame, cutoff: Column) -> DataFrame:
+    """What is left after clearing executions that ended before the cutoff; those
+    that have not ended stay."""
+    return executions.where(F.col("end").isNull() | (F.col("end") >= cutoff))
+
+
+def encoded(df: DataFrame, ranges: list[Range]) -> DataFrame:
+    """Parameters as numbers: values by their place among the range's, from 0 (null for others)."""
+    return df.withColumns({r.name: F.when(F.array_position(F.array(*map(F.lit, r.values)), F.col(r.name)) > 0, F.array_position(F.array(*map(F.lit, r.values)), F.col(r.name)) - 1).cast("double") if r.kind == "values" else F.col(r.name).cast("double") for r in ranges})
+
+
+def decoded(df: DataFrame, ranges: list[Range]) -> DataFrame:
+    """Numbers as parameters: clipped to the range, rounded where it is discrete, and places as their values."""
+
+    def one(r: Range) -> Column:
+        if r.kind == "values":
+            place = F.least(F.greatest(F.round(r.name), F.lit(0)), F.lit(len(r.values) - 1)).cast("int")
+            return F.get(F.array(*map(F.lit, r.values)), place)
+        x = F.least(F.greatest(F.col(r.name), F.lit(float(r.low))), F.lit(float(r.high)))
+        return F.round(x) if r.kind == "discrete" else x
+
+    return df.withColumns({r.name: one(r) for r in ranges})
+
+
+def sweep_tasks(spark: SparkSession, points: list[dict], evaluate: Callable[[dict], float], objective: Callable[[float], float] | None = None, maximise: bool = True, name: str = "parameter_sweep") -> DataFrame:
+    """A sweep as a workflow's table: a row for each point with its task's name,
+    status, value and objective; a point that fails has no value and is the worst."""
+    out = sweep(spark, points, (lambda p: objective(evaluate(p))) if objective else evaluate, maximise)
+    bad = F.col("value").isin(float("inf"), float("-inf")) | F.isnan("value")
+    return out.select(F.format_string(f"{name}-%05d", F.col("i")).alias("task"), "parameters", F.when(bad, "failed").otherwise("completed").alias("status"), F.when(~bad, F.col("value")).alias("value"), "best")
+
+
+def sensitivity(spark: SparkSession, evaluate: Callable[[dict], float], ranges: list[Range], n: int = 100, seed: int = 0) -> DataFrame:
+    """The sweep of ``n`` Latin hypercube points that a sensitivity analysis reads."""
+    return sweep_tasks(spark, latin_hypercube(ranges, n, seed), evaluate)

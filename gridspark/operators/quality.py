@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import RANGES, finite, range_of
+from ..functions.expr import finite, range_of
 
+# Limits of the gradient's magnitude by what the variable's name contains.
 GRADIENT_LIMITS = {"temperature": 15.0, "pressure": 500.0, "wind": 30.0, "humidity": 50.0}
 Check = Callable[[DataFrame], DataFrame]
 
@@ -22,9 +23,10 @@ def flagged(df: DataFrame, name: str, failed: Column) -> DataFrame:
     return df.withColumns({"check": F.lit(name), "failed": F.coalesce(failed, F.lit(False))})
 
 
-def range_check(df: DataFrame, low: float | None = None, high: float | None = None, ranges=RANGES) -> DataFrame:
-    """Finite values outside the variable's physical range (or the given one)."""
-    lo, hi = (F.lit(low), F.lit(high)) if low is not None else range_of(F.col("variable"), ranges=ranges)
+def range_check(df: DataFrame, low: float | None = None, high: float | None = None, rule: str = "first", ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Finite values outside the variable's physical range by the rule (see
+    ``range_of``), or outside the given one."""
+    lo, hi = (F.lit(low), F.lit(high)) if low is not None else range_of(F.col("variable"), rule, ranges)
     x = finite(F.col("value"))
     return flagged(df, "range", (x < lo) | (x > hi))
 
@@ -157,8 +159,48 @@ def fill_around(grid: DataFrame, by: list[str], axis: str) -> DataFrame:
     return grid.withColumn("value", F.coalesce("value", mean))
 
 
+def _beside(by: list[str], axis: str) -> Column:
+    """Mean of the two neighbours on a periodic axis, or the one there is."""
+    w = W.partitionBy(*by).orderBy(axis)
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before = F.when(F.lag(axis).over(w).isNull(), F.last("value").over(whole)).otherwise(F.lag("value").over(w))
+    after = F.when(F.lead(axis).over(w).isNull(), F.first("value").over(whole)).otherwise(F.lead("value").over(w))
+    return (F.coalesce(before, after) + F.coalesce(after, before)) / 2
+
+
+def fill_spatially(grid: DataFrame, by: list[str], lat: str = "lat_idx", lon: str = "lon_idx", passes: int = 10) -> DataFrame:
+    """Nulls from the neighbours on either axis, latitude first, again and again
+    until none is left or ``passes`` are over. A pass reads the field of the pass
+    before only; each is written to the shared folder, so no plan grows."""
+    from ..plans.scratch import materialise
+
+    for _ in range(passes):
+        if grid.where("value IS NULL").isEmpty():
+            break
+        near = grid.withColumns({"_a": _beside([*by, lon], lat), "_b": _beside([*by, lat], lon)})
+        grid = materialise(near.withColumn("value", F.coalesce("value", "_a", "_b")).drop("_a", "_b"), "filled")
+    return grid
+
+
 def fill_with_mean(df: DataFrame, by: list[str]) -> DataFrame:
-    return df.withColumn("value", F.coalesce("value", F.avg("value").over(W.partitionBy(*by))))
+    """Nulls by their group's mean, which is summed up before the shuffle: one row a group."""
+    means = df.groupBy(*by).agg(F.avg("value").alias("_mean"))
+    return df.join(means, by, "left").withColumn("value", F.coalesce("value", "_mean")).drop("_mean").select(*df.columns)
+
+
+def clean(df: DataFrame, flags: DataFrame, keys: list[str], time: str | None = None, lat: str | None = None, lon: str | None = None) -> DataFrame:
+    """The whole cleaning of a long table (keys..., variable, value): what failed
+    becomes null, and the variables with failures are filled, in time along
+    ``time``, then over the grid, then by their mean. Variables without failures
+    stay as they are, with their gaps. ``original`` keeps what was there."""
+    failing = flags.where("failed").select("variable").distinct()
+    nulled = null_failures(df, flags, keys)
+    todo, rest = nulled.join(failing, "variable", "left_semi"), nulled.join(failing, "variable", "left_anti")
+    if time:
+        todo = fill_in_time(todo, ["variable", *(k for k in keys if k != time)], time)
+    if lat and lon:
+        todo = fill_spatially(todo, ["variable", *(k for k in keys if k not in (lat, lon))], lat, lon)
+    return fill_with_mean(todo, ["variable"]).select(*nulled.columns).unionByName(rest.select(*nulled.columns))
 
 
 def cleaning_summary(df: DataFrame) -> DataFrame:

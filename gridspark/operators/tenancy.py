@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,16 +84,17 @@ def scaled_workers(loads: list[tuple[float, float]], low: int = 16, high: int =
 # Lineage: edges (source, target)
 
 
-def lineage(spark, edges: DataFrame, start: DataFrame, direction: str = "upstream", depth: int = 64) -> DataFrame:
-    """Nodes reached from ``start`` (node), with their least number of steps; a
-    cycle ends at the depth. Level by level, each a join with what is new, so a
-    node is expanded once; the levels are written to the shared folder."""
+def lineage(spark, edges: DataFrame, start: DataFrame, direction: str = "upstream", depth: int | None = None) -> DataFrame:
+    """Nodes reached from ``start`` (node), with their least number of steps, or
+    those of up to ``depth`` steps. Level by level, each a join with what is new,
+    so a node is expanded once and a cycle ends of itself; the levels are written
+    to the shared folder."""
     from ..plans.scratch import materialise
 
     here, there = ("target", "source") if direction == "upstream" else ("source", "target")
     steps = edges.select(F.col(here).alias("node"), F.col(there).alias("next")).distinct()
     seen = new = start.select("node", F.lit(0).alias("steps")).distinct()
-    for k in range(1, depth + 1):
+    for k in itertools.count(1) if depth is None else range(1, depth + 1):
         new = new.join(steps, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         new = materialise(new.withColumn("steps", F.lit(k)), "lineage")
         if new.isEmpty():
@@ -175,3 +178,60 @@ def monthly_reset(events: DataFrame, at: int, resources: tuple[str, ...] = ("com
     """Events that bring the monthly resources of every tenant to 0 at ``at``."""
     left = events.where(F.col("resource").isin(*resources)).groupBy("tenant_id", "resource").agg((-F.sum("amount")).alias("amount"))
     return events.unionByName(left.withColumn("event_id", F.lit(at).cast(dict(events.dtypes)["event_id"])).select(*events.columns))
+
+
+def granted_by_owners(grants: DataFrame, users: DataFrame) -> DataFrame:
+    """Of the grants (resource_id, grantee_kind, grantee, permissions, expires_at,
+    granted_at, owner) those that hold: of each key the latest whose owner, where
+    one is named, is an administrator or operational."""
+    able = users.where(F.lower("role").isin("admin", "operational")).select(F.col("user_id").alias("owner")).distinct()
+    good = grants.where("owner IS NULL").unionByName(grants.join(able, "owner", "left_semi").select(*grants.columns))
+    rest = [c for c in grants.columns if c not in ("resource_id", "grantee_kind", "grantee")]
+    latest = good.groupBy("resource_id", "grantee_kind", "grantee").agg(F.max_by(F.struct(*rest), "granted_at").alias("_g"))
+    return latest.select("resource_id", "grantee_kind", "grantee", "_g.*")
+
+
+def usage_to_quota(used: DataFrame, resources=RESOURCES) -> DataFrame:
+    """What tenants use, as a quota of the same size."""
+    return used.select("tenant_id", *(F.col(f"used_{r}").alias(f"quota_{r}") for r in resources if f"used_{r}" in used.columns))
+
+
+def sandboxes(requests: DataFrame, tenants: DataFrame) -> DataFrame:
+    """Rows of new sandboxes (tenant_id, name, storage_quota_tb, is_isolated):
+    without a quota of their own they get the tenant's storage; isolated unless said."""
+    out = requests.join(tenants.select("tenant_id", F.col("quota_storage_tb").alias("_q")), "tenant_id")
+    path = F.concat_ws("/", F.lit("sandboxes"), "tenant_id", "name")
+    return out.select("tenant_id", "name", F.coalesce("storage_quota_tb", "_q").alias("storage_quota_tb"), F.coalesce("is_isolated", F.lit(True)).alias("is_isolated"), path.alias("path"))
+
+
+def users(requests: DataFrame) -> DataFrame:
+    """Rows of new users: a viewer without permissions unless said."""
+    none = F.array().cast("array<string>")
+    return requests.withColumns({"role": F.coalesce("role", F.lit("viewer")), "permissions": F.coalesce("permissions", none)})
+
+
+def workspaces(requests: DataFrame) -> DataFrame:
+    """Rows of new workspaces: the owner is the first member, the description may be empty."""
+    return requests.withColumns({"description": F.coalesce("description", F.lit("")), "members": F.array("owner_tenant_id")})
+
+
+def track_steps(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges of processing steps (step, inputs: an array, output): from each input
+    that is a node to the step, and from the step to what it produced."""
+    given = steps.select(F.explode("inputs").alias("source"), F.col("step").alias("target"), F.lit("input_to").alias("relation"))
+    given = given.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").select("source", "target", "relation")
+    return given.unionByName(steps.select(F.col("step").alias("source"), F.col("output").alias("target"), F.lit("produced").alias("relation")))
+
+
+def version_records(df: DataFrame, changes: DataFrame, by: str = "dataset") -> DataFrame:
+    """Versions of each change with the dataset's checksum, size in bytes of its
+    values, and variables, as the version table keeps them."""
+    sums = checksum(df, [by]).select(by, "checksum")
+    sizes = df.groupBy(by).agg((F.count("value") * 8).alias("size_bytes"), F.array_sort(F.collect_set("variable")).alias("variables"))
+    return versions(changes, by).join(sums, by, "left").join(sizes, by, "left")
+
+
+def version_at(records: DataFrame, number: str, by: str = "dataset", order: str = "created_at") -> DataFrame:
+    """The first record of each dataset with exactly this version."""
+    first = F.row_number().over(W.partitionBy(by).orderBy(order))
+    return records.where(F.col("version") == number).withColumn("_r", first).where("_r = 1").drop("_r")

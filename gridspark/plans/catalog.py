@@ -473,10 +473,17 @@ def rejections(spark, d):
 
 @query()
 def enkf_analysis(spark, d):
-    members = _globe(spark, d).drop("value").join(v.cells(spark, d, True), _CELLKEY).select((F.col("lat_idx") % 4).alias("block"), "member", "lat", "lon", "value")
+    """Three fields that have nothing to do with each other, each with all observations."""
+    lines = v.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    part, supplier = v.table(spark, d, "part").select("p_partkey", "p_size"), v.table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    both = lines.join(part, lines.l_partkey == part.p_partkey).join(supplier, lines.l_suppkey == supplier.s_suppkey)
+    lat, lon = (-75 + 3.0 * F.col("p_size")).alias("lat"), (15.0 * F.col("s_nationkey")).alias("lon")
+    members = both.groupBy(F.col("l_returnflag").alias("field"), (F.col("l_linenumber") % 4).alias("member"), lat, lon).agg(F.avg("l_extendedprice").alias("value"))
+    whole = F.count(F.lit(1)).over(W.partitionBy("field", "lat", "lon"))  # cells that all members have
+    members = members.withColumn("n", whole).where("n = 4").drop("n")
     obs = _innovations(spark, d).select("p_lat", "p_lon", F.col("innovation").alias("value"), "error")
-    obs = obs.withColumn("obs_id", F.row_number().over(W.orderBy("p_lat"))).withColumn("block", F.explode(F.array(*map(F.lit, range(4)))))
-    return assimilation.enkf(members, obs, "block", 1000.0)
+    obs = obs.withColumn("obs_id", F.row_number().over(W.orderBy("p_lat"))).withColumn("field", F.explode(F.array(*map(F.lit, "ANR"))))
+    return assimilation.enkf(members, obs, "field", 1000.0)
 
 
 @query()
@@ -484,11 +491,6 @@ def ensemble_perturbed(spark, d):
     return coupled.perturbed(v.cells(spark, d), 5, _CELLKEY).groupBy("member").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
-@query()
-def ensemble_inflated(spark, d):
-    return assimilation.inflate(v.cells(spark, d, True), _CELLKEY, 1.5).groupBy("member").agg(F.stddev_pop("value").alias("std"))
-
-
 @query(f"""WITH {v.DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY t) AS step FROM daily), l AS (SELECT *, lag(value, 6) OVER w AS b, lead(step) OVER w IS NULL AS last FROM n WINDOW w AS (PARTITION BY variable ORDER BY step))
   SELECT variable, m AS member, round(CASE WHEN m = 0 THEN value ELSE (value + coalesce(b, value)) / 2 END, 4) AS value FROM l, (VALUES (0), (1)) v(m) WHERE last""")
 def lagged_ensemble(spark, d):
@@ -610,13 +612,13 @@ def acl_check(spark, d):
     return tenancy.access(requests, acl, F.lit(10)).select("request_id", F.coalesce("via", F.lit("none")).alias("via"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS target, (o_orderkey * 7 + o_custkey) // 10 AS source FROM orders), r(node, steps) AS (SELECT o_orderkey, 0 FROM orders WHERE o_orderkey % 1000 = 0 UNION SELECT e.source, steps + 1 FROM r JOIN e ON e.target = r.node WHERE steps < 6)
-  SELECT node, min(steps) AS steps FROM r GROUP BY 1""")
+@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS target, (o_orderkey * 7 + o_custkey) // 10 AS source FROM orders), r(node, steps) AS (SELECT o_orderkey, 0 FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT e.source, steps + 1 FROM r JOIN e ON e.target = r.node WHERE steps < 100)
+  SELECT node, min(steps) AS steps FROM r GROUP BY node""")
 def lineage_upstream(spark, d):
     o = v.table(spark, d, "orders")
     edges = o.select(F.col("o_orderkey").alias("target"), F.expr("(o_orderkey * 7 + o_custkey) div 10").alias("source"))
-    start = o.where("o_orderkey % 1000 = 0").select(F.col("o_orderkey").alias("node"))
-    return tenancy.lineage(spark, edges, start, depth=6)
+    start = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("node"))
+    return tenancy.lineage(spark, edges, start)
 
 
 @query("WITH RECURSIVE l(task, level) AS (SELECT 0, 0 UNION ALL SELECT task + 1, level + 1 FROM l WHERE task < 24) SELECT n_name AS task, CAST(n_nationkey // 5 AS INTEGER) AS level FROM nation")
@@ -651,27 +653,16 @@ def table_checksums(spark, d):
     return tenancy.checksum(v.cells(spark, d), ["lat_idx"])
 
 
-@query("SELECT sum(round(value, 2)) > 0 AS ok, count(*) AS n FROM events WHERE regexp_matches(event_type, '^[a-z_]+$')")
+@query("""SELECT event_id, ['>', '>=', '<', '<=', '==', '?'][1 + event_id % 6] AS op, CASE event_id % 6 WHEN 1 THEN value >= 250 WHEN 2 THEN value < 250 WHEN 3 THEN value <= 250 WHEN 4 THEN abs(value - 250) < 1e-10 ELSE value > 250 END AS ok FROM events""")
 def compare_operators(spark, d):
-    e = v.table(spark, d, "events").where(F.col("event_type").rlike("^[a-z_]+$"))
-    return e.agg(expr.compare(F.sum(v.rounded(F.col("value"), 2)), ">", F.lit(0.0)).alias("ok"), F.count(F.lit(1)).alias("n"))
+    op = F.get(F.array(*map(F.lit, (">", ">=", "<", "<=", "==", "?"))), (F.col("event_id") % 6).cast("int"))
+    e = v.table(spark, d, "events").withColumn("op", op)
+    return e.select("event_id", "op", expr.compare(F.col("value"), F.col("op"), F.lit(250.0)).alias("ok"))
 
 
 # Orchestration, coupled model, payloads
 
 
-@query("SELECT 1 AS best, 64 AS points")
-def lhs_sweep_best(spark, d):
-    points = orchestration.latin_hypercube([orchestration.Range("a"), orchestration.Range("b", 1.0, 100.0, "loguniform")], 64, 1)
-    s = orchestration.sweep(spark, points, lambda p: p["a"] - abs(p["b"] - 10))
-    return s.agg(F.count_if("best").cast("int").alias("best"), F.count(F.lit(1)).cast("int").alias("points"))
-
-
-@query("SELECT 36 AS n")
-def grid_sweep(spark, d):
-    return spark.createDataFrame([(len(orchestration.grid([orchestration.Range("a"), orchestration.Range("b")], 36)),)], "n int")
-
-
 @query()
 def bayesian_optimum(spark, d):
     best, value, _ = orchestration.bayesian(lambda p: -((p["x"] - 0.3) ** 2), [orchestration.Range("x")], 15, 5)
@@ -715,3 +706,6 @@ def field_payloads(spark, d):
 @query(f"WITH {v.DAILY} SELECT variable, t, value AS min, value AS max FROM daily")
 def animation_frames(spark, d):
     return sinks.frames(v.daily(spark, d), "t", ["variable"]).select("variable", "t", "min", "max")
+
+
+from . import catalog_more  # noqa: E402, F401  registers its queries with these

@@ -41,3 +41,51 @@ def frames(df: DataFrame, time: str, by: list[str] = []) -> DataFrame:  # noqa:
 
 def encoded(df: DataFrame, c: str) -> DataFrame:
     return df.withColumn(c, F.base64(F.col(c)))
+
+
+def provenance_load(lines: DataFrame, schema: str, line: str = "line") -> DataFrame:
+    """What ``provenance_json`` wrote, with times parsed; lines that are no JSON are left out."""
+    parsed = lines.select(F.from_json(line, schema).alias("_p")).where("_p IS NOT NULL AND _p.kind IS NOT NULL").select("_p.*")
+    for c in ("timestamp", "created_at"):
+        if c in parsed.columns:
+            parsed = parsed.withColumn(c, F.try_to_timestamp(c))
+    return parsed
+
+
+def storage_used_tb(spark, path: str) -> DataFrame:
+    """Bytes of all files below a folder, in TB: one number, from the listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
+    return files.agg((F.coalesce(F.sum("length"), F.lit(0)) / float(1 << 40)).alias("storage_tb"))
+
+
+def last_slice(df: DataFrame, time: str | None = "time_idx", level: str | None = "lev_idx", level_idx: int = 0) -> DataFrame:
+    """The field of the last time at one level: a number is looked up, then it is a filter."""
+    if time and time in df.columns:
+        last = df.agg(F.max(time).alias("_t"))
+        df = df.join(F.broadcast(last), df[time] == last["_t"]).drop("_t")  # one row
+    return df.where(F.col(level) == level_idx) if level and level in df.columns else df
+
+
+def wind_payload(df: DataFrame, by: list[str], u: str = "u_wind", v: str = "v_wind") -> DataFrame:
+    """Of each wind field the number of points, the mean and largest speed and the mean direction."""
+    speed = F.sqrt(F.col(u) * F.col(u) + F.col(v) * F.col(v))
+    s = df.groupBy(*by).agg(F.count(speed).alias("points"), F.avg(speed).alias("mean_speed"), F.max(speed).alias("max_speed"), F.avg(u).alias("_u"), F.avg(v).alias("_v"))
+    return s.withColumn("direction", F.degrees(F.atan2("_v", "_u"))).drop("_u", "_v")
+
+
+def contours(df: DataFrame, by: list[str], levels: int = 10) -> DataFrame:
+    """A row for each contour level of each field, evenly from its least to its largest value."""
+    s = df.groupBy(*by).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    out = s.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    return out.select(*by, "level", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("level") / (levels - 1)).alias("at"))
+
+
+def render_all(df: DataFrame, variables: list[str] | None = None, most: int = 3) -> DataFrame:
+    """Payloads of the first variables by name, or of the given ones."""
+    names = variables or [r.variable for r in df.select("variable").distinct().orderBy("variable").limit(most).collect()]
+    return field_payload(df.where(F.col("variable").isin(names[:most])), ["variable"])
+
+
+def frame_variables(df: DataFrame) -> DataFrame:
+    """The variables that any frame shows."""
+    return df.agg(F.array_sort(F.collect_set("variable")).alias("variables"))

@@ -95,3 +95,26 @@ def each_batch(stream: DataFrame, pipeline: Callable[[DataFrame], DataFrame], pa
         pipeline(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def rate_stats(chunks: DataFrame, by: list[str], ts: str = "ts", size: str = "bytes", every: int = 5) -> DataFrame:
+    """Bits a second since the start of each source, at the end of each stretch of
+    ``every`` seconds that brought chunks. Stretches are summed first; the running
+    sum is over these."""
+    t = F.floor(F.col(ts).cast("timestamp").cast("double") / every) * every
+    sums = chunks.groupBy(*by, t.alias("tick")).agg(F.sum(size).alias("_b"), F.min(F.col(ts).cast("timestamp").cast("double")).alias("_t"))
+    w = W.partitionBy(*by).orderBy("tick").rowsBetween(W.unboundedPreceding, 0)
+    first = F.min("_t").over(W.partitionBy(*by))
+    return sums.select(*by, "tick", F.sum("_b").over(w).alias("bytes"), (F.sum("_b").over(w) * 8 / (F.col("tick") + every - first)).alias("bps"))
+
+
+def stopped(records: DataFrame, at, source: str = "source") -> DataFrame:
+    """The records and a stop for every source at the time given: the manager stops them all."""
+    stops = records.select(source).distinct().withColumns({"kind": F.lit("stop"), "ts": at, "bytes": F.lit(0)})
+    return records.unionByName(stops, allowMissingColumns=True)
+
+
+def batch_retained(batch: DataFrame, days: int, as_of, order: list[str], ts: str = "ts") -> DataFrame:
+    """A whole batch, or none of it: the first row's time decides."""
+    first = batch.agg(F.min_by(ts, F.struct(*order)).alias("_first"))
+    return batch.crossJoin(F.broadcast(first)).where(F.col("_first") >= as_of - F.expr(f"INTERVAL {days} DAYS")).drop("_first")  # one row
