@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,13 +48,23 @@ def nearest_cells(obs: DataFrame, lats: DataFrame, lons: DataFrame, wrap: bool =
 def within(points: DataFrame, cells: DataFrame, radius_km: float) -> DataFrame:
     """Pairs of points (p_lat, p_lon) and cells (lat, lon) within the radius,
     with their ``distance``. Both are dealt to latitude bands as wide as the
-    radius; a point goes to its own and both neighbours."""
+    radius, and in each band to stretches of longitude no narrower than the radius
+    is there (near the poles the whole circle); a point goes to its own stretch
+    and its neighbours, so pairs grow with the cells near a point only."""
     band = radius_km / DEGREE_KM * 1.001
+    furthest = lambda k: F.greatest(F.abs((k - 1) * band), F.abs((k + 2) * band))  # noqa: E731  latitude that a point of this or the next band can have
+    slant = lambda k: F.cos(F.radians(F.least(furthest(k), F.lit(90.0))))
+    wide = 1.5 * math.sin(math.radians(min(band, 90.0)))
+    stretches = lambda k: F.when(slant(k) > wide, F.greatest(F.floor(360 * slant(k) / (band * 1.1)), F.lit(1))).otherwise(1).cast("long")
     at = F.floor(F.col("p_lat") / band)
+    own = lambda lon, k: F.floor(F.pmod(lon, F.lit(360.0)) / 360 * stretches(k))
     p = points.withColumn("_band", F.explode(F.array(at - 1, at, at + 1)))
+    near = F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.pmod(own(F.col("p_lon"), F.col("_band")) + i, stretches(F.col("_band"))))
+    p = p.withColumn("_part", F.explode(F.array_distinct(near)))
     c = cells.withColumn("_band", F.floor(F.col("lat") / band))
+    c = c.withColumn("_part", F.least(own(F.col("lon"), F.col("_band")), stretches(F.col("_band")) - 1))
     d = haversine(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon"))
-    return p.join(c, "_band").withColumn("distance", d).where(F.col("distance") <= radius_km).drop("_band")
+    return p.join(c, ["_band", "_part"]).withColumn("distance", d).where(F.col("distance") <= radius_km).drop("_band", "_part")
 
 
 def three_d_var(background: DataFrame, innovations: DataFrame, cell: list[str], radius_km: float, background_error: float, kind: str = "gaspari_cohn") -> DataFrame:

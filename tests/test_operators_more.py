@@ -112,3 +112,13 @@ def test_codes_and_values(spark):
 def test_times_that_are_none(spark):
     df = spark.createDataFrame([("2024-02-03T04:05:06",), ("yesterday",), (None,)], "t string")
     assert [str(r.x) if r.x else None for r in df.select(expr.from_iso(F.col("t")).alias("x")).collect()] == ["2024-02-03 04:05:06", None, None]
+
+
+@pytest.mark.parametrize("radius", [150.0, 900.0, 4000.0])
+def test_pairs_within_a_radius_equal_all_pairs(spark, radius):
+    rng = np.random.default_rng(5)
+    place = lambda n: [(float(np.degrees(np.arcsin(rng.uniform(-1, 1)))), float(rng.uniform(-180, 360))) for _ in range(n)] + [(90.0, 0.0), (-90.0, 10.0), (0.0, 0.0), (0.0, 359.99), (89.5, 180.0)]
+    points, cells = spark.createDataFrame(place(60), "p_lat double, p_lon double"), spark.createDataFrame(place(400), "lat double, lon double")
+    every = points.crossJoin(cells).where(expr.haversine(*map(F.col, ("p_lat", "p_lon", "lat", "lon"))) <= radius)
+    found = assimilation.within(points, cells, radius).drop("distance")
+    assert sorted(found.collect()) == sorted(every.select(*found.columns).collect())
