@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.expr import cosine, finite, safe_ratio
 
@@ -38,14 +43,75 @@ def spatial_similarity(m1: Column, m2: Column) -> Column:
     return F.when(F.size(common) == 0, 0.0).otherwise(F.aggregate(F.transform(common, one), F.lit(0.0), lambda s, v: s + v) / F.size(common))
 
 
-def most_similar(events: DataFrame, queries: DataFrame, top: int = 20) -> DataFrame:
+#: Queries go to the tasks in blocks of so many bytes of vectors and results; each block is one pass over the events.
+QUERY_BYTES = 32 << 20
+
+
+def most_similar(events: DataFrame, queries: DataFrame, top: int = 20, block_bytes: int = QUERY_BYTES) -> DataFrame:
     """For each query (query_id, query) the most similar events (event_id,
-    vector) by cosine, itself left out; ties by id. The queries are a stated
-    set, broadcast while it is small, and the top is kept in each task first."""
-    queries = F.broadcast(queries) if queries.count() <= 10_000 else queries
-    pairs = events.crossJoin(queries).where("event_id <> query_id").withColumn("score", cosine(F.col("vector"), F.col("query")))
+    vector) by cosine, itself left out; ties by id. A zero vector, none, or one of
+    another length is 0 alike.
+
+    The queries are a stated set, held against all events: a block of them at a
+    time, as a matrix product for each Arrow batch. A task keeps the top of what
+    it has seen, so a row for each query, place and task is shuffled, no pair.
+    """
+    width = queries.agg(F.coalesce(F.max(F.size("query")), F.lit(0)), F.count(F.lit(1))).first()
+    room = max(1, block_bytes // max(1, 8 * (width[0] + 2 * top)))
+    n_blocks = max(1, -(-width[1] // room))
+    dealt = queries.select("query_id", F.transform("query", lambda x: x.cast("double")).alias("query"))
+    dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+    kinds = dict(events.dtypes)["event_id"], dict(queries.dtypes)["query_id"]
+    arrow = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(events.schema["event_id"].dataType)
+    own = events.select("event_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    found = None
+    for block in range(n_blocks):
+        rows = dealt.where(F.col("_block") == block).select("query_id", "query").collect()  # one block of bounded size
+        by_length: dict[int, list] = {}
+        for r in rows:
+            by_length.setdefault(len(r.query or ()), []).append(r)
+        for length, some in by_length.items():
+            matrix = _unit(np.array([r.query for r in some], float).reshape(len(some), length))
+            part = own.mapInArrow(_top_of([r.query_id for r in some], matrix, top, arrow), f"query_id {kinds[1]}, event_id {kinds[0]}, score double")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = own.crossJoin(queries.select("query_id").limit(0)).select("query_id", "event_id", F.lit(0.0).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "event_id"))
-    return pairs.select("query_id", "event_id", "score", rank.alias("rank")).where(F.col("rank") <= top)
+    return found.select("query_id", "event_id", "score", rank.alias("rank")).where(F.col("rank") <= top)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _top_of(names: list, matrix: np.ndarray, top: int, kinds: tuple, at_once: int = 2048):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, length = matrix.shape
+        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object))] * n
+        for whole in batches:
+            for start in range(0, whole.num_rows, at_once):
+                batch = whole.slice(start, at_once)
+                ids = np.array(batch.column(0).to_pylist(), object)
+                vectors = batch.column(1).to_pylist()
+                fits = np.array([v is not None and len(v) == length for v in vectors], bool)
+                scores = np.zeros((n, len(ids)))
+                if fits.any():
+                    scores[:, fits] = matrix @ _unit(np.array([v for v, ok in zip(vectors, fits) if ok], float).reshape(int(fits.sum()), length)).T
+                for q, name in enumerate(names):
+                    other = ids != name
+                    s, i = np.concatenate((kept[q][0], scores[q][other])), np.concatenate((kept[q][1], ids[other]))
+                    if len(s) > top:  # all that is as good as the last place, then in order
+                        near = np.flatnonzero(s >= np.partition(s, len(s) - top)[len(s) - top])
+                        near = near[np.lexsort((i[near], -s[near]))][:top]
+                        s, i = s[near], i[near]
+                    kept[q] = s, i
+        columns = [(name, i, s) for name, (scores, ids) in zip(names, kept) for s, i in zip(scores.tolist(), ids.tolist())]
+        for start in range(0, len(columns), 50_000):
+            q, i, s = zip(*columns[start : start + 50_000])
+            yield pa.RecordBatch.from_arrays([pa.array(q, kinds[0]), pa.array(i, kinds[1]), pa.array(s, pa.float64())], ["query_id", "event_id", "score"])
+
+    return run
 
 
 def attribution(df: DataFrame, by: str, event: Column) -> DataFrame:

@@ -122,3 +122,26 @@ def test_pairs_within_a_radius_equal_all_pairs(spark, radius):
     every = points.crossJoin(cells).where(expr.haversine(*map(F.col, ("p_lat", "p_lon", "lat", "lon"))) <= radius)
     found = assimilation.within(points, cells, radius).drop("distance")
     assert sorted(found.collect()) == sorted(every.select(*found.columns).collect())
+
+
+def test_most_similar_in_blocks(spark):
+    from gridspark.operators import fingerprint
+
+    rng = np.random.default_rng(3)
+    vectors = [rng.integers(-2, 3, 4).astype(float).tolist() for _ in range(60)] + [[0.0] * 4, [1.0, 2.0], None]
+    events = spark.createDataFrame(list(enumerate(vectors)), "event_id int, vector array<double>").repartition(3)
+    queries = events.where("event_id % 5 = 0").select(F.col("event_id").alias("query_id"), F.col("vector").alias("query"))
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b):
+            return 0.0
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return float(np.dot(a, b) / n) if n else 0.0
+
+    for size in (1 << 20, 200):
+        got = fingerprint.most_similar(events, queries, 7, size).orderBy("query_id", "rank").collect()
+        for q in range(0, 63, 5):
+            own = [r for r in got if r.query_id == q]
+            want = sorted((-round(cosine(vectors[i], vectors[q]), 9), i) for i in range(63) if i != q)[:7]
+            assert [round(-r.score, 9) for r in own] == pytest.approx([s for s, _ in want])
+            assert len({r.event_id for r in own}) == 7 and q not in {r.event_id for r in own}
