@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import assimilation, coupled, fingerprint, mesh, orchestration, quality, series, tenancy
-from ..sources import sinks
+from ..sources import readers, sinks
 from ..streaming import ingest
+from . import facade
 from . import virtual as v
 from .catalog import _CELLKEY, _DIST, _globe, _innovations, query, r
 
@@ -466,3 +467,136 @@ def ingest_rate_since_start(spark, d):
 def station_batch(spark, d):
     e = v.table(spark, d, "events").select("event_id", "ts")
     return ingest.batch_retained(e, 3650, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), ["ts", "event_id"]).select("event_id")
+
+
+# Records, listings and small tables
+
+
+def _records(spark, d) -> DataFrame:
+    e = v.table(spark, d, "events")
+    names = F.array(F.concat(F.lit("v"), F.col("event_id") % 3), F.concat(F.lit("v"), F.col("event_id") % 7))
+    return e.select("event_id", F.col("event_type").alias("data_source"), names.alias("variables"), (F.col("value") < 250).alias("passed"), "ts")
+
+
+@query("SELECT event_id FROM events WHERE (event_id % 3 = 2 OR event_id % 7 = 2) AND value < 250 AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-25 00:00:00'")
+def validation_history(spark, d):
+    at = lambda day: F.lit(f"2024-01-{day} 00:00:00").cast("timestamp_ntz")
+    return facade.history(_records(spark, d), variable="v2", passed=True, since=at("05"), until=at("25"), limit=1 << 30).select("event_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey DESC LIMIT 20")
+def latest_executions(spark, d):
+    return facade.latest(v.table(spark, d, "orders"), 20, "o_orderkey", o_orderstatus="F").select("o_orderkey")
+
+
+@query(f"WITH {v.OBS} SELECT coalesce(variable, 'all') AS variable, count(*) AS points, count_if(value > 400) AS n_failed, count_if(value > 400) <= 0.05 * count(*) AS passed FROM obs GROUP BY ROLLUP (variable)")
+def dataset_validation(spark, d):
+    out = facade.validate(v.observations(spark, d), ["id"], [lambda df: quality.range_check(df, 0.0, 400.0)])
+    return out.select(F.coalesce("variable", F.lit("all")).alias("variable"), "points", "n_failed", "passed")
+
+
+@query("SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'nation', count(*) FROM nation")
+def platform_status(spark, d):
+    found = facade.status({n: v.table(spark, d, n) for n in ("events", "orders", "nation")})
+    return spark.createDataFrame(list(found.items()), "name string, n long")
+
+
+@query("SELECT event_id AS id, value AS temperature_2m, value / 2 AS wind_speed FROM events")
+def station_columns(spark, d):
+    e = v.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("temperature_2m"), (F.col("value") / 2).alias("wind_speed"), F.lit(1).alias("of_no_use"))
+    return readers.station_observations(e, ["id"])
+
+
+@query(f"WITH {v.OBS} SELECT variable, count(value) * 8 AS bytes FROM obs GROUP BY 1")
+def estimated_sizes(spark, d):
+    return readers.estimated_bytes(v.observations(spark, d), ["variable"])
+
+
+@query("SELECT n_nationkey, base64(encode(n_name)) AS n_name FROM nation")
+def encoded_payloads(spark, d):
+    return sinks.encoded(v.table(spark, d, "nation").select("n_nationkey", F.col("n_name").cast("binary").alias("n_name")), "n_name")
+
+
+@query("SELECT s_suppkey, round(sqrt(s_acctbal * s_acctbal + s_suppkey * s_suppkey), 4) AS speed, round(1e5 * 2 * 7.2921e-5 * sin(radians(s_nationkey * 3.0)), 6) AS coriolis, round(degrees(atan2(CAST(s_suppkey AS DOUBLE), s_acctbal)), 4) AS angle FROM supplier")
+def wind_and_coriolis(spark, d):
+    s = v.table(spark, d, "supplier")
+    u, w = F.col("s_acctbal"), F.col("s_suppkey").cast("double")
+    return s.select("s_suppkey", r(expr.wind_speed(u, w), 4).alias("speed"), r(1e5 * expr.coriolis(F.col("s_nationkey") * 3.0)).alias("coriolis"), r(coupled.angle(u, w), 4).alias("angle"))
+
+
+@query("SELECT 'r' || s_suppkey AS resource_id, 't' || c AS grantee FROM (SELECT s_suppkey, s_nationkey FROM supplier) JOIN (SELECT DISTINCT c_nationkey AS n, c_custkey % 5 AS c FROM customer) ON n = s_nationkey")
+def workspace_shares(spark, d):
+    resources = v.table(spark, d, "supplier").select(F.col("s_nationkey").alias("workspace_id"), F.concat(F.lit("r"), F.col("s_suppkey")).alias("resource_id"), F.array(F.lit("read")).alias("permissions"))
+    members = v.table(spark, d, "customer").select(F.col("c_nationkey").alias("workspace_id"), F.concat(F.lit("t"), F.col("c_custkey") % 5).alias("tenant_id")).distinct()
+    return tenancy.share_with_members(resources, members).select("resource_id", "grantee")
+
+
+@query("SELECT c_custkey, c_custkey % 25 = c_nationkey OR c_custkey % 7 IN (c_nationkey, c_nationkey + 1) AS member FROM customer")
+def workspace_membership(spark, d):
+    c = v.table(spark, d, "customer")
+    own = c.select("c_custkey", (F.col("c_custkey") % 25).alias("who"), F.col("c_nationkey").cast("long").alias("owner"), F.array(F.col("c_nationkey").cast("long"), (F.col("c_nationkey") + 1).cast("long")).alias("members"), (F.col("c_custkey") % 7).alias("other"))
+    return own.select("c_custkey", (tenancy.is_member(F.col("owner"), F.col("members").cast("array<long>"), F.col("other")) | (F.col("owner") == F.col("who"))).alias("member"))
+
+
+@query("SELECT i AS step, CAST(16 + 8 * (i + 1) AS BIGINT) AS workers FROM generate_series(0, 49) g(i)")
+def scaled_workers(spark, d):
+    found = tenancy.scaled_workers([(300.0 * i, 0.9) for i in range(50)])
+    return spark.createDataFrame(list(enumerate(found)), "step long, workers long")
+
+
+@query("""WITH e AS (SELECT o_custkey % 10 AS tenant_id, ['compute_hours', 'jobs', 'storage_tb'][1 + o_orderkey % 3] AS resource, round(o_totalprice, 2) AS amount FROM orders)
+  SELECT tenant_id, resource, CASE WHEN resource = 'storage_tb' THEN round(sum(amount), 2) ELSE 0.0 END AS amount, count(*) + CASE WHEN resource = 'storage_tb' THEN 0 ELSE 1 END AS n FROM e GROUP BY 1, 2""")
+def monthly_reset(spark, d):
+    kinds = F.get(F.array(*map(F.lit, ("compute_hours", "jobs", "storage_tb"))), (F.col("o_orderkey") % 3).cast("int"))
+    e = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), (F.col("o_custkey") % 10).alias("tenant_id"), kinds.alias("resource"), v.rounded(F.col("o_totalprice"), 2).alias("amount"))
+    out = tenancy.monthly_reset(e, 1 << 40).groupBy("tenant_id", "resource").agg(F.sum("amount").alias("a"), F.count(F.lit(1)).alias("n"))
+    return out.select("tenant_id", "resource", (F.when(F.abs("a") < 1e-3, 0.0).otherwise(r("a", 2)) + 0.0).alias("amount"), "n")
+
+
+@query("SELECT 'r' || s_suppkey AS resource_id FROM supplier WHERE s_suppkey % 4 > 0 AND s_nationkey <> 7")
+def acl_revoked(spark, d):
+    s = v.table(spark, d, "supplier")
+    acl = s.select(F.concat(F.lit("r"), F.col("s_suppkey")).alias("resource_id"), F.lit("tenant").alias("grantee_kind"), F.lit("t1").alias("grantee"), F.col("s_nationkey").alias("tenant_id"), "s_suppkey")
+    left = tenancy.revoke(acl, acl.where("s_suppkey % 4 = 0").select("resource_id", "grantee_kind", "grantee"))
+    return tenancy.without_tenant(left.withColumn("tenant_id", F.col("tenant_id").cast("string")), "7").select("resource_id")
+
+
+@query("SELECT o_orderkey % 60 AS source, o_custkey % 60 AS target, count(*) AS n FROM orders WHERE o_orderkey % 60 < 25 AND o_custkey % 60 < 25 GROUP BY 1, 2")
+def lineage_connected(spark, d):
+    edges = v.table(spark, d, "orders").select((F.col("o_orderkey") % 60).alias("source"), (F.col("o_custkey") % 60).alias("target"))
+    nodes = v.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
+    return tenancy.connect(edges, nodes).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'storage_tb' AS resource, 10.0::DOUBLE AS quota UNION ALL SELECT 'compute_hours', 1000.0 UNION ALL SELECT 'jobs', 10.0 UNION ALL SELECT 'memory_gb', 128.0 UNION ALL SELECT 'gpu', 0.0 UNION ALL SELECT 'bandwidth_gbps', 1.0")
+def research_quota(spark, d):
+    return spark.createDataFrame(list(tenancy.RESEARCH_QUOTA.items()), "resource string, quota double")
+
+
+@query("SELECT n_name AS task, row_number() OVER (ORDER BY n_nationkey) AS place, CAST(n_nationkey AS BIGINT) * n_nationkey AS value, sha256(CAST(n_nationkey * n_nationkey AS VARCHAR)) AS checksum, 'completed' AS status FROM nation")
+def workflow_results(spark, d):
+    rows = v.table(spark, d, "nation").select("n_nationkey", "n_name").collect()  # 25 tasks
+    tasks = [orchestration.Task(x.n_name, lambda *_, k=x.n_nationkey: k * k, priority=-x.n_nationkey) for x in rows]
+    done = orchestration.Workflow(tasks).execute()
+    return spark.createDataFrame([(n, i + 1, o["value"], o["checksum"], o["status"]) for i, (n, o) in enumerate(done.items())], "task string, place long, value long, checksum string, status string")
+
+
+@query("SELECT i, CAST(round(i * 2.3, 0) AS DOUBLE) AS d, round(exp(ln(2.0) + i / 10.0 * ln(50.0)), 6) AS l, ['a', 'b', 'c'][1 + least(CAST(floor(i / 10.0 * 3) AS BIGINT), 2)] AS k FROM generate_series(0, 10) g(i) WHERE i <> 5")
+def parameter_samples(spark, d):
+    import numpy as np
+
+    u = np.arange(11) / 10
+    ranges = [orchestration.Range("d", 0, 23, "discrete"), orchestration.Range("l", 2.0, 100.0, "loguniform"), orchestration.Range("k", kind="values", values=("a", "b", "c"))]
+    found = [x.at(u) for x in ranges]
+    out = spark.createDataFrame([(i, float(found[0][i]), float(found[1][i]), str(found[2][i])) for i in range(11) if i != 5], "i long, d double, l double, k string")
+    return out.withColumn("l", r("l"))
+
+
+@query("SELECT i AS member, 1.0::DOUBLE AS norm FROM generate_series(0, 3) g(i)")
+def bred_vectors(spark, d):
+    """Vectors of one norm, whatever the noise."""
+    control = v.cells(spark, d)
+    members = coupled.generated(control, 4, _CELLKEY, "bred", amplitude=2.0)
+    both = members.join(control.select(*_CELLKEY, F.col("value").alias("c")), _CELLKEY)
+    out = both.groupBy("member").agg(F.sqrt(F.avg(F.pow((F.col("value") - F.col("c")) / 2.0, 2))).alias("norm"))
+    return out.select(F.col("member").cast("long").alias("member"), r("norm", 4).alias("norm"))
