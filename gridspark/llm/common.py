@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,11 +54,14 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session has none (as in tests) a temporary one is set.
+    Only where the session has none and is a local one (as in tests) a temporary
+    one is set.
     """
     small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gridspark-")
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(remove, spark, found)
@@ -68,12 +72,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: What Spark keeps of the plan of every job, for its pages, while an operator runs hundreds of them.
+TERSE = {"spark.sql.ui.explainMode": "simple", "spark.sql.maxPlanStringLength": "4096"}
+
+
+@contextlib.contextmanager
+def terse(spark: SparkSession) -> Iterator[None]:
+    """Within it the driver keeps short descriptions of plans only."""
+    before = {k: spark.conf.get(k) for k in TERSE}
+    for k, v in TERSE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: the
     lineage ends there, and the files outlive any executor."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with terse(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

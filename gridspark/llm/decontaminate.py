@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 from .common import LOWER, UPPER, documents, materialise, trimmed
 
 WINDOW = 13
-#: Item texts are searched for in groups of so many bytes at most; each group is one pass over the texts.
-GROUP_BYTES = 16 << 20
+#: Item texts are searched for in groups of so many bytes at most; each group is one pass over the texts. A worker's
+#: tables take about 150 bytes for a byte of items, 300 MB for a group.
+GROUP_BYTES = 2 << 20
 _FOLD = str.maketrans(UPPER, LOWER)
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 

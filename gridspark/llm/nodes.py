@@ -12,8 +12,10 @@ nodes have another star for what is outside the largest component, and then
 branch on further tokens, at every level so often that two sets at the threshold
 share one branch on average, until few comparisons are left or none.
 
-Candidates are scored by sketches first. Each vertex then tries its likeliest
-partner; most pairs fall inside a component after that and need no comparison.
+Candidates are scored by sketches first. Of the first candidates, pairs of small
+nodes and stars, each vertex then tries its likeliest partner; most pairs fall
+inside a component after that and need no comparison. Later candidates lie in
+different components as it is, and are all compared.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialise
 from .components import connected_components
 
-#: How often each vertex tries its likeliest partner before all pairs are compared.
+#: How often each vertex tries its likeliest partner before all of the first pairs are compared.
 BEST_FIRST = 1
 #: Tokens of a branch.
 DEPTH = 2
@@ -148,13 +150,13 @@ def linked(
     links: list[DataFrame] = []
     held: list[DataFrame] = []
 
-    def joined(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
+    def joined(pairs: DataFrame, label: DataFrame | None, best_first: int = 0) -> DataFrame:
         pairs = materialise(pairs, "scored")
         if label is not None and pairs.isEmpty():
             return label
         needed = fetch(pairs)
         held.append(needed)
-        label = _resolved(pairs, label, links, lambda some: confirm(some, needed))
+        label = _resolved(pairs, label, links, lambda some: confirm(some, needed), best_first)
         if not links:
             links.append(confirm(pairs, needed))
         return label
@@ -168,11 +170,11 @@ def linked(
     pairs = few.join(few.select("node", F.col("vertex").alias("b")), "node").where("vertex < b").select(F.col("vertex").alias("a"), "b")
     large = rows.where(F.col("n") > small)
     if large.isEmpty():
-        label = joined(scored(pairs, features, alike), None)
+        label = joined(scored(pairs, features, alike), None, BEST_FIRST)
     else:
         large = materialise(central(large), "nodes")
         held.append(large)
-        label = joined(scored(pairs.unionByName(star(large)), features, alike), None)
+        label = joined(scored(pairs.unionByName(star(large)), features, alike), None, BEST_FIRST)
         own = tokens(large.select("vertex").distinct())
         held.append(own)
         # From here on the rows carry their tokens and their component.
@@ -206,7 +208,7 @@ def linked(
     return label, links
 
 
-def _resolved(scored: DataFrame, label: DataFrame | None, links: list[DataFrame], confirm: Callable[[DataFrame], DataFrame], best_first: int = BEST_FIRST) -> DataFrame:
+def _resolved(scored: DataFrame, label: DataFrame | None, links: list[DataFrame], confirm: Callable[[DataFrame], DataFrame], best_first: int) -> DataFrame:
     """Components after all scored pairs: first each vertex's likeliest partner,
     ``best_first`` times, then every pair that still joins different components."""
     for step in range(best_first + 1):
