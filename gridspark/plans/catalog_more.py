@@ -158,7 +158,7 @@ def mesh_refined_to_level(spark, d):
     return fine.groupBy("level").agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("cell_id").alias("ids"))
 
 
-@query("SELECT CAST(c AS BIGINT) AS cell_id, -75.0 + 30 * (c // 12) AS lat, 15.0 + 30 * (c % 12) AS lon, CAST(900.0 AS DOUBLE) AS area, round(least(30 * 111.0, 30 * 111.0 * cos(radians(-75.0 + 30 * (c // 12)))), 4) AS km FROM generate_series(0, 71) g(c)")
+@query("SELECT CAST(c AS BIGINT) AS cell_id, CAST(-75.0 + 30 * (c // 12) AS DOUBLE) AS lat, CAST(15.0 + 30 * (c % 12) AS DOUBLE) AS lon, CAST(900.0 AS DOUBLE) AS area, round(least(30 * 111.0, 30 * 111.0 * cos(radians(-75.0 + 30 * (c // 12)))), 4) AS km FROM generate_series(0, 71) g(c)")
 def mesh_cell_centres(spark, d):
     cells = mesh.centres(mesh.base_mesh(spark, 30.0))
     km = expr.cell_size_km(*(F.col(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max")))
@@ -250,7 +250,7 @@ def user_and_workspace_records(spark, d):
     return users.join(spaces, "c_nationkey").select("username", "role", F.size("permissions").alias("n_permissions"), "workspace", "description", F.get("members", F.lit(0)).alias("first_member"))
 
 
-@query("SELECT 't' || n_nationkey AS tenant_id, n_nationkey * 1.5 AS quota_storage_tb, CAST(n_regionkey AS DOUBLE) AS quota_jobs FROM nation")
+@query("SELECT 't' || n_nationkey AS tenant_id, CAST(n_nationkey * 1.5 AS DOUBLE) AS quota_storage_tb, CAST(n_regionkey AS DOUBLE) AS quota_jobs FROM nation")
 def usage_as_quota(spark, d):
     n = v.table(spark, d, "nation")
     return tenancy.usage_to_quota(n.select(F.concat(F.lit("t"), F.col("n_nationkey")).alias("tenant_id"), (F.col("n_nationkey") * 1.5).alias("used_storage_tb"), F.col("n_regionkey").cast("double").alias("used_jobs")))
@@ -414,7 +414,7 @@ def lhs_strata(spark, d):
     return spark.createDataFrame(rows, "name string, stratum long").groupBy("name", "stratum").count().withColumnRenamed("count", "n")
 
 
-@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN 2.0 END AS place, ['low', 'mid', 'high'][1 + least(greatest(p_size - 20, 0), 2)] AS chosen, CAST(least(greatest(p_size, 10), 40) AS DOUBLE) AS clipped FROM part")
+@query("SELECT p_partkey, CAST(CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS DOUBLE) AS place, ['low', 'mid', 'high'][1 + least(greatest(p_size - 20, 0), 2)] AS chosen, CAST(least(greatest(p_size, 10), 40) AS DOUBLE) AS clipped FROM part")
 def optimiser_codes(spark, d):
     kinds = orchestration.Range("kind", kind="values", values=("low", "mid", "high"))
     size = orchestration.Range("size", 10, 40, "discrete")
