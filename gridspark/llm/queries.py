@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, lm_scoring, mixing, near_dedup, shuffle_shards, tiff, token_files, toxicity, url_filter
+from . import decontaminate, line_dedup, lm_scoring, mixing, near_dedup, shuffle_shards, tiff, token_files, toxicity, url_filter, warc_bundles
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_token_files": token_files.op8_token_files,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_warc_bundles": warc_bundles.op11_warc_bundles,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql():
         "op5_decontaminate": decontaminate.ORACLE,
         "op6_mix": mixing.ORACLE,
         "op7_url_filter": url_filter.oracle(),
+        "op11_warc_bundles": warc_bundles.ORACLE,
     }
