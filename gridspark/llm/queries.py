@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, lm_scoring, mixing, near_dedup, shuffle_shards, tiff, token_files, toxicity, url_filter, vector_codes, warc_bundles
+from . import decontaminate, hard_negatives, line_dedup, lm_scoring, mixing, near_dedup, shuffle_shards, tiff, token_files, toxicity, url_filter, vector_codes, warc_bundles
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_line_dedup": line_dedup.op10_line_dedup,
         "op11_warc_bundles": warc_bundles.op11_warc_bundles,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
         "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
@@ -28,5 +29,6 @@ def oracle_sql():
         "op6_mix": mixing.ORACLE,
         "op7_url_filter": url_filter.oracle(),
         "op11_warc_bundles": warc_bundles.ORACLE,
+        "op12_hard_negatives": hard_negatives.ORACLE,
         "op13_vector_codes": vector_codes.oracle(),
     }

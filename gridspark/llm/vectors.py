@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 SCALE = 256
-#: Above it scores and squared distances might not fit a long.
-LARGEST = 2.0**60
+#: Below it scores are exact as doubles, and a hundred times a score, or a squared distance, fits a long.
+LARGEST = 2.0**53
 
 
 def matrix(lists: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
