@@ -1,14 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The mix is a row of equal slots of ``block`` words each. Slot ``i`` stands at the
-golden-ratio point frac(i / phi) of the unit interval; laid over the cumulative
-target shares of the sources, the points give each source its share of any
-stretch of the schedule. The r-th slot of a source takes the r-th block of that
-source's shuffled word stream, beginning again when the stream ends. Where a
-block is one word, a source takes as many words as it has slots. Where blocks are
-larger, the source's last block is topped up or trimmed to its target, so that
-sources of any size meet theirs: it takes the first words of its repeated stream,
-and only where in the mix they stand depends on the slots.
+The mix is a row of slots of ``block`` words each, as many as all targets need.
+Slot ``i`` stands at the golden-ratio point frac(i / phi) of the unit interval;
+laid over the cumulative shares of the sources, the points give each source its
+share of any stretch of the schedule. The r-th slot of a source takes the r-th
+block of that source's shuffled word stream, beginning again when the stream
+ends. A source's last block is trimmed to its target; where the points have left
+it a few slots short (or its share is too small for any point), the blocks that
+are missing follow at the end of the schedule.
 
 DataFrame functions only. Ranks and running sums are taken in two levels (within
 a chunk, and over the chunks' totals), so that a source with a third of all rows
@@ -21,11 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, running_before, word_count
+from .common import documents, materialise, running_before, shuffle_partitions, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
-SLOTS = 1 << 20
+#: Words of a slot, and slots that are ranked together.
+BLOCK = 64
+CHUNK_SLOTS = 1 << 15
 CELLS = 4096
 #: The golden ratio's fraction in units of 2^-32.
 STEP, UNIT = 2654435769, 1 << 32
@@ -64,7 +65,7 @@ def mix(
     weights=WEIGHTS,
     share: float = SHARE,
     most: int = MOST,
-    slots: int = SLOTS,
+    block: int = BLOCK,
     seed: int = 17,
 ) -> DataFrame:
     """All columns of ``df`` and source_size, target, taken: how many of the
@@ -74,7 +75,7 @@ def mix(
     such a row, and a row of 0, takes 0. A null key is a key like others.
     Repeated rows each hold their own place in the stream. An empty table gives
     an empty one. Input columns named like an output column are replaced. The
-    result depends on the rows, the seed and ``slots`` only.
+    result depends on the rows, the seed and ``block`` only.
     """
     df = df.drop("source_size", "target", "taken")
     rows = df.withColumns(
@@ -87,19 +88,19 @@ def mix(
     rows = rows.withColumn("_j", F.row_number().over(W.partitionBy("_h", "_x").orderBy("_size")))
     base = materialise(rows.select(F.col(source).alias("source"), "_h", "_x", "_j", "_size"), "mix-rows")
     targets = materialise(source_targets(base, "source", "_size", weights, share, most), "mix-sources")
-    n_sources, words = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum("target"), F.lit(0.0))).first()
-    block = max(1, -int(-words // slots))
+    n_sources = targets.count()
     placed = _stream(base, F.broadcast(targets) if n_sources <= SMALL_SOURCES else targets)
-    if block > 1:
-        wanted = F.floor("target").cast("long")
-    else:
-        slotted = _slotted(targets, int(-(-words // block)), most)
-        placed = placed.join(slotted, "number", "left")
-        wanted = F.coalesce("slots", F.lit(0))
-    # The source's stream is taken whole so many times, and once more up to a place.
-    times, upto = F.expr("_wanted div source_size"), F.expr("_wanted % source_size")
-    more = F.greatest(F.lit(0), F.least("_size", upto - F.col("_start")))
-    taken = placed.where("_size > 0").withColumn("_wanted", wanted).select("_h", "_x", "_j", (F.col("_size") * times + more).alias("taken"))
+    # What a source takes: its stream so many times whole, and once more up to a place.
+    wanted, blocks = F.floor("target").cast("long"), F.ceil(F.col("source_size") / block).cast("long")
+    needs = targets.where("target >= 1").select("number", wanted.alias("wanted"), "source_size", blocks.alias("blocks"))
+    needs = needs.withColumn("rest", F.col("wanted") % F.col("source_size"))
+    needs = materialise(needs.withColumn("needed", F.expr("(wanted div source_size) * blocks") + F.ceil(F.col("rest") / block).cast("long")), "mix-needs")
+    times = _times(schedule(needs), needs, block)
+    pieces = placed.where("_size > 0").select("_h", "_x", "_j", "number", F.col("_start").alias("a"), (F.col("_start") + F.col("_size")).alias("z"))
+    pieces = pieces.withColumn("b", F.explode(F.sequence(F.expr(f"a div {block}"), F.expr(f"(z - 1) div {block}"))))
+    pieces = pieces.withColumn("from", F.greatest(F.lit(0), F.col("a") - F.col("b") * block)).withColumn("upto", F.least(F.lit(block), F.col("z") - F.col("b") * block))
+    words = (F.col("upto") - F.col("from")) * F.col("whole") + F.greatest(F.lit(0), F.least("upto", "part") - F.col("from"))
+    taken = pieces.join(times, ["number", "b"]).groupBy("_h", "_x", "_j").agg(F.sum(words).alias("taken"))
     found = placed.select("_h", "_x", "_j", "source_size", "target").join(taken, ["_h", "_x", "_j"], "left")
     out = rows.join(found, ["_h", "_x", "_j"])
     return out.select(*df.columns, "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -116,20 +117,45 @@ def _stream(base: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.withColumn("_start", F.col("_before") + F.col("_within")).drop("_chunk", "_within", "_before")
 
 
-def _slotted(targets: DataFrame, n_slots: int, most: int) -> DataFrame:
-    """How many of the schedule's slots, of one word each, are a source's: number, slots."""
-    spark = targets.sparkSession
-    whole = F.floor("target").cast("long")
+def points(slot: Column) -> Column:
+    """The golden-ratio point of a slot, in units of 2^-32; in steps that no slot number overflows."""
+    high, low = F.call_function("div", F.pmod(slot, F.lit(UNIT)), F.lit(65536).cast("long")), F.pmod(slot, F.lit(65536))
+    return F.pmod(F.pmod(high * STEP, F.lit(UNIT)) * 65536 + low * STEP, F.lit(UNIT))
+
+
+def schedule(needs: DataFrame) -> DataFrame:
+    """Of sources (number, needed: how many slots) the slots of the mix: number,
+    slot (place in the mix) and rank (how many slots of the source come before)."""
+    spark = needs.sparkSession
+    total = needs.agg(F.sum("needed")).first()[0] or 0
     everything = W.orderBy("number").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    upto = F.sum(whole).over(W.orderBy("number").rowsBetween(W.unboundedPreceding, 0))
-    edge = lambda cum: F.floor(cum.cast("double") / F.sum(whole).over(everything) * UNIT).cast("long")
-    spans = targets.where("target >= 1").select("number", "source_size", edge(upto - whole).alias("lo"), edge(upto).alias("hi"))
+    upto = F.sum("needed").over(W.orderBy("number").rowsBetween(W.unboundedPreceding, 0))
+    edge = lambda cum: F.floor(cum.cast("double") / F.sum("needed").over(everything) * UNIT).cast("long")
+    spans = needs.where("needed > 0").select("number", "needed", edge(upto - F.col("needed")).alias("lo"), edge(upto).alias("hi"))
     cell = UNIT // CELLS
     cells = spans.where("hi > lo").withColumn("cell", F.explode(F.sequence(F.expr(f"lo div {cell}L"), F.expr(f"(hi - 1) div {cell}L"))))
-    slots = spark.range(n_slots).select("id", F.pmod(F.col("id") * STEP, F.lit(UNIT)).alias("x"))
+    slots = spark.range(0, total, 1, max(shuffle_partitions(spark), -(-total // (1 << 20)))).withColumnRenamed("id", "slot").withColumn("x", points(F.col("slot")))
     dealt = slots.withColumn("cell", F.expr(f"x div {cell}L")).join(cells, "cell").where("x >= lo AND x < hi")
-    counts = dealt.groupBy("number", "source_size").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("number", F.least("n", most * F.col("source_size")).alias("slots"))
+    dealt = dealt.select("number", "needed", "slot", F.expr(f"slot div {CHUNK_SLOTS}").alias("chunk"))
+    counts = materialise(dealt.groupBy("number", "chunk").agg(F.count(F.lit(1)).alias("n")), "mix-chunks")
+    before = counts.select("number", "chunk", running_before("n", ["number"], ["chunk"]).alias("before"))
+    within = F.row_number().over(W.partitionBy("number", "chunk").orderBy("slot")) - 1
+    ranked = dealt.withColumn("within", within).join(before, ["number", "chunk"])
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("within")).where("rank < needed").select("number", "slot", "rank")
+    short = needs.join(counts.groupBy("number").agg(F.sum("n").alias("had")), "number", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < needed")
+    short = short.withColumn("rank", F.explode(F.sequence("had", F.col("needed") - 1)))
+    return ranked.unionByName(short.select("number", (F.lit(total) + F.col("rank") - F.col("had")).alias("slot"), "rank"))
+
+
+def _times(slots: DataFrame, needs: DataFrame, block: int) -> DataFrame:
+    """How often each block of a source's stream (number, b) is taken whole, and
+    how many words of it besides, where it is the source's last and trimmed."""
+    trimmed = (F.col("rank") == F.col("needed") - 1) & (F.col("rest") > 0)
+    slots = slots.join(needs.select("number", "needed", "rest", "blocks"), "number")
+    last = F.when(trimmed, F.pmod(F.col("rest") - 1, F.lit(block)) + 1)
+    slots = slots.select("number", F.expr("rank % blocks").alias("b"), last.alias("last"))
+    whole = F.count(F.when(F.col("last").isNull(), 1)).alias("whole")
+    return slots.groupBy("number", "b").agg(whole, F.coalesce(F.max("last"), F.lit(0)).alias("part"))
 
 
 def copies(size: Column, taken: Column) -> Column:
@@ -143,6 +169,7 @@ def op6_mix(spark, sf_dir) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: What the schedule comes to, without one: each source takes the first words of its repeated stream, to the word.
 ORACLE = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
@@ -157,28 +184,10 @@ l AS (
     / CAST(sum(weight) OVER (ORDER BY source_size / CAST(weight AS DOUBLE), number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
   FROM w),
 t AS (SELECT number, source, source_size, least(CAST({MOST} * source_size AS DOUBLE), weight * max(level) OVER ()) AS target FROM l),
-p AS (SELECT greatest(1, CAST(ceil(sum(target) / {SLOTS}) AS BIGINT)) AS block, sum(target) AS words FROM t),
-e AS (
-  SELECT number, source_size, floor(target) AS whole, sum(floor(target)) OVER () AS every,
-    sum(floor(target)) OVER (ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM t WHERE target >= 1),
-spans AS (
-  SELECT number, source_size, CAST(floor((upto - whole) / every * {UNIT}) AS BIGINT) AS lo, CAST(floor(upto / every * {UNIT}) AS BIGINT) AS hi FROM e),
-slots AS (
-  SELECT i, (i * {STEP}) % {UNIT} AS x FROM (SELECT unnest(generate_series(0, CAST(ceil(words / block) AS BIGINT) - 1)) AS i FROM p)),
-ranked AS (
-  SELECT number, row_number() OVER (PARTITION BY number ORDER BY i) - 1 AS r, (source_size + block - 1) // block AS blocks
-  FROM slots JOIN spans ON x >= lo AND x < hi, p),
-takes AS (SELECT number, r % blocks AS b, count(*) AS times FROM ranked WHERE r < {MOST} * blocks GROUP BY ALL),
 placed AS (
   SELECT d.*, number, source_size, target,
     coalesce(sum(size) OVER (PARTITION BY number ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-pieces AS (
-  SELECT number, start, size, unnest(generate_series(CAST(start // block AS BIGINT), CAST((start + size - 1) // block AS BIGINT))) AS b, block
-  FROM placed, p WHERE size > 0),
-taken AS (
-  SELECT number, start, sum(times * (least(start + size - 1, (b + 1) * block - 1) - greatest(start, b * block) + 1)) AS taken
-  FROM pieces JOIN takes USING (number, b) GROUP BY number, start)
-SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END AS BIGINT) AS taken
-FROM placed LEFT JOIN taken USING (number, start)"""
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CAST(CASE WHEN size > 0 THEN size * (CAST(floor(target) AS BIGINT) // source_size) + greatest(0, least(size, CAST(floor(target) AS BIGINT) % source_size - start)) ELSE 0 END AS BIGINT) AS taken
+FROM placed"""

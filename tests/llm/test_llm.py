@@ -345,10 +345,51 @@ def test_mix_meets_its_targets(spark, sf):
 def test_small_sources_meet_their_targets_in_a_large_mix(spark):
     rows = [(i, "large", 5000) for i in range(2000)] + [(10_000 + i, f"s{i // 10}", 50 + i % 7) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, source string, size long")
-    for slots in (1 << 10, 1 << 14):  # blocks of some thousand words and of some hundred
-        out = mixing.mix(df, slots=slots).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
-        assert len(out) == 41 and all(abs(r.taken - r.target) <= 1 for r in out)
-    assert mixing.mix(df, slots=1 << 10).where("taken > 2 * size").count() == 0
+    for block in (64, 5000, 1):
+        if block == 1:
+            df = df.where("doc_id >= 10000 OR doc_id < 40")
+        out = mixing.mix(df, block=block).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+        assert len(out) == 41 and all(r.target - 1 < r.taken <= r.target for r in out)
+    assert mixing.mix(df).where("taken > 2 * size").count() == 0
+
+
+def test_slots_follow_the_golden_ratio_and_ranks_have_no_gaps(spark):
+    needed = {1: 20_000, 2: 77_777, 3: 1, 4: 5}
+    slots = mixing.schedule(spark.createDataFrame(list(needed.items()), "number long, needed long")).toPandas().sort_values("slot")
+    total, edges = sum(needed.values()), np.cumsum([0, *needed.values()])
+    assert slots.slot.is_unique
+    for k, n in needed.items():
+        mine = slots[slots.number == k]
+        assert mine["rank"].tolist() == list(range(n))
+        dealt = mine.slot[mine.slot < total]
+        point = np.array([int(i) * mixing.STEP % mixing.UNIT for i in dealt])
+        assert ((point >= edges[k - 1] * mixing.UNIT // total) & (point < edges[k] * mixing.UNIT // total)).all() and len(mine) - len(dealt) <= 20
+    for first in range(0, total - 5000, 4999):  # any stretch of the schedule has the shares of the whole
+        some = slots[(slots.slot >= first) & (slots.slot < first + 5000)]
+        assert abs((some.number == 1).sum() - 5000 * needed[1] / total) < 12
+    assert mixing.schedule(spark.createDataFrame([], "number long, needed long")).count() == 0
+
+
+def test_points_of_large_slot_numbers(spark):
+    numbers = [0, 1, (1 << 32) - 1, 1 << 32, (1 << 45) + 12345, (1 << 62) + 7]
+    got = [r.x for r in spark.createDataFrame([(n,) for n in numbers], "n long").select(mixing.points(F.col("n")).alias("x")).collect()]
+    assert got == [n * mixing.STEP % mixing.UNIT for n in numbers]
+
+
+def test_a_mix_of_millions_of_words_equals_repeated_streams(spark, sf):
+    """What the SQL says, in Python, on more words than the small tables have."""
+    rows = [(i, None if i % 3 == 0 else f"s{i % 11}", (i * 7919) % 4001) for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    assert sum(r.taken for r in got) > 1 << 22
+    streams = {}
+    for r in got:
+        streams.setdefault(r.source, []).append((hashlib.md5(f"17:{r.doc_id}".encode()).hexdigest(), r))
+    for rows in streams.values():
+        at, wanted = 0, int(rows[0][1].target)
+        for _, r in sorted(rows, key=lambda x: x[0]):
+            times, rest = divmod(wanted, r.source_size)
+            assert r.taken == r.size * times + max(0, min(r.size, rest - at))
+            at += r.size
 
 
 def test_mix_edges(spark):
