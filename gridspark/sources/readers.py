@@ -22,7 +22,11 @@ def normalised(df: DataFrame) -> DataFrame:
 
 
 def read_cells(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None, **options) -> DataFrame:
-    """Cells from parquet, orc, csv or json; what else Spark reads by its name."""
+    """Cells from parquet, orc, csv, json or NetCDF; what else Spark reads by its name."""
+    if kind == "netcdf":
+        from .netcdf_source import register
+
+        register(spark)
     reader = spark.read.format(kind).options(**options)
     return normalised((reader.schema(schema) if schema else reader).load(path))
 

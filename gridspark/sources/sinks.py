@@ -5,9 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def write_results(df: DataFrame, path: str, tenant: str = "tenant_id", mode: str = "append") -> None:
-    df.write.partitionBy(tenant).mode(mode).parquet(path)
+from .netcdf_source import ROWS_PER_FILE, register
+
+
+def write_results(df: DataFrame, path: str, tenant: str = "tenant_id", run: str | None = None, mode: str = "append", rows: int = ROWS_PER_FILE) -> None:
+    """Parquet by tenant; with ``run`` a NetCDF file for each tenant and run, in
+    parts of about ``rows`` rows where a tenant has more: such tenants, of which
+    there is one for ``rows`` rows of the table at most, are dealt to several tasks."""
+    if run is None:
+        df.write.partitionBy(tenant).mode(mode).parquet(path)
+        return
+    register(df.sparkSession)
+    large = df.groupBy(F.col(tenant).alias("_t")).agg(F.ceil(F.count(F.lit(1)) / rows).alias("_parts")).where("_parts > 1")
+    dealt = df.join(F.broadcast(large), df[tenant].eqNullSafe(F.col("_t")), "left")
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.coalesce("_parts", F.lit(1))))
+    dealt = dealt.repartition(tenant, "_part").sortWithinPartitions(tenant, "_part").select(*df.columns)
+    dealt.write.format("netcdf").options(by=tenant, run=run, rowsPerFile=rows + rows // 4).mode(mode).save(path)
+
+
+def runs(spark, path: str) -> DataFrame:
+    """What the runs below ``path`` have written: run, file, by (the tenant), rows."""
+    listed = spark.read.schema("run string, files array<struct<file: string, by: string, rows: long>>").json(f"{path}/_runs/*.json")
+    return listed.select("run", F.explode("files").alias("f")).select("run", "f.*")
+
+
+def read_results(spark, path: str, run: str, schema: str | None = None) -> DataFrame:
+    """The rows of one run, from the files whose names are the run's."""
+    register(spark)
+    reader = spark.read.format("netcdf").options(layout="table", run=run)
+    return (reader.schema(schema) if schema else reader).load(path)
+
+
+def write_fields(df: DataFrame, path: str, by: str, run: str = "run", mode: str = "append") -> None:
+    """Cells (variable, value, any of time, level, lat, lon, and time_coverage_start
+    for the file's attribute) as a gridded NetCDF file for each value of ``by``. A
+    file is put together in one task."""
+    register(df.sparkSession)
+    df.repartition(by).sortWithinPartitions(by).write.format("netcdf").options(by=by, run=run, layout="grid").mode(mode).save(path)
 
 
 def report_rows(stats: DataFrame, by: str = "variable", names=("mean", "std", "min", "max")) -> DataFrame:
