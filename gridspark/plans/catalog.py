@@ -708,4 +708,4 @@ def animation_frames(spark, d):
     return sinks.frames(v.daily(spark, d), "t", ["variable"]).select("variable", "t", "min", "max")
 
 
-from . import catalog_more, catalog_sources  # noqa: E402, F401  they register their queries with these
+from . import catalog_more, catalog_sources, catalog_streams  # noqa: E402, F401  they register their queries with these
