@@ -13,17 +13,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.expr import cosine, finite, safe_ratio
+from .quantiles import LIMIT, with_quantiles
 
 
-def fingerprint(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+def fingerprint(df: DataFrame, by: list[str], value: str = "value", limit: int = LIMIT) -> DataFrame:
     """Nine features of the finite values: mean, deviation, ends, quartiles,
-    skewness and excess kurtosis (biased; 0 for few or equal values)."""
+    skewness and excess kurtosis (biased; 0 for few or equal values). Quartiles are
+    exact, and no task holds more than ``limit`` values of a group."""
     x = finite(F.col(value))
     varied = (F.stddev_pop(x) > 0).alias("v")
     out = df.groupBy(*by).agg(
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-        *(F.percentile(x, F.lit(p / 100)).alias(f"p{p}") for p in (25, 50, 75)), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"), varied,
+        F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"), varied,
     )
+    out = with_quantiles(df, by, x, out, {f"p{p}": p / 100 for p in (25, 50, 75)}, limit)
     skew = F.when(F.col("v") & (F.col("n") > 2), F.col("skew")).otherwise(0.0)
     kurt = F.when(F.col("v") & (F.col("n") > 3), F.col("kurt")).otherwise(0.0)
     return out.where("n > 0").withColumns({"skew": skew, "kurt": kurt}).drop("v")

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import finite, range_of
+from . import scan
 
 # Limits of the gradient's magnitude by what the variable's name contains.
 GRADIENT_LIMITS = {"temperature": 15.0, "pressure": 500.0, "wind": 30.0, "humidity": 50.0}
@@ -131,32 +132,20 @@ def null_failures(df: DataFrame, flags: DataFrame, keys: list[str]) -> DataFrame
 
 
 def fill_in_time(df: DataFrame, by: list[str], axis: str) -> DataFrame:
-    """Nulls by linear interpolation over the axis; the nearest value beyond either end."""
-    back = W.partitionBy(*by).orderBy(axis).rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(*by).orderBy(axis).rowsBetween(0, W.unboundedFollowing)
-    at = F.when(F.col("value").isNotNull(), F.col(axis))
-    out = df.withColumns(
-        {
-            "_p": F.last("value", True).over(back),
-            "_n": F.first("value", True).over(ahead),
-            "_tp": F.last(at, True).over(back),
-            "_tn": F.first(at, True).over(ahead),
-        }
-    )
-    between = F.col("_p") + (F.col("_n") - F.col("_p")) * (F.col(axis) - F.col("_tp")) / (F.col("_tn") - F.col("_tp"))
-    value = F.when(F.col("_p").isNull(), F.col("_n")).when(F.col("_n").isNull(), F.col("_p")).when(F.col("_tn") == F.col("_tp"), F.col("value"))
-    return out.withColumn("value", value.otherwise(between)).drop("_p", "_n", "_tp", "_tn")
+    """Nulls by linear interpolation over the axis; the nearest value beyond either
+    end. What is known before and after a row comes from a scan: a long series is many tasks."""
+    known = F.when(F.col("value").isNotNull(), F.struct(F.col("value").alias("v"), F.col(axis).alias("t")))
+    out = scan.scan(scan.chunked(df, by, [axis]), by, [axis], {"_p": scan.last_known(known), "_n": scan.next_known(known)})
+    p, n = F.col("_p.v"), F.col("_n.v")
+    between = p + (n - p) * (F.col(axis) - F.col("_p.t")) / (F.col("_n.t") - F.col("_p.t"))
+    value = F.when(p.isNull(), n).when(n.isNull(), p).when(F.col("_n.t") == F.col("_p.t"), F.col("value"))
+    return out.withColumn("value", value.otherwise(between)).select(*df.columns)
 
 
 def fill_around(grid: DataFrame, by: list[str], axis: str) -> DataFrame:
     """One pass along a periodic axis: a null becomes the mean of the values
     before and after it, or the one there is."""
-    w = W.partitionBy(*by).orderBy(axis)
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    before = F.coalesce(F.lag("value").over(w), F.when(F.lag(axis).over(w).isNull(), F.last("value").over(whole)))
-    after = F.coalesce(F.lead("value").over(w), F.when(F.lead(axis).over(w).isNull(), F.first("value").over(whole)))
-    mean = (F.coalesce(before, after) + F.coalesce(after, before)) / 2
-    return grid.withColumn("value", F.coalesce("value", mean))
+    return grid.withColumn("value", F.coalesce("value", _beside(by, axis)))
 
 
 def _beside(by: list[str], axis: str) -> Column:

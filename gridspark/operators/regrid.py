@@ -7,10 +7,16 @@ equi joins; no cell is compared with all others.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.expr import finite
+
 
 def brackets(source: DataFrame, target: DataFrame, extrapolate: bool = False) -> DataFrame:
     """For each target (t_idx, t_pos): the source positions on either side, i0
@@ -72,17 +78,69 @@ def regrid_nearest(field: DataFrame, lat: DataFrame, lon: DataFrame, by: list[st
     return field.join(a, "lat_idx").join(o, "lon_idx").select(*by, "lat_t", "lon_t", "value")
 
 
-def idw(field: DataFrame, targets: DataFrame, by: list[str] = [], power: float = 2.0) -> DataFrame:  # noqa: B006
+#: Targets go to the tasks in blocks of so many, each one pass over the field; a kernel holds so many weights at once.
+TARGET_BLOCK = 1 << 16
+KERNEL = 1 << 22
+
+
+def idw(field: DataFrame, targets: DataFrame, by: list[str] = [], power: float = 2.0, block: int = TARGET_BLOCK) -> DataFrame:  # noqa: B006
     """Inverse distance weights of *all* finite points of the field (lat, lon,
     value) for each target (t_id, t_lat, t_lon): an all-points kernel by
-    definition. The field is summed once for every target; the targets are the
-    stated query set, and they are broadcast only while they are few."""
-    n = targets.count()
-    targets = F.broadcast(targets) if n <= 100_000 else targets
-    far = F.greatest(F.lit(1e-10), F.sqrt(F.pow(F.col("lat") - F.col("t_lat"), 2) + F.pow(F.col("lon") - F.col("t_lon"), 2)))
-    w = 1 / F.pow(far, power)
-    pairs = field.where(F.col("value").isNotNull()).crossJoin(targets).withColumn("_w", w)
-    return pairs.groupBy(*by, "t_id", "t_lat", "t_lon").agg((F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("value"))
+    definition. Arrow batches of the field meet blocks of targets as matrices; what
+    a task has summed up for a group and target is one row, and these are merged, so
+    no pair of point and target is ever a row. Targets that occur twice count once."""
+    numbered = targets.select("t_id", F.col("t_lat").cast("double").alias("t_lat"), F.col("t_lon").cast("double").alias("t_lon")).distinct()
+    n_blocks = max(1, -(-numbered.count() // block))
+    numbered = numbered.withColumn("_block", F.pmod(F.xxhash64("t_id", "t_lat", "t_lon"), F.lit(n_blocks)))
+    points = field.where(finite(F.col("value")).isNotNull()).select(*by, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col("value").cast("double").alias("value"))
+    kinds = [f"`{c}` {t}" for c, t in points.select(*by).dtypes]
+    out = None
+    for b in range(n_blocks):
+        some = numbered.where(F.col("_block") == b).drop("_block").toPandas()  # a block of bounded size
+        sums = points.mapInArrow(_kernel(some["t_lat"].to_numpy(float), some["t_lon"].to_numpy(float), len(by), power), ", ".join([*kinds, "_t int, _wv double, _w double"]))
+        merged = sums.groupBy(*by, "_t").agg((F.sum("_wv") / F.sum("_w")).alias("value"))
+        names = field.sparkSession.createDataFrame(some.reset_index(names="_t"), f"_t int, t_id {dict(targets.dtypes)['t_id']}, t_lat double, t_lon double")
+        part = merged.join(names, "_t").select(*by, "t_id", "t_lat", "t_lon", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _kernel(t_lat: np.ndarray, t_lon: np.ndarray, n_by: int, power: float):
+    """Sums of weight times value and of weights for each group and target of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        schema = None
+        for some in batches:
+            schema = some.schema
+            lat, lon, value = (some.column(n_by + i).to_numpy() for i in range(3))
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(some.column(k).to_pylist() for k in range(n_by))) if n_by else [()] * some.num_rows):
+                groups.setdefault(key, []).append(i)
+            for key, rows in groups.items():
+                total = sums.setdefault(key, np.zeros((2, len(t_lat))))
+                step = max(1, KERNEL // max(1, len(t_lat)))
+                for a in range(0, len(rows), step):
+                    at = np.array(rows[a : a + step])
+                    far = np.hypot(lat[at][:, None] - t_lat, lon[at][:, None] - t_lon)
+                    w = 1 / np.maximum(far, 1e-10) ** power
+                    total[0] += value[at] @ w
+                    total[1] += w.sum(0)
+            if len(sums) * max(1, len(t_lat)) > KERNEL:
+                yield from _emit(sums, schema, n_by)
+                sums = {}
+        if sums:
+            yield from _emit(sums, schema, n_by)
+
+    return run
+
+
+def _emit(sums: dict, schema: pa.Schema, n_by: int) -> Iterator[pa.RecordBatch]:
+    for key, (wv, w) in sums.items():
+        n = len(w)
+        if n:
+            columns = [pa.array([k] * n, schema.field(i).type) for i, k in enumerate(key)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(n, dtype=np.int32)), pa.array(wv), pa.array(w)], [*schema.names[:n_by], "_t", "_wv", "_w"])
 
 
 def cell_edges(axis: DataFrame) -> DataFrame:

@@ -7,20 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import finite
+from .quantiles import LIMIT, with_quantiles
 
 PERCENTILES = (10, 25, 50, 75, 90)
 LEVELS = (0.68, 0.9, 0.95)
 
 
 def percentile(x: Column, p: float) -> Column:
+    """For groups of few values, as the members of a cell are: all of them meet in one task."""
     return F.percentile(x, F.lit(p))
 
 
-def describe(df: DataFrame, by: list[str], value: str = "value", percentiles=PERCENTILES) -> DataFrame:
-    """Mean, population deviation, ends and exact percentiles of the finite values."""
+def describe(df: DataFrame, by: list[str], value: str = "value", percentiles=PERCENTILES, limit: int = LIMIT) -> DataFrame:
+    """Mean, population deviation, ends and exact percentiles of the finite values.
+    No task holds more than ``limit`` values of a group."""
     x = finite(F.col(value))
     parts = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
-    return df.groupBy(*by).agg(*parts, *(percentile(x, p / 100).alias(f"p{p}") for p in percentiles))
+    return with_quantiles(df, by, x, df.groupBy(*by).agg(*parts), {f"p{p}": p / 100 for p in percentiles}, limit)
 
 
 def trend(df: DataFrame, by: list[str], axis: str, value: str = "value") -> DataFrame:

@@ -3,21 +3,70 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan
+
 RESOURCES = ("storage_tb", "compute_hours", "jobs", "memory_gb", "gpu", "bandwidth_gbps")
 
 
 def usage(events: DataFrame, tenant: str = "tenant_id", order: list[str] = ["event_id"], amount: str = "amount") -> DataFrame:  # noqa: B006
     """Running use after each event (allocations positive, releases negative),
-    never below 0. The clamped running sum is the plain sum less its lowest
-    value so far, so it is two windows and no fold."""
-    w = W.partitionBy(tenant).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = events.withColumn("_s", F.sum(amount).over(w))
-    return out.withColumn("used", F.col("_s") - F.least(F.lit(0.0), F.min("_s").over(w))).drop("_s")
+    never below 0. The clamped running sum is the plain sum less its lowest value
+    so far: two scans and no fold, and no window over a tenant's whole history."""
+    out = scan.scan(scan.chunked(events, [tenant], order), [tenant], order, {"_s": scan.total(F.col(amount))})
+    out = scan.scan(out, [tenant], order, {"_low": scan.lowest(F.col("_s"))})
+    return out.select(*events.columns, (F.col("_s") - F.least(F.lit(0.0), F.col("_low"))).alias("used"))
+
+
+def allocate(events: DataFrame, quotas: DataFrame, resources=RESOURCES, tenant: str = "tenant_id", order: list[str] = ["event_id"]) -> DataFrame:  # noqa: B006
+    """Replays requests (``kind`` allocate or release, an amount for each resource)
+    against the tenant's quotas, each checked before it is added: ``granted``,
+    ``reasons`` (one for each resource that an allocation would take over its quota;
+    it then takes nothing of any) and the use after it, ``used_<resource>``. A
+    release takes off what is used at most. Null amounts count as 0; a tenant
+    without quotas may take nothing.
+
+    Whether a request is granted depends on all before it, so a tenant is replayed in
+    order; its requests stream through a task in batches, of which one is held.
+    """
+    names, kinds = [f"used_{r}" for r in resources], {c: t for c, t in events.dtypes}
+    limits = quotas.select(F.col(tenant).alias("_tenant"), *(F.coalesce(F.col(f"quota_{r}"), F.lit(0.0)).alias(f"_q_{r}") for r in resources))
+    rows = events.select(*events.columns, *(F.coalesce(F.col(r).cast("double"), F.lit(0.0)).alias(f"_a_{r}") for r in resources))
+    rows = rows.join(limits, rows[tenant].eqNullSafe(F.col("_tenant")), "left").drop("_tenant")
+    rows = rows.repartition(tenant).sortWithinPartitions(tenant, *order)
+    given = list(events.columns)
+    n, at, what = len(given), given.index(tenant), given.index("kind")
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = object(), []
+        for some in batches:
+            tenants, what_ = some.column(at).to_pylist(), some.column(what).to_pylist()
+            amounts = list(zip(*(some.column(n + i).to_pylist() for i in range(len(resources)))))
+            quota = list(zip(*(some.column(n + len(resources) + i).fill_null(0.0).to_pylist() for i in range(len(resources)))))
+            granted, reasons, after = [], [], []
+            for t, k, a, q in zip(tenants, what_, amounts, quota):
+                if t != now:
+                    now, used = t, [0.0] * len(resources)
+                over = [f"{r}: {u + x:.2f} > {m:.2f}" for r, u, x, m in zip(resources, used, a, q) if x > 0 and u + x > m] if k == "allocate" else []
+                if k == "release":
+                    used = [max(0.0, u - x) for u, x in zip(used, a)]
+                elif k == "allocate" and not over:
+                    used = [u + x for u, x in zip(used, a)]
+                granted.append(not over)
+                reasons.append(over)
+                after.append(used)
+            columns = [*some.columns[:n], pa.array(granted), pa.array(reasons, pa.list_(pa.string())), *(pa.array(c, pa.float64()) for c in zip(*after))]
+            if granted:
+                yield pa.RecordBatch.from_arrays(columns, [*given, "granted", "reasons", *names])
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in kinds.items()), "granted boolean", "reasons array<string>", *(f"{c} double" for c in names)])
+    return rows.mapInArrow(replay, schema)
 
 
 def utilisation(used: Column, quota: Column) -> Column:

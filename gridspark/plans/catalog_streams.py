@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import tenancy
 from ..streaming import stateful
 from . import virtual as v
 from .catalog import query
@@ -104,3 +105,25 @@ def chunk_pipeline(spark, d) -> DataFrame:
     chunks = v.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 13 == 0, F.substring(points, 1, 9)).otherwise(points).alias("payload"))
     out = stateful.chunk_summaries(chunks, [("n_low", lambda x: x < 0), ("n_high", lambda x: x > 400)], ["event_id"])
     return out.select("event_id", "status", *[F.col(c).cast("long").alias(c) for c in ("points", "n_low", "n_high")])
+
+
+# Allocation against quotas, in the order of requests
+
+_QUOTA = {"storage_tb": 4000.0, "jobs": 40.0}
+
+
+@query(f"""WITH RECURSIVE q AS (
+    SELECT event_id, user_id % 20 AS tenant_id, CASE WHEN event_id % 3 = 0 THEN 'release' ELSE 'allocate' END AS kind, round(value, 2) AS storage_tb, CAST(event_id % 8 AS DOUBLE) AS jobs, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS n FROM events),
+  u AS (
+    SELECT DISTINCT tenant_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, TRUE AS granted, 0 AS over, CAST(0 AS DOUBLE) AS s, CAST(0 AS DOUBLE) AS j FROM q
+    UNION ALL
+    SELECT tenant_id, n, event_id, over = 0, over, CASE WHEN kind = 'release' THEN greatest(0, s - storage_tb) WHEN over = 0 THEN s + storage_tb ELSE s END, CASE WHEN kind = 'release' THEN greatest(0, j - jobs) WHEN over = 0 THEN j + jobs ELSE j END FROM (
+      SELECT q.*, u.s, u.j, CASE WHEN kind = 'release' THEN 0 ELSE CASE WHEN u.s + storage_tb > {_QUOTA['storage_tb']} THEN 1 ELSE 0 END + CASE WHEN jobs > 0 AND u.j + jobs > {_QUOTA['jobs']} THEN 1 ELSE 0 END END AS over
+      FROM u JOIN q ON q.tenant_id = u.tenant_id AND q.n = u.n + 1))
+  SELECT event_id, tenant_id, granted, CAST(over AS BIGINT) AS n_reasons, round(s, 2) AS used_storage_tb, j AS used_jobs FROM u WHERE event_id IS NOT NULL""")
+def tenant_allocation(spark, d) -> DataFrame:
+    e = v.table(spark, d, "events")
+    requests = e.select("event_id", (F.col("user_id") % 20).alias("tenant_id"), F.when(F.col("event_id") % 3 == 0, "release").otherwise("allocate").alias("kind"), v.rounded(F.col("value"), 2).alias("storage_tb"), (F.col("event_id") % 8).cast("double").alias("jobs"))
+    quotas = requests.select("tenant_id").distinct().select("tenant_id", *(F.lit(q).alias(f"quota_{r}") for r, q in _QUOTA.items()))
+    out = tenancy.allocate(requests, quotas, tuple(_QUOTA))
+    return out.select("event_id", "tenant_id", "granted", F.size("reasons").cast("long").alias("n_reasons"), v.rounded(F.col("used_storage_tb"), 2).alias("used_storage_tb"), "used_jobs")

@@ -9,15 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import scan
+
+#: Seconds of a source that a window of ten seconds is worked out for at once.
+STRETCH = 600
+
 
 def rate_10s(chunks: DataFrame, by: list[str], ts: str = "ts", size: str = "bytes") -> DataFrame:
     """Megabits a second over the ten seconds up to each chunk, of its own source
-    (``by``). A single chunk in the window has no rate."""
-    w = W.partitionBy(*by).orderBy(F.col(ts).cast("timestamp").cast("double")).rangeBetween(-10, 0)
-    t = F.col(ts).cast("timestamp").cast("double")
+    (``by``). A single chunk in the window has no rate. A source is dealt to
+    stretches of time, each with the ten seconds before it."""
+    dealt = scan.neighbours(chunks.withColumn("_t", F.col(ts).cast("timestamp").cast("double")), by, F.col("_t"), 10, STRETCH)
+    w = W.partitionBy(*by, "_stretch").orderBy("_t").rangeBetween(-10, 0)
+    t = F.col("_t")
     total, n, first = F.sum(size).over(w), F.count(F.lit(1)).over(w), F.min(t).over(w)
     rate = F.when((n > 1) & (t > first), total * 8 / ((t - first) * 1e6)).otherwise(0.0)
-    return chunks.withColumns({"window_bytes": total, "window_chunks": n, "mbps": rate})
+    return dealt.withColumns({"window_bytes": total, "window_chunks": n, "mbps": rate}).where("_own").drop("_t", "_stretch", "_own")
 
 
 def sessions(records: DataFrame, source: str = "source", order: list[str] = ["ts", "id"]) -> DataFrame:  # noqa: B006
@@ -25,18 +32,16 @@ def sessions(records: DataFrame, source: str = "source", order: list[str] = ["ts
     A source runs from the beginning; a start opens a new session unless one
     runs; data while stopped are rejected. Adds session, running, accepted, and
     the counts and bytes so far in the session and in all."""
-    w = W.partitionBy(source).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    state = F.last(F.when(F.col("kind") != "data", F.col("kind")), True).over(w)
-    out = records.withColumn("running", F.coalesce(state != "stop", F.lit(True)))
-    before = F.lag("running", 1, True).over(W.partitionBy(source).orderBy(*order))
-    out = out.withColumn("_new", ((F.col("kind") == "start") & ~before).cast("int")).withColumn("session", F.sum("_new").over(w))
-    out = out.withColumn("accepted", (F.col("kind") == "data") & F.col("running"))
-    ws = W.partitionBy(source, "session").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    one, size = F.col("accepted").cast("long"), F.when(F.col("accepted"), F.col("bytes")).otherwise(0)
-    refused = ((F.col("kind") == "data") & ~F.col("accepted")).cast("long")
-    return out.withColumns(
-        {"session_chunks": F.sum(one).over(ws), "session_bytes": F.sum(size).over(ws), "total_chunks": F.sum(one).over(w), "total_bytes": F.sum(size).over(w), "rejected": F.sum(refused).over(w)}
-    ).drop("_new")
+    control = F.when(F.col("kind") != "data", F.col("kind"))
+    data, size = F.col("kind") == "data", F.coalesce(F.col("bytes"), F.lit(0))
+    out = scan.scan(scan.chunked(records, [source], order), [source], order, {"_state": scan.last_known(control), "_before": scan.last_known_before(control)})
+    running, before = F.coalesce(F.col("_state") != "stop", F.lit(True)), F.coalesce(F.col("_before") != "stop", F.lit(True))
+    out = out.withColumns({"running": running, "_new": ((F.col("kind") == "start") & ~before).cast("int"), "accepted": data & running})
+    one, taken, refused = F.col("accepted").cast("long"), F.when(F.col("accepted"), size).otherwise(0), (data & ~F.col("accepted")).cast("long")
+    out = scan.scan(out, [source], order, {"session": scan.total(F.col("_new")), "total_chunks": scan.total(one), "total_bytes": scan.total(taken), "rejected": scan.total(refused)})
+    out = scan.scan(out, [source, "session"], order, {"session_chunks": scan.total(one), "session_bytes": scan.total(taken)})
+    added = ("session", "running", "accepted", "session_chunks", "session_bytes", "total_chunks", "total_bytes", "rejected")
+    return out.select(*records.columns, *added)
 
 
 def dashboard(replayed: DataFrame, source: str = "source", order: list[str] = ["ts", "id"]) -> DataFrame:  # noqa: B006
@@ -103,9 +108,8 @@ def rate_stats(chunks: DataFrame, by: list[str], ts: str = "ts", size: str = "by
     sum is over these."""
     t = F.floor(F.col(ts).cast("timestamp").cast("double") / every) * every
     sums = chunks.groupBy(*by, t.alias("tick")).agg(F.sum(size).alias("_b"), F.min(F.col(ts).cast("timestamp").cast("double")).alias("_t"))
-    w = W.partitionBy(*by).orderBy("tick").rowsBetween(W.unboundedPreceding, 0)
-    first = F.min("_t").over(W.partitionBy(*by))
-    return sums.select(*by, "tick", F.sum("_b").over(w).alias("bytes"), (F.sum("_b").over(w) * 8 / (F.col("tick") + every - first)).alias("bps"))
+    out = scan.scan(scan.chunked(sums, by, ["tick"]), by, ["tick"], {"bytes": scan.total(F.col("_b")), "_first": scan.lowest(F.col("_t"))})
+    return out.select(*by, "tick", "bytes", (F.col("bytes") * 8 / (F.col("tick") + every - F.col("_first"))).alias("bps"))
 
 
 def stopped(records: DataFrame, at, source: str = "source") -> DataFrame:
