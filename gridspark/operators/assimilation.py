@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import DEGREE_KM, finite, hash_normal, haversine, taper
+from .enkf import filtered
 
 
 def observations_from_cells(cells: DataFrame, variables: list[str], keys: list[str], error: float = 1.0) -> DataFrame:
@@ -98,58 +99,11 @@ def inflate(members: DataFrame, cell: list[str], factor: float, method: str = "m
     return members
 
 
-def enkf(members: DataFrame, obs: DataFrame, group: str, radius_km: float, inflation: float = 1.0, seed: int = 0, kind: str = "gaspari_cohn") -> DataFrame:
-    """Stochastic ensemble Kalman filter: members (group, member, lat, lon,
-    value), observations (group, obs_id, p_lat, p_lon, value, error), processed
-    one after the other as the method demands, so a group is one task; groups
-    that no observation joins run in parallel. Returns the analysis mean and
-    spread of each cell. Noise is a function of observation and member."""
-    import numpy as np
-    import pandas as pd
-
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame(columns=["group", "lat", "lon", "mean", "spread"])
-        x = left.pivot_table(index="member", columns=["lat", "lon"], values="value")
-        cells, e = np.array(x.columns.tolist()), x.to_numpy(float)
-        for o in right.sort_values("obs_id").itertuples():
-            if not np.isfinite(o.value):
-                continue
-            h = e[:, np.abs(cells - (o.p_lat, o.p_lon)).sum(axis=1).argmin()]
-            h = np.where(np.isfinite(h), h, np.nanmean(h))
-            err = o.error if o.error > 0 else 1.0
-            d = _distance(cells[:, 0], cells[:, 1], o.p_lat, o.p_lon) / radius_km
-            rho = _taper(kind, d)
-            gain = ((e - e.mean(axis=0)) * (h - h.mean())[:, None]).mean(axis=0) * rho / (h.var() + err**2)
-            noise = np.random.default_rng([seed, int(o.obs_id)]).normal(0, err, len(h))
-            e = e + gain * (o.value + noise - h)[:, None]
-        e = e.mean(axis=0) + inflation * (e - e.mean(axis=0))
-        out = pd.DataFrame({"lat": cells[:, 0], "lon": cells[:, 1], "mean": e.mean(axis=0), "spread": e.std(axis=0)})
-        out.insert(0, "group", left[group].iloc[0])
-        return out
-
-    kindof = dict(members.dtypes)[group]
-    return members.groupBy(group).cogroup(obs.groupBy(group)).applyInPandas(one, f"group {kindof}, lat double, lon double, mean double, spread double")
-
-
-def _distance(lat, lon, lat0: float, lon0: float):
-    import numpy as np
-
-    a = np.sin(np.radians(lat - lat0) / 2) ** 2 + np.cos(np.radians(lat)) * np.cos(np.radians(lat0)) * np.sin(np.radians(lon - lon0) / 2) ** 2
-    return 2 * 6371.0 * np.arcsin(np.minimum(1, np.sqrt(a)))
-
-
-def _taper(kind: str, c):
-    import numpy as np
-
-    if kind == "gaussian":
-        return np.exp(-(c**2))
-    if kind != "gaspari_cohn":
-        return np.maximum(0, 1 - c)
-    safe = np.where(c > 0, c, 1)
-    near = 1 - 5 / 3 * c**2 + 5 / 8 * c**3 + c**4 / 2 - c**5 / 4
-    far = 4 - 5 * c + 5 / 3 * c**2 + 5 / 8 * c**3 - c**4 / 2 + c**5 / 12 - 2 / (3 * safe)
-    return np.where(c <= 1, near, np.where(c < 2, np.maximum(far, 0), 0))
+def enkf(members: DataFrame, obs: DataFrame, group: str, radius_km: float, inflation: float = 1.0, seed: int = 0, kind: str = "gaspari_cohn", tile_km: float | None = None) -> DataFrame:
+    """Mean and spread of each cell after the stochastic ensemble Kalman filter
+    (``enkf.filtered``): members (group, member, lat, lon, value), observations
+    (group, obs_id, p_lat, p_lon, value, error)."""
+    return filtered(members, obs, group, radius_km, inflation, seed, kind, tile_km).drop("e")
 
 
 def increments(analysis: DataFrame, background: DataFrame, keys: list[str]) -> DataFrame:
@@ -167,26 +121,44 @@ def nearest_levels(obs: DataFrame, levels: DataFrame, altitude: str = "altitude"
     return out.withColumn("lev_idx", near["i"]).drop("_axis")
 
 
-def four_d_var(background: DataFrame, innovations: DataFrame, cell: list[str], centre: Column, width_hours: float, radius_km: float, background_error: float, ts: str = "ts") -> DataFrame:
+def four_d_var(background: DataFrame, innovations: DataFrame, cell: list[str], centre: Column, width_hours: float, radius_km: float, background_error: float, ts: str = "ts", kind: str = "gaspari_cohn") -> DataFrame:
     """The increments of ``three_d_var`` from the observations in the window."""
-    return three_d_var(background, in_window(innovations, centre, width_hours, ts), cell, radius_km, background_error)
+    return three_d_var(background, in_window(innovations, centre, width_hours, ts), cell, radius_km, background_error, kind)
 
 
 #: Which of the three procedures a method's name asks for.
 METHODS = {"enkf": "enkf", "letkf": "enkf", "etkf": "enkf", "3dvar": "three_d_var", "4dvar": "four_d_var", "hybrid": "four_d_var"}
 
 
-def assimilate(method: str, background: DataFrame, obs: DataFrame, cell: list[str], centre: Column, radius_km: float = 500.0, background_error: float = 1.0, window_hours: float = 6.0, members: DataFrame | None = None) -> DataFrame:
-    """Increments (cell..., increment) by the method: refused observations and, for
-    4DVar, those outside the window go first. The ensemble methods take members
-    (group, member, lat, lon, value) and observations with group and obs_id, and
-    return the analysis itself."""
-    kind = METHODS.get(method.lower(), "enkf")
+def procedure_of(method: Column) -> Column:
+    """The procedure that a method's name means; an unknown one means the ensemble filter."""
+    known = F.create_map(*(F.lit(x) for pair in METHODS.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.lower(method)), F.lit("enkf"))
+
+
+def assimilate(method: str, background: DataFrame, obs: DataFrame, cell: list[str], centre: Column, radius_km: float = 500.0, background_error: float = 1.0, window_hours: float = 6.0, members: DataFrame | None = None, ensemble: int = 20, inflation: float = 1.0, seed: int = 0, tile_km: float | None = None, kind: str = "gaspari_cohn") -> DataFrame:
+    """Increments and analysis (cell..., increment, analysis) by the method, of a
+    background (cell..., lat, lon, value) and observations (obs_id, p_lat, p_lon, ts,
+    value, innovation, error). Refused observations and, for 4DVar, those outside the
+    window go first. A cell that no observation reaches keeps its value.
+
+    The ensemble methods take ``members`` (member, lat, lon, value) of the background,
+    or make ``ensemble`` of them around it; their increment is the mean after the
+    filter less the mean before.
+    """
+    procedure = METHODS.get(method.lower(), "enkf")
     good = rejected(obs).where("rejected IS NULL").drop("rejected")
-    if kind == "enkf":
+    if procedure == "enkf":
         if members is None:
-            raise ValueError(f"{method} needs an ensemble")
-        return enkf(members, good, "group", radius_km)
-    if kind == "four_d_var":
-        return four_d_var(background, good, cell, centre, window_hours, radius_km, background_error)
-    return three_d_var(background, good, cell, radius_km, background_error)
+            members = initial_ensemble(background.withColumn("_all", F.lit(1)), ensemble, cell, seed, ["_all"])
+        members = members.select("member", "lat", "lon", "value").withColumn("group", F.lit(1))
+        before = members.groupBy("lat", "lon").agg(F.avg("value").alias("_before"))
+        after = enkf(members, good.withColumn("group", F.lit(1)), "group", radius_km, inflation, seed, kind, tile_km).select("lat", "lon", F.col("mean").alias("_after"))
+        at = background.select(*cell, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), "value")
+        found = at.join(before, ["lat", "lon"]).join(after, ["lat", "lon"]).select(*cell, (F.col("_after") - F.col("_before")).alias("increment"))
+    elif procedure == "four_d_var":
+        found = four_d_var(background, good, cell, centre, window_hours, radius_km, background_error, kind=kind)
+    else:
+        found = three_d_var(background, good, cell, radius_km, background_error, kind)
+    out = background.select(*cell, "value").join(found.select(*cell, "increment"), cell, "left").withColumn("increment", F.coalesce("increment", F.lit(0.0)))
+    return out.select(*cell, "increment", (F.col("value") + F.col("increment")).alias("analysis"))

@@ -471,21 +471,6 @@ def rejections(spark, d):
     return assimilation.rejected(obs).groupBy(F.coalesce("rejected", F.lit("none")).alias("why")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def enkf_analysis(spark, d):
-    """Three fields that have nothing to do with each other, each with all observations."""
-    lines = v.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_extendedprice")
-    part, supplier = v.table(spark, d, "part").select("p_partkey", "p_size"), v.table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    both = lines.join(part, lines.l_partkey == part.p_partkey).join(supplier, lines.l_suppkey == supplier.s_suppkey)
-    lat, lon = (-75 + 3.0 * F.col("p_size")).alias("lat"), (15.0 * F.col("s_nationkey")).alias("lon")
-    members = both.groupBy(F.col("l_returnflag").alias("field"), (F.col("l_linenumber") % 4).alias("member"), lat, lon).agg(F.avg("l_extendedprice").alias("value"))
-    whole = F.count(F.lit(1)).over(W.partitionBy("field", "lat", "lon"))  # cells that all members have
-    members = members.withColumn("n", whole).where("n = 4").drop("n")
-    obs = _innovations(spark, d).select("p_lat", "p_lon", F.col("innovation").alias("value"), "error")
-    obs = obs.withColumn("obs_id", F.row_number().over(W.orderBy("p_lat"))).withColumn("field", F.explode(F.array(*map(F.lit, "ANR"))))
-    return assimilation.enkf(members, obs, "field", 1000.0)
-
-
 @query()
 def ensemble_perturbed(spark, d):
     return coupled.perturbed(v.cells(spark, d), 5, _CELLKEY).groupBy("member").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
@@ -708,4 +693,4 @@ def animation_frames(spark, d):
     return sinks.frames(v.daily(spark, d), "t", ["variable"]).select("variable", "t", "min", "max")
 
 
-from . import catalog_more, catalog_sources, catalog_streams  # noqa: E402, F401  they register their queries with these
+from . import catalog_assimilation, catalog_more, catalog_sources, catalog_streams  # noqa: E402, F401  they register their queries with these

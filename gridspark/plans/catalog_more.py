@@ -103,30 +103,6 @@ def obs_nearest_level(spark, d):
     return assimilation.nearest_levels(v.table(spark, d, "supplier"), levels, "s_acctbal").select("s_suppkey", "lev_idx")
 
 
-_WEIGHTED = f"""p AS (SELECT lat_idx, lon_idx, innovation, CAST(error AS DOUBLE) AS error, {_DIST} / 1000 AS c FROM b, i WHERE {_DIST} <= 2000),
-  w AS (SELECT *, CASE WHEN c <= 1 THEN 1 - 5.0 / 3 * c * c + 0.625 * pow(c, 3) + pow(c, 4) / 2 - pow(c, 5) / 4 WHEN c < 2 THEN greatest(0, 4 - 5 * c + 5.0 / 3 * c * c + 0.625 * pow(c, 3) - pow(c, 4) / 2 + pow(c, 5) / 12 - 2.0 / 3 / c) ELSE 0 END AS rho FROM p)"""
-
-
-@query(f"""WITH {v.GRID}, {v.GEO}, b AS (SELECT lat_idx, lon_idx, -75.0 + 3 * CAST(lat_idx AS DOUBLE) AS lat, 15.0 * CAST(lon_idx AS DOUBLE) AS lon FROM grid),
-  i AS (SELECT lat AS p_lat, lon AS p_lon, innovation, error FROM (SELECT c_nationkey, round(avg(c_acctbal), 4) AS innovation, count(*) * 10.0 AS error FROM customer GROUP BY 1) JOIN geo ON c_nationkey = n_nationkey WHERE lat BETWEEN -20 AND 20), {_WEIGHTED}
-  SELECT lat_idx, lon_idx, round(sum(250000 / (250000 + error * error) * innovation * rho) / sum(rho), 3) AS increment FROM w WHERE rho > 1e-4 GROUP BY 1, 2 HAVING sum(rho) > 1e-3""")
-def fourdvar_analysis(spark, d):
-    at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast((p_lat + 60) / 5 as int))")
-    obs = _innovations(spark, d).withColumns({"ts": at, "value": F.col("innovation")})
-    background = _globe(spark, d).select(*_CELLKEY, "lat", "lon")
-    inside = assimilation.in_window(obs, F.lit("2024-01-13 00:00:00").cast("timestamp_ntz"), 8 * 24.0)
-    pairs = assimilation.within(inside, background, 2000.0)
-    rho = expr.taper("gaspari_cohn", F.col("distance") / 1000.0)
-    gain = 500.0**2 / (500.0**2 + F.col("error") * F.col("error"))
-    kept = pairs.withColumn("rho", rho).where("rho > 1e-4").groupBy(*_CELLKEY).agg((F.sum(gain * F.col("innovation") * F.col("rho")) / F.sum("rho")).alias("increment"), F.sum("rho").alias("w"))
-    return kept.where("w > 1e-3").select(*_CELLKEY, r("increment", 3).alias("increment"))
-
-
-@query("SELECT * FROM (VALUES ('enkf', 'enkf'), ('letkf', 'enkf'), ('etkf', 'enkf'), ('3dvar', 'three_d_var'), ('4dvar', 'four_d_var'), ('hybrid', 'four_d_var')) t(method, procedure)")
-def assimilation_methods(spark, d):
-    return spark.createDataFrame(list(assimilation.METHODS.items()), "method string, procedure string")
-
-
 @query(f"""WITH {v.ENS}, m AS (SELECT lat_idx, lon_idx, avg(value) AS mu FROM ens GROUP BY 1, 2) SELECT lat_idx, lon_idx, member, round(mu + 1.5 * (value - mu), 4) AS value FROM ens JOIN m USING (lat_idx, lon_idx)""")
 def ensemble_inflated(spark, d):
     return assimilation.inflate(v.cells(spark, d, True), _CELLKEY, 1.5).select(*_CELLKEY, "member", r("value", 4).alias("value"))
