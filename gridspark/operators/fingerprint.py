@@ -208,52 +208,11 @@ def causal_pairs(series: DataFrame, order: str, max_lag: int = 5) -> DataFrame:
 
 
 def spectrum(df: DataFrame, series: str, order: str, method: str = "stft", fs: float = 1.0) -> DataFrame:
-    """Time-frequency power of each series (one group each): ``stft`` with a Hann
-    window, ``wavelet`` (Morlet) or ``hht`` (empirical modes). Long rows: series,
-    frequency, time, power."""
-    import numpy as np
-    run = {"stft": _stft, "wavelet": _wavelet, "hht": _hht}[method]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)["value"].to_numpy(float)
-        x = np.where(np.isfinite(x), x - np.nanmean(x), 0) if len(x) else x
-        f, t, p = run(x, fs)
-        i, j = np.indices(p.shape)
-        return pd.DataFrame({series: pdf[series].iloc[0], "frequency": f[i.ravel()], "time": t[j.ravel()], "power": p.ravel()})
-
-    return df.groupBy(series).applyInPandas(one, f"{series} {dict(df.dtypes)[series]}, frequency double, time double, power double")
+    """Time-frequency power of each series: ``stft`` with a Hann window, ``wavelet``
+    (Morlet) or ``hht`` (empirical modes). Long rows: series, frequency, time, power."""
+    from . import spectra
 
-
-def _stft(x, fs):
-    import numpy as np
-
-    n = min(256, len(x))
-    if n < 2:
-        return np.zeros(0), np.zeros(0), np.zeros((0, 0))
-    step, window = n - n // 2, np.hanning(n + 1)[:-1]
-    x = np.concatenate((np.zeros(n // 2), x, np.zeros(n // 2)))
-    x = np.append(x, np.zeros(-(len(x) - n) % step))
-    frames = np.stack([x[i : i + n] * window for i in range(0, len(x) - n + 1, step)], axis=1)
-    z = np.fft.rfft(frames, axis=0) / window.sum()
-    return np.fft.rfftfreq(n, 1 / fs), np.arange(z.shape[1]) * step / fs, np.abs(z) ** 2
-
-
-def _wavelet(x, fs, omega: float = 5.0):
-    import numpy as np
-
-    n = len(x)
-    if n < 8:
-        return np.zeros(0), np.zeros(0), np.zeros((0, 0))
-    longest = max(4.0, n / 8)
-    scales = 2 * 2 ** (np.arange(0, max(1, int(12 * np.log2(longest / 2)) + 1)) / 12)
-    size = 1 << (2 * n - 1).bit_length()
-    spectrum = np.fft.fft(x, size)
-    omegas = 2 * np.pi * np.fft.fftfreq(size)
-    power = np.empty((len(scales), n))
-    for k, s in enumerate(scales):
-        kernel = np.pi**-0.25 * np.sqrt(2 * np.pi * s) * np.exp(-0.5 * (s * omegas - omega) ** 2) * (omegas > 0)
-        power[k] = np.abs(np.fft.ifft(spectrum * kernel)[:n]) ** 2
-    return omega * fs / (2 * np.pi * scales), np.arange(n) / fs, power
+    return spectra.analyse(df, series, order, [method], fs=fs).drop("method")
 
 
 def modes(x, most: int = 10, sifts: int = 100):
@@ -279,7 +238,7 @@ def modes(x, most: int = 10, sifts: int = 100):
     return out, rest
 
 
-def _hht(x, fs, bins: int = 100):
+def hilbert_huang(x, fs, bins: int = 100):
     import numpy as np
 
     n = len(x)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import assimilation, coupled, fingerprint, mesh, orchestration, quality, regrid, statistics, tenancy
+from ..operators import assimilation, coupled, fingerprint, mesh, orchestration, quality, regrid, spectra, statistics, tenancy
 from ..sources import readers, sinks
 from ..streaming import ingest
 from . import virtual as v
@@ -401,7 +401,34 @@ def granger_pairs(spark, d):
     return fingerprint.granger(a.join(b, "t").where("cause_name <> effect_name"), ["cause_name", "effect_name"], "t")
 
 
-for _method in ("stft", "wavelet", "hht"):
+def _stft_sql(samples: str) -> str:
+    """Each bin of each frame as a sum over its samples. ``samples``: CTEs up to s(variable, t, value)."""
+    return f"""WITH {samples}, a AS (SELECT variable, avg(value) AS m, count(*) AS n, least(256, count(*)) AS size, 1.0 / (min(t) FILTER (k = 1) - min(t) FILTER (k = 0)) AS fs FROM (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY t) - 1 AS k FROM s) GROUP BY 1 HAVING count(*) > 1),
+  x AS (SELECT variable, row_number() OVER (PARTITION BY variable ORDER BY t) - 1 + size // 2 AS j, coalesce(value - m, 0) AS x, n, size, size - size // 2 AS step, fs FROM s JOIN a USING (variable)),
+  f AS (SELECT *, unnest(range(greatest(0, CAST(ceil((j - size + 1) / step) AS BIGINT)), least(j // step, CAST(ceil((n + 2 * (size // 2) - size) / step) AS BIGINT)) + 1)) AS frame FROM x),
+  w AS (SELECT variable, frame, fs, size, j - frame * step AS i, x * (0.5 - 0.5 * cos(2 * pi() * (j - frame * step) / size)) AS y, size / 2.0 AS total FROM f),
+  b AS (SELECT variable, frame, fs, size, k, pow(sum(y * cos(2 * pi() * k * i / size)) / any_value(total), 2) + pow(sum(y * sin(2 * pi() * k * i / size)) / any_value(total), 2) AS power FROM (SELECT *, unnest(range(0, size // 2 + 1)) AS k FROM w) GROUP BY ALL)
+  SELECT variable, round(k * fs / size, 9) AS frequency, round(avg(power), 3) AS power FROM b GROUP BY 1, 2"""
+
+
+def _mean_power(s: DataFrame) -> DataFrame:
+    return s.groupBy("variable", r("frequency", 9).alias("frequency")).agg(r(F.avg("power"), 3).alias("power"))
+
+
+@query(_stft_sql(f"{v.DAILY}, s AS (SELECT variable, CAST(t AS DOUBLE) AS t, value / 1e5 AS value FROM daily)"))
+def spectrum_stft(spark, d):
+    return _mean_power(spectra.analyse(v.daily(spark, d).withColumn("value", F.col("value") / 1e5), "variable", "t", ["stft"]))
+
+
+@query(_stft_sql("s AS (SELECT 'price' AS variable, epoch_us(CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP)) / 1e6 AS t, avg(cell) AS value FROM (SELECT l_shipdate, s_nationkey, round(avg(l_extendedprice), 4) / 1000 AS cell FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2) GROUP BY CAST(l_shipdate AS DATE))"))
+def dataset_spectra(spark, d):
+    lines, supplier = v.table(spark, d, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice"), v.table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    cells = lines.join(supplier, lines.l_suppkey == supplier.s_suppkey).groupBy("l_shipdate", "s_nationkey").agg((v.rounded(F.avg("l_extendedprice"), 4) / 1000).alias("value"))
+    cells = cells.select(F.lit("price").alias("variable"), F.to_date("l_shipdate").alias("time"), "value").unionByName(cells.select(F.lit("other").alias("variable"), F.to_date("l_shipdate").alias("time"), "value"))
+    return _mean_power(spectra.dataset_spectra(cells, variables=["price"]))
+
+
+for _method in ("wavelet", "hht"):
 
     @query(name=f"spectrum_{_method}")
     def _spectrum(spark, d, method=_method):
