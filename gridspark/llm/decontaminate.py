@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, documents, materialise, trimmed
+from .common import LOWER, UPPER, discard, documents, materialise, trimmed
 
 WINDOW = 13
 #: Item texts are searched for in groups of so many bytes at most; each group is one pass over the texts. A worker's
@@ -121,8 +121,9 @@ def find_contamination(
     contaminated where at least a twentieth of its words are hit.
 
     The items go to the executors in groups of ``group_bytes`` of text at most,
-    cut by the running total of their sizes; more items mean more groups, each
-    one more pass over the texts that adds to the columns of the pass before.
+    by a hash; more items mean more groups, each one more pass over the texts, which
+    reads what the pass before has written and adds to its columns. So a task runs
+    one search whatever the items, and two copies of the texts are on disk at most.
     No item is left out, and no two tables are joined.
 
     A null or empty text, or one without words, has n_words 0 and is never
@@ -135,7 +136,12 @@ def find_contamination(
     own = df.columns
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType())])
     seen = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType()))])
+    written = None
     for group in _groups(items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")), group_bytes):
+        if "_seen" in df.columns:  # one search a task: the pass before is written, and what it read is deleted
+            df = materialise(df, "searched")
+            discard(written)
+            written = df
         df = _searched(df, df.sparkSession.sparkContext.broadcast(group), uuid.uuid4().hex, text, window, seen, "_seen" in df.columns)
     if "_seen" not in df.columns:  # no items: words are still counted
         df = _searched(df, df.sparkSession.sparkContext.broadcast([]), uuid.uuid4().hex, text, window, seen, False)
