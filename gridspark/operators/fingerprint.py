@@ -1,4 +1,4 @@
-"""Fingerprints, similarity, attribution, causality and spectra."""
+"""Fingerprints, similarity, attribution and spectra."""
 
 from __future__ import annotations
 
@@ -140,73 +140,6 @@ def with_p_value(df: DataFrame, t: str = "t", dof: str = "dof") -> DataFrame:
     return df.withColumn("p_value", p(t, dof)).withColumn("significant", F.col("p_value") < 0.05)
 
 
-def transfer_entropy(df: DataFrame, cause: str, effect: str, order: list[str], by: list[str] = [], bins: int = 10) -> DataFrame:  # noqa: B006
-    """Bits that the cause's past adds to the effect's future, from counts of
-    equal-width bins at lag 1."""
-    ends = df.groupBy(*by).agg(*(f(c).alias(f"_{n}_{c}") for c in (cause, effect) for n, f in (("lo", F.min), ("hi", F.max))))
-    out = df.join(ends, by) if by else df.crossJoin(F.broadcast(ends))  # one row
-    place = lambda c: F.coalesce(F.floor(safe_ratio(F.col(c) - F.col(f"_lo_{c}"), (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) / bins)), F.lit(0)).cast("int")
-    out = out.select(*by, *order, place(cause).alias("xp"), place(effect).alias("yp"))
-    out = out.withColumn("yf", F.lead("yp").over(W.partitionBy(*by).orderBy(*order))).where("yf IS NOT NULL")
-    k = out.groupBy(*by, "yf", "yp", "xp").agg(F.count(F.lit(1)).cast("double").alias("k"))
-    total = lambda *c: F.sum("k").over(W.partitionBy(*by, *c))
-    k = k.withColumns({"n": total(), "kp": total("yp", "xp"), "kq": total("yf", "yp"), "ky": total("yp")})
-    bits = F.col("k") / F.col("n") * F.log2((F.col("k") / F.col("kp")) / (F.col("kq") / F.col("ky")))
-    return k.groupBy(*by).agg(F.sum(bits).alias("transfer_entropy"))
-
-
-def granger_lag1(df: DataFrame, cause: str, effect: str, order: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
-    """F statistic of the cause's last value in predicting the effect from its
-    own last value (no intercept), from sums in closed form."""
-    w = W.partitionBy(*by).orderBy(*order)
-    s = df.select(*by, F.col(effect).alias("y"), F.lag(effect).over(w).alias("a"), F.lag(cause).over(w).alias("b")).where("a IS NOT NULL")
-    pair = {"yy": ("y", "y"), "aa": ("a", "a"), "bb": ("b", "b"), "ab": ("a", "b"), "ay": ("a", "y"), "by": ("b", "y")}
-    out = s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(p) * F.col(q)).alias(k) for k, (p, q) in pair.items()))
-    det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
-    u = (F.col("ay") * F.col("bb") - F.col("by") * F.col("ab")) / det
-    v = (F.col("by") * F.col("aa") - F.col("ay") * F.col("ab")) / det
-    full = F.col("yy") - u * F.col("ay") - v * F.col("by")
-    own = F.col("yy") - F.col("ay") * F.col("ay") / F.col("aa")
-    return out.where(det > 0).select(*by, "n", (F.greatest(own - full, F.lit(0.0)) / (full / (F.col("n") - 2))).alias("f_statistic"))
-
-
-def granger(df: DataFrame, pair: list[str], order: str, max_lag: int = 5) -> DataFrame:
-    """Least p value over the lags for each pair's series (cause, effect): least
-    squares of general lag, so a series is one group."""
-    import numpy as np
-    from ..functions.special import f_tail
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x, y, best = pdf["cause"].to_numpy(float), pdf["effect"].to_numpy(float), (1.0, 0, 0.0)
-        for lag in range(1, max_lag + 1):
-            n = len(y) - lag
-            if len(y) < 2 * lag + 5:
-                continue
-            past = lambda s: np.stack([s[lag - i : len(s) - i] for i in range(1, lag + 1)], axis=1)  # noqa: B023, E731
-            rss = []
-            for m in (past(y), np.hstack((past(y), past(x)))):
-                fit = np.linalg.lstsq(m, y[lag:], rcond=None)[0]
-                rss.append(float(((y[lag:] - m @ fit) ** 2).sum()))
-            f = ((rss[0] - rss[1]) / lag) / (rss[1] / (n - 2 * lag)) if rss[1] > 0 and n > 2 * lag else 0.0
-            p = f_tail(f, lag, n - 2 * lag) if n > 2 * lag else 1.0
-            if p < best[0]:
-                best = (p, lag, f)
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in pair), best[2], best[0], best[1], best[0] < 0.05]], columns=[*pair, "f_statistic", "p_value", "lag", "significant"])
-
-    kinds = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in pair)
-    return df.groupBy(*pair).applyInPandas(one, f"{kinds}, f_statistic double, p_value double, lag int, significant boolean")
-
-
-def causal_pairs(series: DataFrame, order: str, max_lag: int = 5) -> DataFrame:
-    """Granger's test for all ordered pairs of variables (variable, order,
-    value), paired on the order; the significant ones."""
-    a = series.select(F.col("variable").alias("cause_name"), order, F.col("value").alias("cause"))
-    b = series.select(F.col("variable").alias("effect_name"), order, F.col("value").alias("effect"))
-    both = a.join(b, order).where("cause_name <> effect_name")
-    return granger(both, ["cause_name", "effect_name"], order, max_lag).where("significant")
-
-
 def spectrum(df: DataFrame, series: str, order: str, method: str = "stft", fs: float = 1.0) -> DataFrame:
     """Time-frequency power of each series: ``stft`` with a Hann window, ``wavelet``
     (Morlet) or ``hht`` (empirical modes). Long rows: series, frequency, time, power."""

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import assimilation, coupled, fingerprint, mesh, orchestration, quality, regrid, spectra, statistics, tenancy
+from ..operators import assimilation, causality, coupled, fingerprint, mesh, orchestration, quality, regrid, spectra, statistics, tenancy
 from ..sources import readers, sinks
 from ..streaming import ingest
 from . import virtual as v
@@ -383,7 +383,7 @@ _PAIR = f"{v.DAILY}, pr AS (SELECT * FROM (SELECT t, max(CASE WHEN variable = 'O
   s AS (SELECT *, sum(k) OVER () AS n, sum(k) OVER (PARTITION BY yp, xp) AS kp, sum(k) OVER (PARTITION BY yf, yp) AS kq, sum(k) OVER (PARTITION BY yp) AS ky FROM k)
   SELECT round(sum(k / n * log2((k / kp) / (kq / ky))), 6) AS transfer_entropy FROM s""")
 def transfer_entropy(spark, d):
-    return fingerprint.transfer_entropy(_pair(spark, d), "cause", "effect", ["t"]).select(r("transfer_entropy").alias("transfer_entropy"))
+    return causality.transfer_entropy(_pair(spark, d), "cause", "effect", ["t"]).select(r("transfer_entropy").alias("transfer_entropy"))
 
 
 @query(f"""WITH {_PAIR}, l AS (SELECT effect AS y, lag(effect) OVER w AS a, lag(cause) OVER w AS b FROM pr WINDOW w AS (ORDER BY t)),
@@ -391,14 +391,46 @@ def transfer_entropy(spark, d):
   c AS (SELECT *, (ay * bb - cy * ab) / (aa * bb - ab * ab) AS u, (cy * aa - ay * ab) / (aa * bb - ab * ab) AS v FROM s)
   SELECT n, round(greatest(0, (yy - ay * ay / aa) - (yy - u * ay - v * cy)) / ((yy - u * ay - v * cy) / (n - 2)), 4) AS f_statistic FROM c""")
 def granger_lag1(spark, d):
-    return fingerprint.granger_lag1(_pair(spark, d), "cause", "effect", ["t"]).select("n", r("f_statistic", 4).alias("f_statistic"))
-
-
-@query()
+    return causality.granger_lag1(_pair(spark, d), "cause", "effect", ["t"]).select("n", r("f_statistic", 4).alias("f_statistic"))
+
+
+_NAMES = ["cause_name", "effect_name"]
+
+
+def _granger_sql(max_lag: int, last: str) -> str:
+    """Each lag's normal equations, eliminated column by column: what is left of the
+    effect's squares after its own lags, then after the cause's. The p value is an
+    integral of the beta density over an angle, by Simpson's rule. ``last`` selects from p."""
+    steps, tables = [], []
+    for lag in range(1, max_lag + 1):
+        columns = [f"y{i}" for i in range(1, lag + 1)] + [f"x{i}" for i in range(1, lag + 1)] + ["y"]
+        m = len(columns)
+        entries = [(i, j) for i in range(m) for j in range(i, m)]
+        steps.append(f"g{lag}_0 AS (SELECT cause_name, effect_name, count(*) AS n, CAST(0 AS DOUBLE) AS own, {', '.join(f'sum({columns[i]} * {columns[j]}) AS m{i}_{j}' for i, j in entries)} FROM z WHERE k > {lag} AND total >= {2 * lag + 5} GROUP BY 1, 2)")
+        for s in range(2 * lag):
+            entries = [(i, j) for i, j in entries if i > s]
+            own = f"m{m - 1}_{m - 1} - m{s}_{m - 1} * m{s}_{m - 1} / m{s}_{s}" if s == lag - 1 else "own"
+            steps.append(f"g{lag}_{s + 1} AS (SELECT cause_name, effect_name, n, {own} AS own, {', '.join(f'm{i}_{j} - m{s}_{i} * m{s}_{j} / m{s}_{s} AS m{i}_{j}' for i, j in entries)} FROM g{lag}_{s})")
+        tables.append(f"SELECT cause_name, effect_name, {lag} AS lag, n, n - {2 * lag} AS dof, greatest(own - m{m - 1}_{m - 1}, 0) / {lag} / (m{m - 1}_{m - 1} / (n - {2 * lag})) AS f FROM g{lag}_{2 * lag}")
+    lags = ", ".join(f"lag({c}, {i}) OVER w AS {c}{i}" for c in "xy" for i in range(1, max_lag + 1))
+    density = "exp((dof - 1) * ln(sin(top * j / 4000)) + (lag - 1) * ln(cos(top * j / 4000)) + lgamma((dof + lag) / 2.0) - lgamma(dof / 2.0) - lgamma(lag / 2.0))"
+    return f"""WITH {v.DAILY}, q AS (SELECT a.variable AS cause_name, b.variable AS effect_name, a.t, a.value AS x, b.value AS y FROM daily a JOIN daily b ON a.t = b.t WHERE a.variable <> b.variable),
+      z AS (SELECT *, {lags}, row_number() OVER w AS k, count(*) OVER (PARTITION BY cause_name, effect_name) AS total FROM q WINDOW w AS (PARTITION BY cause_name, effect_name ORDER BY t)),
+      {", ".join(steps)}, f AS ({" UNION ALL ".join(tables)}), i AS (SELECT *, asin(sqrt(dof / (dof + lag * f))) AS top FROM f),
+      p AS (SELECT cause_name, effect_name, lag, n, f, CASE WHEN f <= 0 THEN 1 ELSE 2 * top / 4000 / 3 * list_sum(list_transform(range(1, 4001), lambda j: {density} * CASE WHEN j = 4000 THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END)) END AS p FROM i
+        UNION ALL SELECT DISTINCT cause_name, effect_name, 0, total, 0, 1 FROM z) {last}"""
+
+
+@query(_granger_sql(5, "SELECT cause_name, effect_name, CAST(lag AS INTEGER) AS lag, n, round(f, 4) AS f_statistic, round(p, 6) AS p_value FROM p"))
+def granger_lags(spark, d):
+    out = causality.granger_table(causality.paired(v.daily(spark, d), "t"), _NAMES, "t", both=True)
+    return out.select(*_NAMES, "lag", "n", r("f_statistic", 4).alias("f_statistic"), r("p_value").alias("p_value"))
+
+
+@query(_granger_sql(5, "SELECT cause_name, effect_name, CAST(arg_min(lag, (p, lag)) AS INTEGER) AS lag, round(arg_min(f, (p, lag)), 4) AS f_statistic, round(min(p), 6) AS p_value, min(p) < 0.05 AS significant FROM p GROUP BY 1, 2"))
 def granger_pairs(spark, d):
-    daily = v.daily(spark, d)
-    a, b = (daily.select(F.col("variable").alias(f"{n}_name"), "t", F.col("value").alias(n)) for n in ("cause", "effect"))
-    return fingerprint.granger(a.join(b, "t").where("cause_name <> effect_name"), ["cause_name", "effect_name"], "t")
+    out = causality.all_pairs(v.daily(spark, d), "t")
+    return out.select(*_NAMES, "lag", r("f_statistic", 4).alias("f_statistic"), r("p_value").alias("p_value"), "significant")
 
 
 def _stft_sql(samples: str) -> str:
@@ -720,4 +752,4 @@ def animation_frames(spark, d):
     return sinks.frames(v.daily(spark, d), "t", ["variable"]).select("variable", "t", "min", "max")
 
 
-from . import catalog_assimilation, catalog_more, catalog_sources, catalog_streams  # noqa: E402, F401  they register their queries with these
+from . import catalog_assimilation, catalog_calibration, catalog_more, catalog_sources, catalog_streams  # noqa: E402, F401  they register their queries with these

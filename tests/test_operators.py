@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridspark.functions import expr, special
-from gridspark.operators import assimilation, coupled, fingerprint, mesh, orchestration, quality, regrid, statistics, tenancy
+from gridspark.operators import causality, assimilation, coupled, fingerprint, mesh, orchestration, quality, regrid, statistics, tenancy
 from gridspark.sources import readers, sinks
 from gridspark.streaming import ingest
 
@@ -118,7 +118,7 @@ def test_granger_finds_the_driver(spark):
     x = rng.normal(size=300)
     y = np.concatenate(([0], 0.8 * x[:-1])) + 0.1 * rng.normal(size=300)
     rows = [("x", i, float(x[i])) for i in range(300)] + [("y", i, float(y[i])) for i in range(300)]
-    found = fingerprint.causal_pairs(spark.createDataFrame(rows, "variable string, t int, value double"), "t", 3).collect()
+    found = causality.causal_pairs(spark.createDataFrame(rows, "variable string, t int, value double"), "t", 3).collect()
     assert ("x", "y") in {(r.cause_name, r.effect_name) for r in found}
 
 
