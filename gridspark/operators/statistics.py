@@ -131,14 +131,6 @@ def bayesian_calibration(forecast: DataFrame, observed: DataFrame) -> DataFrame:
     return out.withColumns({"mean": w * F.col("mean") + (1 - w) * F.col("_m"), "std": F.sqrt(v * (1 - w))}).drop("_v", "_m")
 
 
-def isotonic_calibration(pairs: DataFrame, p: str = "probability", y: str = "y") -> DataFrame:
-    """Calibrated probabilities by a monotone fit (Spark ML)."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    model = IsotonicRegression(featuresCol=p, labelCol=y, predictionCol="calibrated").fit(pairs.select(p, y))
-    return model.transform(pairs)
-
-
 def root_mean_square(df: DataFrame) -> DataFrame:
     x = finite(F.col("value"))
     return df.agg(F.sqrt(F.avg(x * x)).alias("norm"))
