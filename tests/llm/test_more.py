@@ -150,6 +150,28 @@ def test_changes_of_parts_add_up():
     model.moved(None)
 
 
+def test_words_of_many_chunks_in_two_levels(spark, sf):
+    docs, path = spark.read.parquet(f"{sf}/documents.parquet").limit(60), tokenizers.path("word_bpe_49k.json")
+    learn = lambda k: k % 5 != 1
+    columns = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score"]
+    one, several = (lm_scoring.score_texts(docs, learn, path, 49407, pack_bytes=4000, spread=n).select(*columns).toPandas().sort_values("doc_id") for n in (1000, 2))
+    assert one[columns[:4]].to_numpy().tolist() == several[columns[:4]].to_numpy().tolist()
+    assert several.base_score.to_numpy() == pytest.approx(one.base_score.to_numpy())
+
+
+def test_words_mix_model_and_frequency():
+    p, count = np.array([0.1, 1e-9, 0.5]), np.array([5, 50, 0])
+    got = lm_scoring._mixed(np.log10(p), count, 100)
+    part = lm_scoring.MODEL_PART
+    assert 10**got == pytest.approx(part * p + (1 - part) * count / 100)
+    assert lm_scoring._mixed(np.log10(p), np.zeros(3, int), 0) == pytest.approx(np.log10(p))
+
+
+def test_held_out_texts_are_likelier_than_by_frequency(spark):
+    got = lm_scoring.op4_attention_lm(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got.s > got.b
+
+
 @pytest.mark.parametrize("kind", ["string", "int", "date"])
 def test_keys_of_any_type(spark, kind):
     key = {"string": F.col("doc_id").cast("string"), "int": F.col("doc_id").cast("int"), "date": F.date_add(F.lit("2024-01-01"), F.col("doc_id").cast("int"))}[kind]
