@@ -143,11 +143,23 @@ def hash_uniform(seed: int, *keys: Column) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-def hash_normal(seed: int, *keys: Column) -> Column:
-    u, v = hash_uniform(2 * seed, *keys), hash_uniform(2 * seed + 1, *keys)
+def digest_uniform(seed: int, *keys: Column) -> Column:
+    """As ``hash_uniform``, from the first 52 bits of the MD5 digest of the seed and
+    keys as text (joined by colons, null keys left out): slower, but any engine that
+    knows the digest works out the same noise."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys))
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def hash_normal(seed: int, *keys: Column, uniform=hash_uniform) -> Column:
+    u, v = uniform(2 * seed, *keys), uniform(2 * seed + 1, *keys)
     return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
 
 
+def digest_normal(seed: int, *keys: Column) -> Column:
+    return hash_normal(seed, *keys, uniform=digest_uniform)
+
+
 def cell_size_km(lat_min: Column, lat_max: Column, lon_min: Column, lon_max: Column) -> Column:
     return F.least((lat_max - lat_min) * DEGREE_KM, (lon_max - lon_min) * DEGREE_KM * F.cos(F.radians((lat_min + lat_max) / 2)))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -189,14 +190,16 @@ def couple(target: DataFrame, source: DataFrame, c: Coupling, seconds: float) ->
     return out.select(*columns)
 
 
-def run(spark: SparkSession, hours: float, step_seconds: float = 10800.0, resolution: float = 10.0, couplings=COUPLINGS, seed: int = 0) -> dict[str, DataFrame]:
-    """All components stepped and coupled in their order; every step is written
-    to the shared folder, so lineage does not grow and a lost executor costs a step."""
+def states(spark: SparkSession, steps: int, step_seconds: float = 10800.0, resolution: float = 10.0, couplings=COUPLINGS, seed: int = 0) -> Iterator[dict[str, DataFrame]]:
+    """The state at the start and after each of ``steps`` steps, all components
+    stepped and coupled in their order; every step is written to the shared folder, so
+    lineage does not grow and a lost executor costs a step."""
     from ..plans.scratch import materialise
 
     state = {"atmosphere": atmosphere(spark, resolution, seed=seed), "ocean": ocean(spark, resolution, seed=seed), "land": land(spark, resolution), "sea_ice": sea_ice(spark, resolution)}
+    yield state
     last = dict.fromkeys(couplings, float("-inf"))
-    for k in range(int(hours * 3600 / step_seconds)):
+    for k in range(steps):
         at = (k + 1) * step_seconds
         state["atmosphere"] = step_atmosphere(state["atmosphere"], step_seconds, k, seed)
         state["ocean"] = step_ocean(state["ocean"], step_seconds)
@@ -207,18 +210,28 @@ def run(spark: SparkSession, hours: float, step_seconds: float = 10800.0, resolu
                 state[c.target] = couple(state[c.target], state[c.source], c, step_seconds)
                 last[c] = at
         state = {n: materialise(df, f"state-{n}") for n, df in state.items()}
+        yield state
+
+
+def run(spark: SparkSession, hours: float, step_seconds: float = 10800.0, resolution: float = 10.0, couplings=COUPLINGS, seed: int = 0) -> dict[str, DataFrame]:
+    """The state after ``hours``."""
+    for state in states(spark, int(hours * 3600 / step_seconds), step_seconds, resolution, couplings, seed):
+        pass
     return state
 
 
 def outputs(spark: SparkSession, hours: float, every: float, step_seconds: float = 10800.0, resolution: float = 10.0, couplings=COUPLINGS, seed: int = 0, most: int = 50) -> DataFrame:
     """Means of the surface fields after each ``every`` hours, ``most`` times at
-    most: hours, field, mean."""
+    most: hours, field, mean. The model runs once, and each output reads the state
+    of its step."""
     found, times = None, [every * (k + 1) for k in range(min(most, int(hours // every)))]
-    for at in times:
-        top = combined(run(spark, at, step_seconds, resolution, couplings, seed))
-        names = [c for c in top.columns if c not in ("lat", "lon")]
-        one = top.agg(*(F.avg(c).alias(c) for c in names)).unpivot([], names, "field", "mean").withColumn("hours", F.lit(at))
-        found = one if found is None else found.unionByName(one)
+    after = [int(at * 3600 / step_seconds) for at in times]
+    for k, state in enumerate(states(spark, max(after, default=0), step_seconds, resolution, couplings, seed)):
+        for at in (t for t, n in zip(times, after) if n == k):
+            top = combined(state)
+            names = [c for c in top.columns if c not in ("lat", "lon")]
+            one = top.agg(*(F.avg(c).alias(c) for c in names)).unpivot([], names, "field", "mean").withColumn("hours", F.lit(at))
+            found = one if found is None else found.unionByName(one)
     return found
 
 
@@ -233,17 +246,18 @@ def combined(state: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def perturbed(control: DataFrame, members: int, keys: list[str], method: str = "random", amplitude: float = 0.05, seed: int = 42, by: list[str] = ["variable"]) -> DataFrame:  # noqa: B006
+def perturbed(control: DataFrame, members: int, keys: list[str], method: str = "random", amplitude: float = 0.05, seed: int = 42, by: list[str] = ["variable"], noise=hash_normal) -> DataFrame:  # noqa: B006
     """Members of a control (keys..., variable, value): ``random`` noise in the
-    field's own deviations, or ``bred`` vectors of one norm over all variables."""
+    field's own deviations, or ``bred`` vectors of one norm over all variables. The
+    norm of a member is one row, summed up before the shuffle."""
     out = control.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
-    noise = hash_normal(seed, F.col("member"), *map(F.col, keys), *map(F.col, by))
+    z = noise(seed, F.col("member"), *map(F.col, keys), *map(F.col, by))
     if method == "bred":
-        out = out.withColumn("_z", noise)
-        norm = F.sqrt(F.avg(F.col("_z") * F.col("_z")).over(W.partitionBy("member")))
-        return out.withColumn("value", F.col("value") + amplitude * F.col("_z") / norm).drop("_z")
+        out = out.withColumn("_z", z)
+        norms = out.groupBy("member").agg(F.sqrt(F.avg(F.col("_z") * F.col("_z"))).alias("_norm"))
+        return out.join(F.broadcast(norms), "member").select(*control.columns, "member", "_z", "_norm").withColumn("value", F.col("value") + amplitude * F.col("_z") / F.col("_norm")).drop("_z", "_norm")  # a row for each member
     std = control.groupBy(*by).agg(F.stddev_pop(finite(F.col("value"))).alias("_s"))
-    return out.join(std, by).withColumn("value", F.col("value") + amplitude * F.col("_s") * noise).drop("_s")
+    return out.join(std, by).withColumn("value", F.col("value") + amplitude * F.col("_s") * z).drop("_s")
 
 
 def lagged(states: DataFrame, cell: list[str], members: int, lags=(0, 6, 12, 18, 24)) -> DataFrame:
@@ -260,36 +274,35 @@ def lagged(states: DataFrame, cell: list[str], members: int, lags=(0, 6, 12, 18,
     return out.where("_last").select(*cell, "member", F.col("_v").alias("value"))
 
 
-def smoothed_noise(grid: DataFrame, by: list[str], sigma: float, seed: int = 200) -> DataFrame:
-    """Gaussian-smoothed noise on each group's grid (lat_idx, lon_idx), edges
-    reflected; every group has noise of its own."""
-    import zlib
+def smoothed_noise(grid: DataFrame, by: list[str], sigma: float, seed: int = 200, noise=hash_normal) -> DataFrame:
+    """Gaussian-smoothed noise on each group's grid (lat_idx, lon_idx from 0), cut at
+    four ``sigma``, edges reflected; every group has noise of its own. A cell's noise
+    is a function of its key, so each works out its neighbourhood's for itself: no
+    grid is one task and no cell is moved but for the grids' sizes."""
+    r = max(1, int(4 * sigma + 0.5))
+    weights = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
+    kernel = F.array(*(F.lit(w / sum(weights)) for w in weights))
+    sizes = grid.groupBy(*(F.col(c).alias(f"_by_{c}") for c in by)).agg((F.max("lat_idx") + 1).alias("_n"), (F.max("lon_idx") + 1).alias("_m"))
+    out = grid.join(sizes, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]) if by else grid.crossJoin(F.broadcast(sizes))  # one row
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]
 
-    import numpy as np
-    import pandas as pd
+    def inside(i: Column, n: Column) -> Column:
+        at = F.pmod(i, 2 * n)
+        return F.when(at < n, at).otherwise(2 * n - 1 - at).cast("long")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, m = int(pdf["lat_idx"].max()) + 1, int(pdf["lon_idx"].max()) + 1
-        group = zlib.crc32(repr([pdf[c].iloc[0] for c in by]).encode())
-        z = np.random.default_rng([seed, group]).normal(size=(n, m))
-        r = max(1, int(4 * sigma + 0.5))
-        k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-        k /= k.sum()
-        for axis in (0, 1):
-            wide = np.pad(z, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
-            z = np.apply_along_axis(lambda v: np.convolve(v, k, "valid"), axis, wide)
-        return pdf.assign(noise=z[pdf["lat_idx"].astype(int), pdf["lon_idx"].astype(int)])
-
-    kinds = ", ".join(f"{c} {t}" for c, t in grid.dtypes)
-    return grid.groupBy(*by).applyInPandas(one, f"{kinds}, noise double")
-
-
-def stochastic(control: DataFrame, members: int, by: list[str] = ["variable"], sigma: float = 2.0, amplitude: float = 0.05, seed: int = 200) -> DataFrame:  # noqa: B006
+    def along(value) -> Column:
+        return F.aggregate(F.sequence(F.lit(-r), F.lit(r)), F.lit(0.0), lambda s, o: s + F.element_at(kernel, o + r + 1) * value(o))
+
+    z = along(lambda a: along(lambda b: noise(seed, *keys, inside(F.col("lat_idx") + a, F.col("_n")), inside(F.col("lon_idx") + b, F.col("_m")))))
+    return out.select(*(F.col(c) for c in grid.columns), z.alias("noise"))
+
+
+def stochastic(control: DataFrame, members: int, by: list[str] = ["variable"], sigma: float = 2.0, amplitude: float = 0.05, seed: int = 200, noise=hash_normal) -> DataFrame:  # noqa: B006
     """Members of a control (by..., lat_idx, lon_idx, value) that differ by smooth
     noise in the field's own deviations."""
     std = control.groupBy(*by).agg(F.stddev_pop(finite(F.col("value"))).alias("_s"))
     out = control.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
-    out = smoothed_noise(out, [*by, "member"], sigma, seed).join(std, by)
+    out = smoothed_noise(out, [*by, "member"], sigma, seed, noise).join(std, by)
     return out.withColumn("value", F.col("value") + amplitude * F.col("_s") * F.col("noise")).drop("noise", "_s")
 
 

@@ -130,6 +130,13 @@ def attribution(df: DataFrame, by: str, event: Column) -> DataFrame:
     return out.where("n_event > 1 AND n_background > 1").withColumn("dof", dof).drop("std", "var_event", "var_background")
 
 
+def attribution_between(target: DataFrame, background: DataFrame, by: str = "variable") -> DataFrame:
+    """``attribution`` of one dataset against another, of the variables (by, value)
+    that both have; the two may lie anywhere and share no key but the variable's name."""
+    both = target.select(by, "value", F.lit(True).alias("_event")).unionByName(background.select(by, "value", F.lit(False).alias("_event")))
+    return attribution(both, by, F.col("_event"))
+
+
 def with_p_value(df: DataFrame, t: str = "t", dof: str = "dof") -> DataFrame:
     from ..functions.special import t_two_sided
 

@@ -121,18 +121,17 @@ def cluster_events(events: DataFrame) -> DataFrame:
     type (``top`` rows of event_candidates) is one group."""
     import pandas as pd
 
-    from .assimilation import _distance
+    from .enkf import distance
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, left = [], pdf.sort_values(["intensity", "lat", "lon"], ascending=[False, True, True]).to_dict("records")
-        while left:
-            seed, rest, own = left[0], [], []
-            for e in left:
-                near = e is seed or _distance(e["lat"], e["lon"], seed["lat"], seed["lon"]) < (e["radius_km"] + seed["radius_km"]) / 2
-                (own if near else rest).append(e)
-            mean = lambda c: sum(e[c] for e in own) / len(own)  # noqa: B023, E731
-            rows.append((seed["event_type"], mean("lat"), mean("lon"), max(e["intensity"] for e in own), max(e["confidence"] for e in own), len(own)))
-            left = rest
+        rows, left = [], pdf.sort_values(["intensity", "lat", "lon"], ascending=[False, True, True])
+        while len(left):
+            seed = left.iloc[0]
+            away = distance(left["lat"].to_numpy(), left["lon"].to_numpy(), seed["lat"], seed["lon"])
+            near = away < (left["radius_km"].to_numpy() + seed["radius_km"]) / 2
+            near[0] = True
+            own, left = left[near], left[~near]
+            rows.append((seed["event_type"], own["lat"].mean(), own["lon"].mean(), own["intensity"].max(), own["confidence"].max(), len(own)))
         return pd.DataFrame(rows, columns=["event_type", "lat", "lon", "intensity", "confidence", "members"])
 
     return events.groupBy("event_type").applyInPandas(one, "event_type string, lat double, lon double, intensity double, confidence double, members long")
@@ -151,10 +150,13 @@ def centres(mesh: DataFrame) -> DataFrame:
 
 def refine_to(mesh: DataFrame, points: DataFrame, level: int, base: float, max_level: int = 4, min_km: float = 1.0) -> DataFrame:
     """The mesh with the leaves that hold the points quartered until these are
-    leaves of ``level``; four levels at most, so the loop is a short plan."""
+    leaves of ``level``. A level reads the mesh of the one before several times, so
+    each is written to the shared folder and no plan holds more than one."""
+    from ..plans.scratch import materialise
+
     for k in range(min(level, max_level)):
         hit = locate(points.select("lat", "lon"), mesh.where(F.col("level") == k), base).select("cell_id").distinct()
-        mesh = refine(mesh, hit, max_level, min_km)
+        mesh = materialise(refine(mesh, hit, max_level, min_km), "mesh")
     return mesh
 
 

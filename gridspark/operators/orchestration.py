@@ -13,7 +13,6 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -182,6 +181,7 @@ def sweep(spark: SparkSession, points: list[dict], evaluate: Callable[[dict], fl
     rows = [(i, json.dumps(p, sort_keys=True)) for i, p in enumerate(points)]
     table = spark.createDataFrame(rows, "i long, parameters string").repartition(max(1, min(len(rows), spark.sparkContext.defaultParallelism * 4)))
     worst = float("-inf") if maximise else float("inf")
+    from ..plans.scratch import materialise
 
     def run(parts):
         for pdf in parts:
@@ -194,8 +194,9 @@ def sweep(spark: SparkSession, points: list[dict], evaluate: Callable[[dict], fl
             yield pdf.assign(value=values)
 
     out = table.mapInPandas(run, T.StructType([*table.schema.fields, T.StructField("value", T.DoubleType())]))
-    best = F.struct(F.col("value") if maximise else -F.col("value"), -F.col("i"))
-    return out.withColumn("_o", best).withColumn("best", F.col("_o") == F.max("_o").over(W.partitionBy(F.lit(0)))).drop("_o")
+    out = materialise(out, "sweep")  # read twice, worked out once
+    best = out.agg(F.max(F.struct((F.col("value") if maximise else -F.col("value")).alias("v"), (-F.col("i")).alias("at"))).getField("at").alias("_best"))
+    return out.crossJoin(F.broadcast(best)).withColumn("best", F.col("i") == -F.col("_best")).drop("_best")  # one row
 
 
 def bayesian(evaluate: Callable[[dict], float], ranges: list[Range], iterations: int = 30, initial: int = 10, maximise: bool = True, seed: int = 0, acquire: str = "ei") -> tuple[dict, float, pd.DataFrame]:

@@ -87,6 +87,65 @@ def summary(events: DataFrame, quotas: DataFrame) -> DataFrame:
     return out.withColumns({"remaining": F.col("quota") - F.col("used"), "percent": utilisation(F.col("used"), F.col("quota")), "over_quota": F.col("used") > F.col("quota")})
 
 
+def last_use(events: DataFrame, by: list[str], order: list[str], amount: str = "amount") -> DataFrame:
+    """Use of each group after all its events, ``used``: the last of ``usage``, from
+    one scan, as the end and the lowest point of the plain running sum tell it."""
+    out = scan.scan(scan.chunked(events, by, order), by, order, {"_s": scan.total(F.col(amount))})
+    ends = out.groupBy(*by).agg(F.max_by("_s", F.struct(*order)).alias("_end"), F.min("_s").alias("_low"))
+    return ends.select(*by, (F.col("_end") - F.least(F.lit(0.0), F.col("_low"))).alias("used"))
+
+
+def system_status(tenants: DataFrame, events: DataFrame, parts: dict[str, DataFrame], resources=RESOURCES, order: list[str] = ["event_id"]) -> DataFrame:  # noqa: B006
+    """A row for each tenant (tenant_id, ..., quota_<resource>): its columns without
+    the quotas, ``utilization`` (percent by resource), ``over_quota``, ``issues`` (a
+    reason for each resource used beyond its quota), and of each of ``parts`` (users,
+    sandboxes, workspaces: tables with tenant_id) how many rows it has there.
+
+    ``events`` are tenant_id, resource, amount and ``order``. Tenants without events
+    or parts have 0; null quotas count as 0. Each table is summed up by tenant
+    before it meets another, so that no table multiplies a second one's rows.
+    """
+    known = events.where(F.col("resource").isin(*resources))
+    used = last_use(known, ["tenant_id", "resource"], order).groupBy("tenant_id").agg(*(F.coalesce(F.max(F.when(F.col("resource") == x, F.col("used"))), F.lit(0.0)).alias(f"used_{x}") for x in resources))
+    out = tenants.join(used, "tenant_id", "left").na.fill(0.0, [f"used_{x}" for x in resources] + [f"quota_{x}" for x in resources])
+    for name, df in parts.items():
+        out = out.join(df.groupBy("tenant_id").agg(F.count(F.lit(1)).alias(name)), "tenant_id", "left").na.fill(0, [name])
+    shares = F.create_map(*(x for c in resources for x in (F.lit(c), utilisation(F.col(f"used_{c}"), F.col(f"quota_{c}")))))
+    own = [c for c in tenants.columns if not c.startswith("quota_")]
+    issues = exceeded(resources)
+    return out.select(*own, shares.alias("utilization"), (F.size(issues) > 0).alias("over_quota"), issues.alias("issues"), *parts)
+
+
+ROLES = ("admin", "operational", "research", "academic", "viewer")
+
+
+def new_tenants(requests: DataFrame, tenants: DataFrame, order: list[str], quota: dict[str, float] | None = None) -> DataFrame:
+    """Requests (tenant_id, name, role, any quota_<resource>) with what becomes of
+    them: an id (the digest of ``order`` where none is asked for), the role (research
+    unless said), every quota (the asked one, else that of ``quota``, a research
+    tenant's unless given), ``sandbox`` (the name of the one it starts with), and
+    ``error``: "unknown role", or "exists" for an id that is there or that a request
+    before it in ``order`` took. Only rows without error are tenants.
+
+    Who comes first for an id is told by an aggregate, so an id that is asked for
+    again and again is no group in one task.
+    """
+    quota = RESEARCH_QUOTA if quota is None else quota
+    given = requests.withColumns({
+        "tenant_id": F.coalesce(F.col("tenant_id"), F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in order)))),
+        "role": F.coalesce(F.lower("role"), F.lit("research")),
+    })
+    sound = F.col("role").isin(*ROLES)
+    first = given.where(sound).groupBy("tenant_id").agg(F.min(F.struct(*order)).alias("_first"))
+    taken = tenants.select("tenant_id", F.lit(True).alias("_taken")).distinct()
+    out = given.join(first, "tenant_id", "left").join(taken, "tenant_id", "left")
+    late = F.col("_taken").isNotNull() | (F.col("_first") != F.struct(*order))
+    asked = lambda x: [F.col(f"quota_{x}")] if f"quota_{x}" in requests.columns else []
+    quotas = {f"quota_{x}": F.coalesce(*asked(x), F.lit(quota.get(x, 0.0))) for x in RESOURCES}
+    error = F.when(~sound, "unknown role").when(late, "exists")
+    return out.withColumns(quotas | {"sandbox": F.concat("name", F.lit("_default")), "error": error}).drop("_first", "_taken")
+
+
 def access(requests: DataFrame, acl: DataFrame, now: Column) -> DataFrame:
     """Requests (request_id, resource_id, user_id, tenant_id, role, permission)
     with ``granted`` and ``via``: an unexpired user entry, the admin role, an
@@ -140,6 +199,7 @@ def lineage(spark, edges: DataFrame, start: DataFrame, direction: str = "upstrea
     to the shared folder."""
     from ..plans.scratch import materialise
 
+    folded = 8  # levels after which what was seen becomes one table again
     here, there = ("target", "source") if direction == "upstream" else ("source", "target")
     steps = edges.select(F.col(here).alias("node"), F.col(there).alias("next")).distinct()
     seen = new = start.select("node", F.lit(0).alias("steps")).distinct()
@@ -149,6 +209,8 @@ def lineage(spark, edges: DataFrame, start: DataFrame, direction: str = "upstrea
         if new.isEmpty():
             break
         seen = seen.unionByName(new)
+        if k % folded == 0:
+            seen = materialise(seen.coalesce(max(1, spark.sparkContext.defaultParallelism)), "lineage")
     return seen
 
 
@@ -187,11 +249,18 @@ def version_diff(a: Column, b: Column) -> tuple[Column, Column]:
     return F.array_sort(F.array_except(b, a)), F.array_sort(F.array_except(a, b))
 
 
-def checksum(df: DataFrame, by: list[str]) -> DataFrame:
+def checksum(df: DataFrame, by: list[str], portable: bool = False) -> DataFrame:
     """Digest of a group's rows whatever their order: counts and sums of row
-    hashes, which add up in any order and before the shuffle."""
-    h = F.xxhash64(*df.columns)
-    parts = df.withColumns({"_a": F.pmod(h, F.lit(1 << 31)), "_b": F.shiftrightunsigned(h, 33)}).groupBy(*by)
+    hashes, which add up in any order and before the shuffle, as decimals that no
+    number of rows overflows. ``portable`` hashes are MD5 digests of the values as
+    text (each after a mark, null without one), which other engines know as well."""
+    if portable:
+        digest = F.md5(F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in df.columns)))
+        a, b = (F.conv(F.substring(digest, at, 8), 16, 10) for at in (1, 9))
+    else:
+        h = F.xxhash64(*df.columns)
+        a, b = F.pmod(h, F.lit(1 << 31)), F.shiftrightunsigned(h, 33)
+    parts = df.withColumns({"_a": a.cast("decimal(20,0)"), "_b": b.cast("decimal(20,0)")}).groupBy(*by)
     out = parts.agg(F.count(F.lit(1)).alias("n"), F.sum("_a").alias("a"), F.sum("_b").alias("b"))
     return out.select(*by, "n", F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("checksum"))
 
@@ -280,6 +349,23 @@ def version_records(df: DataFrame, changes: DataFrame, by: str = "dataset") -> D
     return versions(changes, by).join(sums, by, "left").join(sizes, by, "left")
 
 
+def latest_versions(changes: DataFrame, by: str = "dataset", order: str = "created_at", kind: str = "change_type") -> DataFrame:
+    """The last version of each dataset, without numbering those before it: major
+    changes are counted, minor ones after the last major, patches after the last of
+    either, each in one aggregate, so a dataset of many versions is no window."""
+    at = F.col(order)
+    ends = changes.groupBy(by).agg(F.min(at).alias("_first"), F.max(at).alias("_end"), F.count(F.lit(1)).alias("n_versions"))
+    later = changes.join(ends.select(by, "_first"), by).where(at > F.col("_first"))
+    when = lambda k: F.when(F.col(kind) == k, at)
+    major = later.groupBy(by).agg(F.count(when("major")).alias("_major"), F.max(when("major")).alias("_last_major"))
+    minor = later.join(major, by).where(F.col("_last_major").isNull() | (at > F.col("_last_major")))
+    minor = minor.groupBy(by).agg(F.count(when("minor")).alias("_minor"), F.max(when("minor")).alias("_last_minor"))
+    patch = later.join(major, by).join(minor, by).where((F.col("_last_major").isNull() | (at > F.col("_last_major"))) & (F.col("_last_minor").isNull() | (at > F.col("_last_minor"))))
+    patch = patch.groupBy(by).agg(F.count(when("patch")).alias("_patch"))
+    out = ends.join(major.select(by, "_major"), by, "left").join(minor.select(by, "_minor"), by, "left").join(patch, by, "left").na.fill(0, ["_major", "_minor", "_patch"])
+    return out.select(by, F.col("_end").alias(order), "n_versions", F.concat_ws(".", F.col("_major") + 1, "_minor", "_patch").alias("version"))
+
+
 def version_at(records: DataFrame, number: str, by: str = "dataset", order: str = "created_at") -> DataFrame:
     """The first record of each dataset with exactly this version."""
     first = F.row_number().over(W.partitionBy(by).orderBy(order))

@@ -552,10 +552,19 @@ def extreme_candidates_top20(spark, d):
     return mesh.event_candidates(grid).select("lat", "lon", "event_type", r("intensity").alias("intensity"), "rank")
 
 
-@query()
+_NEAR = "e.n = rest[1].n OR 2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(e.lat - rest[1].lat) / 2), 2) + cos(radians(e.lat)) * cos(radians(rest[1].lat)) * pow(sin(radians(e.lon - rest[1].lon) / 2), 2)))) < 500"
+
+
+@query(f"""WITH RECURSIVE {v.GRID}, w AS (SELECT CAST(lat_idx AS DOUBLE) AS lat, CAST(lon_idx AS DOUBLE) AS lon, abs(value * 3) / 99000 / 2 + abs(value / 1000) / 17 / 2 AS i FROM grid WHERE value * 3 > 99000 AND value / 1000 > 17),
+  o AS (SELECT *, row_number() OVER (ORDER BY i DESC, lat, lon) AS n FROM w QUALIFY n <= 20), r AS (
+    SELECT list(o ORDER BY n) AS rest, list(o) FILTER (n < 0) AS own, 0 AS k FROM o
+    UNION ALL SELECT list_filter(rest, lambda e: NOT ({_NEAR})), list_filter(rest, lambda e: {_NEAR}), k + 1 FROM r WHERE len(rest) > 0)
+  SELECT 'typhoon' AS event_type, round(list_avg(list_transform(own, lambda e: e.lat)), 6) AS lat, round(list_avg(list_transform(own, lambda e: e.lon)), 6) AS lon, round(list_max(list_transform(own, lambda e: e.i)), 6) AS intensity,
+    round(list_max(list_transform(own, lambda e: least(1.0, e.i))), 6) AS confidence, len(own) AS members FROM r WHERE k > 0""")
 def event_clusters(spark, d):
     grid = v.cells(spark, d).select(F.col("lat_idx").cast("double").alias("lat"), F.col("lon_idx").cast("double").alias("lon"), (F.col("value") / 1000).alias("wind_speed"), (F.col("value") * 3).alias("pressure"))
-    return mesh.cluster_events(mesh.event_candidates(grid))
+    found = mesh.cluster_events(mesh.event_candidates(grid))
+    return found.select("event_type", *(r(c).alias(c) for c in ("lat", "lon", "intensity", "confidence")), "members")
 
 
 @query(f"WITH {v.GEO} SELECT n_nationkey, CAST(floor((lat + 90) / 10) * 36 + floor(lon / 10) AS BIGINT) AS cell_id FROM geo WHERE lat < 90 AND lon < 360")
@@ -752,4 +761,4 @@ def animation_frames(spark, d):
     return sinks.frames(v.daily(spark, d), "t", ["variable"]).select("variable", "t", "min", "max")
 
 
-from . import catalog_assimilation, catalog_calibration, catalog_more, catalog_sources, catalog_streams  # noqa: E402, F401  they register their queries with these
+from . import catalog_assimilation, catalog_calibration, catalog_more, catalog_platform, catalog_sources, catalog_streams  # noqa: E402, F401  they register their queries with these
