@@ -30,9 +30,11 @@ from .shingles import hashed_words
 
 #: The classifier learns from so many labelled rows at most, the first by hash of their id, and from so many bytes of text.
 SAMPLE, SAMPLE_BYTES = 12_000, 64 << 20
+#: A text of more than this part of the sample's bytes is not learned from, so that a few long ones don't fill it.
+LONGEST_PART = 16
 BITS, SIZE, FILTERS, WIDTHS = 18, 8, 8, (1, 2, 3)
 #: Training ends when the loss on the rows held back has not fallen for ``PATIENCE`` epochs, and keeps the best epoch's weights.
-EPOCHS, PATIENCE, BATCH, RATE = 6, 1, 32, 0.1
+EPOCHS, PATIENCE, BATCH, RATE = 40, 3, 32, 0.1
 #: Every so-manieth row of the sample is kept from training, for calibration.
 CALIBRATION = 4
 THRESHOLD = 0.3
@@ -262,7 +264,8 @@ def best_threshold(p: np.ndarray, labels: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic") -> bytes:
     """The model (``TextCNN.to_bytes``) from the first ``sample`` labelled rows by
     hash of their id, as far as their texts stay within ``sample_bytes``; one task
-    trains it, and only the weights come back.
+    trains it, and only the weights come back. Texts of more than a
+    ``LONGEST_PART``-th of ``sample_bytes`` are passed over, those after them are not.
     ``usable`` is the condition on the key for learning from a row. Rows of null
     label are not used; a key with both labels counts as toxic. Repeated rows of
     a key count as one where their texts are equal."""
@@ -270,6 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE, samp
     chosen = known.orderBy(F.xxhash64("k"), "k").limit(sample)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("lang"), F.xxhash64(text).alias("x"), F.coalesce(F.octet_length(text), F.lit(0)).alias("size"))
     sizes = rows.select("k", "x", "size").join(F.broadcast(chosen), "k").distinct()  # ``sample`` pairs of numbers at most are broadcast
+    sizes = sizes.where(F.col("size") <= sample_bytes // LONGEST_PART)
     first = sizes.withColumn("h", F.xxhash64("k")).orderBy("h", "k", "x").limit(sample)
     upto = F.sum("size").over(W.orderBy("h", "k", "x").rowsBetween(W.unboundedPreceding, 0))
     first = materialise(first.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("k", "x", "y"), "sample")

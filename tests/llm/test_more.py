@@ -54,6 +54,16 @@ def test_sample_is_bounded_in_rows_and_bytes(spark):
         assert len(toxicity.train(docs, labels, lambda k: F.lit(True), rows, size)) > 1 << 20
 
 
+def test_a_text_too_long_for_the_sample_does_not_end_it(spark):
+    """Wherever the long text comes in the order, the model is that of the others."""
+    docs = spark.createDataFrame([(i, f"{'bad' if i % 2 else 'good'} words {i}", "en") for i in range(40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    long = spark.createDataFrame([(i, "bad " * 5000, "en") for i in range(40, 80)], docs.schema)
+    settings = lambda df: toxicity.TextCNN.settings(toxicity.train(df, labels, lambda k: F.lit(True), 100, 64_000))
+    assert settings(docs.unionByName(long)) == settings(docs)
+    assert settings(docs) != settings(long)
+
+
 # 2 external shuffle
 
 
