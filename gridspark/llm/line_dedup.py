@@ -25,7 +25,9 @@ BANDS, ROWS = 6, 2
 SMALL, LEVELS = 12, 9
 #: Longs of a line's bitmap.
 WORDS = 16
-BITS = [f"w{j}" for j in range(WORDS)]
+#: Longs of the bitmap of a line in a large node. A long line takes most values of a small one, so that lines far below the threshold
+#: look alike, and a node's comparisons bring up pairs by the square of its lines. Both lines of a join together keep below 100 columns.
+FINE = 44
 #: Minima of a line in a large node, for branching.
 TOKENS = 32
 #: Trees of a node's first branching: lines at the threshold stand together in few bands, and every level parts some of them.
@@ -70,13 +72,21 @@ def hashes(texts: DataFrame) -> DataFrame:
     return runs.select("hi", "lo", "n", F.xxhash64(F.expr(f"substring(units, 2 * i - 1, {2 * SHINGLE})")).alias("h"))
 
 
-def bitmaps(texts: DataFrame) -> DataFrame:
-    """vertex, n (shingles, repeats counted) and ``BITS``: which of 1,024 values
-    the hashes of the line's shingles take."""
-    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1))
-    bit = F.expr("shiftleft(1L, cast(h & 63 AS INT))")
-    maps = hashes(texts).groupBy("hi", "lo", "n").agg(*(F.bit_or(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(c) for j, c in enumerate(BITS)))
-    return maps.select(F.col("hi").alias("vertex"), F.col("n").cast("long").alias("n"), *BITS)
+def bits(words: int) -> list[str]:
+    return [f"w{j}" for j in range(words)]
+
+
+def bitmaps(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """vertex, n (shingles, repeats counted) and ``bits``: which of 64 x ``words``
+    values the hashes of the line's shingles take."""
+    at_once = next(k for k in range(WORDS, 0, -1) if words % k == 0)  # every shingle is held against so many words
+    word, bit, none = F.shiftrightunsigned("h", 6) % words, F.expr("shiftleft(1L, cast(h & 63 AS INT))"), F.lit(0).cast("long")
+    maps = hashes(texts).groupBy("hi", "lo", "n", F.floor(word / at_once).alias("part")).agg(*(F.bit_or(F.when(word % at_once == j, bit).otherwise(none)).alias(f"p{j}") for j in range(at_once)))
+    if words == at_once:
+        maps = maps.withColumnsRenamed({f"p{j}": c for j, c in enumerate(bits(words))})
+    else:
+        maps = maps.groupBy("hi", "lo", "n").agg(*(F.bit_or(F.when(F.col("part") == j // at_once, F.col(f"p{j % at_once}")).otherwise(none)).alias(c) for j, c in enumerate(bits(words))))
+    return maps.select(F.col("hi").alias("vertex"), F.col("n").cast("long").alias("n"), *bits(words))
 
 
 def tokens_of(texts: DataFrame) -> DataFrame:
@@ -85,14 +95,14 @@ def tokens_of(texts: DataFrame) -> DataFrame:
     return least.select(F.col("hi").alias("vertex"), F.array(*(f"t{j}" for j in range(TOKENS))).alias("tokens"))
 
 
-def alike(percent: int):
+def alike(percent: int, words: int = WORDS):
     """Whether two lines can be links, and a bound of their similarity in
     thousandths. Every value that one line's shingles take and the other's don't
     is a shingle of one of them only, so no link is ruled out."""
 
     def judge(one: Callable[[str], Column], other: Callable[[str], Column]) -> tuple[Column, Column]:
         n, differ = one("n") + other("n"), F.lit(0)
-        for c in BITS:
+        for c in bits(words):
             differ = differ + F.bit_count(one(c).bitwiseXOR(other(c)))
         return differ * (100 + percent) <= n * (100 - percent), F.floor(1000 * (n - differ) / (n + differ))
 
@@ -132,7 +142,8 @@ def line_components(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     texts = materialise(texts, "lines")
     maps = materialise(bitmaps(texts), "bitmaps")
     wanted = lambda some: materialise(tokens_of(texts.join(some.select(F.col("vertex").alias("hi")), "hi", "left_semi")), "tokens")
-    _, found = linked(rows, maps, alike(percent), wanted, TOKENS, percent, SMALL, LEVELS, lambda pairs: texts, lambda pairs, own: verified(pairs, own, percent), TREES)
+    finer = lambda some: materialise(bitmaps(texts.join(some.select(F.col("vertex").alias("hi")), "hi", "left_semi"), FINE), "bitmaps")
+    _, found = linked(rows, maps, alike(percent), wanted, TOKENS, percent, SMALL, LEVELS, lambda pairs: texts, lambda pairs, own: verified(pairs, own, percent), TREES, finer=(finer, alike(percent, FINE)))
     for table in (rows, maps, texts, sketched):
         discard(table)
     links = found[0]

@@ -134,6 +134,7 @@ def linked(
     confirm: Callable[[DataFrame, DataFrame], DataFrame],
     trees: int = 1,
     medium: int = MEDIUM,
+    finer: tuple[Callable[[DataFrame], DataFrame], Alike] | None = None,
 ) -> tuple[DataFrame, list[DataFrame]]:
     """Components of the vertices of ``rows`` (node, vertex), as (id, component),
     and the links that made them.
@@ -145,7 +146,8 @@ def linked(
     vertices outside its largest component, branches on ``tokens`` of its vertices (a function from (vertex) to
     (vertex, tokens: an array)), chosen by the node; the first time in ``trees``
     trees, for one alone misses more pairs the more levels follow. Nothing is left
-    out: see ``ROUNDS``.
+    out: see ``ROUNDS``. ``finer`` are features that cost more, as a function like
+    ``tokens``, and what judges by them, for comparing all of a large node.
     """
     links: list[DataFrame] = []
     held: list[DataFrame] = []
@@ -177,6 +179,10 @@ def linked(
         label = joined(scored(pairs.unionByName(star(large)), features, alike), None, BEST_FIRST)
         own = tokens(large.select("vertex").distinct())
         held.append(own)
+        fine, judge = features, alike
+        if finer is not None:
+            fine, judge = finer[0](large.select("vertex").distinct()), finer[1]
+            held.append(fine)
         # From here on the rows carry their tokens and their component.
         rows = large.select("node", "vertex", "central", F.col("vertex").alias("component")).join(own, "vertex")
         for k in range(ROUNDS):
@@ -188,7 +194,7 @@ def linked(
                 held.append(rows)
             found = None
             for level in range(k * levels + 1, (k + 1) * levels + 1):
-                pairs = across(rows.where(~branching(k)).drop("tokens"), features, alike)
+                pairs = across(rows.where(~branching(k)).drop("tokens"), fine, judge)
                 found = pairs if found is None else found.unionByName(pairs)
                 many = rows.where(branching(k))
                 if done := many.isEmpty():
