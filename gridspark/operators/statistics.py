@@ -96,7 +96,8 @@ def spread_skill(members: DataFrame, observed: DataFrame, cell: list[str]) -> Da
 def roc_curve(members: DataFrame, observed: DataFrame, cell: list[str], threshold: float, points: int = 100) -> DataFrame:
     """True and false positive rates for ``points`` probability thresholds. The
     cells are summed by how many points their probability reaches, then the
-    sums run from above: no cell meets all points."""
+    sums run from above: no cell meets all points. A rate of no cells is 0, the
+    true positive one without a hit, the false positive one without a miss."""
     p = probability(members, cell, above=threshold).join(observed.select(*cell, F.col("value").alias("y")), cell)
     reached = F.floor(F.col("probability") * (points - 1) + 1e-9).cast("int")
     hit = F.col("y") > threshold

@@ -313,7 +313,7 @@ def spread_skill(spark, d):
 
 @query(f"""WITH {_BOTH}, p AS (SELECT lat_idx, lon_idx, avg(CASE WHEN value > 36000 THEN 1.0 ELSE 0.0 END) AS p FROM ens GROUP BY 1, 2), b AS (SELECT p, value > 36000 AS hit FROM p JOIN grid USING (lat_idx, lon_idx)),
   t AS (SELECT i AS k, i / 99.0 AS threshold FROM generate_series(0, 99) g(i))
-  SELECT CAST(k AS INTEGER) AS k, round(count_if(hit AND p * 99 + 1e-9 >= k) / nullif(count_if(hit), 0), 6) AS tpr, round(count_if(NOT hit AND p * 99 + 1e-9 >= k) / nullif(count_if(NOT hit), 0), 6) AS fpr FROM t, b GROUP BY 1""")
+  SELECT CAST(k AS INTEGER) AS k, round(coalesce(count_if(hit AND p * 99 + 1e-9 >= k) / nullif(count_if(hit), 0), 0), 6) AS tpr, round(coalesce(count_if(NOT hit AND p * 99 + 1e-9 >= k) / nullif(count_if(NOT hit), 0), 0), 6) AS fpr FROM t, b GROUP BY 1""")
 def roc_curve(spark, d):
     s = statistics.roc_curve(v.cells(spark, d, True), v.cells(spark, d), _CELLKEY, 36000.0)
     return s.select("k", r("tpr").alias("tpr"), r("fpr").alias("fpr"))
