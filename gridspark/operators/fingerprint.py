@@ -48,6 +48,8 @@ def spatial_similarity(m1: Column, m2: Column) -> Column:
 
 #: Queries go to the tasks in blocks of so many bytes of vectors and results; each block is one pass over the events.
 QUERY_BYTES = 32 << 20
+#: So many queries of a block meet so many events at a time: what a task holds beside its block are matrices of this size.
+QUERIES_AT_ONCE, EVENTS_AT_ONCE = 256, 2048
 
 
 def most_similar(events: DataFrame, queries: DataFrame, top: int = 20, block_bytes: int = QUERY_BYTES) -> DataFrame:
@@ -88,31 +90,55 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def _top_of(names: list, matrix: np.ndarray, top: int, kinds: tuple, at_once: int = 2048):
+class _Top:
+    """The best that a task has seen of each query's events, by score and then by
+    id: scores, ids and what goes with them. What cannot reach the last place is
+    left out a matrix at a time."""
+
+    def __init__(self, names: list, top: int, more: int = 0):
+        self.names, self.top = names, top
+        self.least = np.full(len(names), -np.inf)
+        self.kept: list[tuple] = [(np.zeros(0), np.zeros(0, object), *(np.zeros(0) for _ in range(more)))] * len(names)
+
+    def take(self, first: int, ids: np.ndarray, scores: np.ndarray, *more: np.ndarray) -> None:
+        """Scores of the queries from ``first`` on, a row each, and of the events ``ids``, a column each."""
+        near = ~(scores < self.least[first : first + len(scores), None])
+        for row in np.flatnonzero(near.any(axis=1)):
+            q, at = first + row, np.flatnonzero(near[row])
+            at = at[ids[at] != self.names[q]]
+            kept = [np.concatenate(pair) for pair in zip(self.kept[q], (scores[row, at], ids[at], *(x[row, at] for x in more)))]
+            s, i = kept[:2]
+            if len(s) > self.top:  # all that is as good as the last place, then in order
+                best = np.flatnonzero(s >= np.partition(s, len(s) - self.top)[len(s) - self.top])
+                best = best[np.lexsort((i[best], -s[best]))][: self.top]
+                kept = [x[best] for x in kept]
+            if len(kept[0]) == self.top:
+                self.least[q] = kept[0].min()
+            self.kept[q] = tuple(kept)
+
+
+def _top_of(names: list, matrix: np.ndarray, top: int, kinds: tuple, at_once: int = EVENTS_AT_ONCE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, length = matrix.shape
-        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object))] * n
+        found = _Top(names, top)
         for whole in batches:
             for start in range(0, whole.num_rows, at_once):
                 batch = whole.slice(start, at_once)
                 ids = np.array(batch.column(0).to_pylist(), object)
                 vectors = batch.column(1).to_pylist()
                 fits = np.array([v is not None and len(v) == length for v in vectors], bool)
-                scores = np.zeros((n, len(ids)))
-                if fits.any():
-                    scores[:, fits] = matrix @ _unit(np.array([v for v, ok in zip(vectors, fits) if ok], float).reshape(int(fits.sum()), length)).T
-                for q, name in enumerate(names):
-                    other = ids != name
-                    s, i = np.concatenate((kept[q][0], scores[q][other])), np.concatenate((kept[q][1], ids[other]))
-                    if len(s) > top:  # all that is as good as the last place, then in order
-                        near = np.flatnonzero(s >= np.partition(s, len(s) - top)[len(s) - top])
-                        near = near[np.lexsort((i[near], -s[near]))][:top]
-                        s, i = s[near], i[near]
-                    kept[q] = s, i
-        columns = [(name, i, s) for name, (scores, ids) in zip(names, kept) for s, i in zip(scores.tolist(), ids.tolist())]
-        for start in range(0, len(columns), 50_000):
-            q, i, s = zip(*columns[start : start + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(q, kinds[0]), pa.array(i, kinds[1]), pa.array(s, pa.float64())], ["query_id", "event_id", "score"])
+                units = _unit(np.array([v for v, ok in zip(vectors, fits) if ok], float).reshape(int(fits.sum()), length)).T
+                for first in range(0, n, QUERIES_AT_ONCE):
+                    some = matrix[first : first + QUERIES_AT_ONCE]
+                    scores = np.zeros((len(some), len(ids)))
+                    if fits.any():
+                        scores[:, fits] = some @ units
+                    found.take(first, ids, scores)
+        for start in range(0, n, QUERIES_AT_ONCE):
+            columns = [(name, i, s) for name, (scores, ids) in zip(names[start : start + QUERIES_AT_ONCE], found.kept[start : start + QUERIES_AT_ONCE]) for s, i in zip(scores.tolist(), ids.tolist())]
+            if columns:
+                q, i, s = zip(*columns)
+                yield pa.RecordBatch.from_arrays([pa.array(q, kinds[0]), pa.array(i, kinds[1]), pa.array(s, pa.float64())], ["query_id", "event_id", "score"])
 
     return run
 
