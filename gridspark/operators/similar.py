@@ -79,25 +79,20 @@ class _Queries:
     def __init__(self, rows: list):
         self.ids = [r.query_id for r in rows]
         self.duration = np.array([r.duration for r in rows])
-        lengths: dict[int, list[int]] = {}
-        for i, r in enumerate(rows):
-            if r.vector:
-                lengths.setdefault(len(r.vector), []).append(i)
-        self.units = {n: (np.array(at), fingerprint._unit(np.array([rows[i].vector for i in at], float))) for n, at in lengths.items()}
+        self.units = _by_length([r.vector for r in rows])
         self.names = sorted({k for r in rows for k in (r.means or {})})
         self.means = {k: np.array([_number((r.means or {}).get(k)) for r in rows]) for k in self.names}
 
-    def scores(self, duration: np.ndarray, vectors: list, means: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, duration: np.ndarray, vectors: dict, means: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Likeness in time and in space, a row for each query, a column for each event."""
         shape = len(self.ids), len(duration)
         d, q = duration[None], self.duration[:, None]
         length = 1 - np.minimum(np.abs(d - q) / np.maximum(np.maximum(d, q), 1.0), 1.0)
         temporal = np.zeros(shape)
-        sizes = np.array([len(v) if v else 0 for v in vectors])
         for n, (at, units) in self.units.items():
-            fits = np.flatnonzero(sizes == n)
-            if len(fits):
-                angle = np.clip(units @ fingerprint._unit(np.array([vectors[i] for i in fits], float)).T, 0, 1)
+            if n in vectors:
+                fits, own = vectors[n]
+                angle = np.clip(units @ own.T, 0, 1)
                 place = np.ix_(at, fits)
                 temporal[place] = 0.5 * length[place] + 0.5 * angle
         total, common = np.zeros(shape), np.zeros(shape)
@@ -112,32 +107,39 @@ class _Queries:
         return temporal, np.divide(total, common, out=np.zeros(shape), where=common > 0)
 
 
+def _by_length(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of the vectors of each length, but 0, where they stand, and their units."""
+    lengths: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        if v:
+            lengths.setdefault(len(v), []).append(i)
+    return {n: (np.array(at), fingerprint._unit(np.array([vectors[i] for i in at], float))) for n, at in lengths.items()}
+
+
 def _number(x: float | None) -> float:
     return np.nan if x is None else x
 
 
-def _best(rows: list, top: int, weights: tuple[float, float], kinds: tuple, at_once: int = 2048):
+def _best(rows: list, top: int, weights: tuple[float, float], kinds: tuple, at_once: int = fingerprint.EVENTS_AT_ONCE):
+    blocks = [_Queries(rows[i : i + fingerprint.QUERIES_AT_ONCE]) for i in range(0, len(rows), fingerprint.QUERIES_AT_ONCE)]
+    asked = [name for block in blocks for name in block.ids]
+    variables = sorted({k for block in blocks for k in block.names})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Queries(rows)
-        kept: list[tuple] = [(np.zeros(0), np.zeros(0, object), np.zeros(0), np.zeros(0))] * len(rows)
+        found = fingerprint._Top(asked, top, 2)
         for whole in batches:
             for start in range(0, whole.num_rows, at_once):
                 batch = whole.slice(start, at_once)
                 ids = np.array([*batch.column(0).to_pylist(), None], object)[:-1]
                 maps = [dict(m) if m else {} for m in batch.column(3).to_pylist()]
-                means = {k: np.array([_number(m.get(k)) for m in maps]) for k in block.names}
-                temporal, spatial = block.scores(batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist(), means)
-                scores = np.round(weights[0] * temporal + weights[1] * spatial, 9)
-                for q, name in enumerate(block.ids):
-                    other = ids != name
-                    new = scores[q][other], ids[other], temporal[q][other], spatial[q][other]
-                    s, i, t, p = (np.concatenate(pair) for pair in zip(kept[q], new))
-                    if len(s) > top:  # all that is as good as the last place, then in order
-                        near = np.flatnonzero(s >= np.partition(s, len(s) - top)[len(s) - top])
-                        near = near[np.lexsort((i[near], -s[near]))][:top]
-                        s, i, t, p = s[near], i[near], t[near], p[near]
-                    kept[q] = s, i, t, p
-        for name, (s, i, t, p) in zip(block.ids, kept):
+                means = {k: np.array([_number(m.get(k)) for m in maps]) for k in variables}
+                duration, units = batch.column(1).to_numpy(zero_copy_only=False), _by_length(batch.column(2).to_pylist())
+                first = 0
+                for block in blocks:
+                    temporal, spatial = block.scores(duration, units, means)
+                    found.take(first, ids, np.round(weights[0] * temporal + weights[1] * spatial, 9), temporal, spatial)
+                    first += len(block.ids)
+        for name, (s, i, t, p) in zip(asked, found.kept):
             if len(s):
                 columns = [pa.array([name] * len(s), kinds[0]), pa.array(i.tolist(), kinds[1]), *(pa.array(x, pa.float64()) for x in (s, t, p))]
                 yield pa.RecordBatch.from_arrays(columns, ["query_id", "event_id", "score", "temporal", "spatial"])
