@@ -196,15 +196,19 @@ def lineage(spark, edges: DataFrame, start: DataFrame, direction: str = "upstrea
     """Nodes reached from ``start`` (node), with their least number of steps, or
     those of up to ``depth`` steps. Level by level, each a join with what is new,
     so a node is expanded once and a cycle ends of itself; the levels are written
-    to the shared folder."""
+    to the shared folder. The edges are written once; what a level reaches is
+    written before it is held against what was seen, so that a small level, as most
+    are, goes round by broadcast, and neither edges nor nodes are shuffled for it."""
     from ..plans.scratch import materialise
 
     folded = 8  # levels after which what was seen becomes one table again
     here, there = ("target", "source") if direction == "upstream" else ("source", "target")
-    steps = edges.select(F.col(here).alias("node"), F.col(there).alias("next")).distinct()
+    steps = materialise(edges.select(F.col(here).alias("node"), F.col(there).alias("next")), "lineage")
     seen = new = start.select("node", F.lit(0).alias("steps")).distinct()
     for k in itertools.count(1) if depth is None else range(1, depth + 1):
-        new = new.join(steps, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        found = materialise(steps.join(new.select("node"), "node").select(F.col("next").alias("node")).distinct(), "lineage")
+        known = seen.select("node").join(found, "node", "left_semi").distinct()
+        new = found.join(known, "node", "left_anti")
         new = materialise(new.withColumn("steps", F.lit(k)), "lineage")
         if new.isEmpty():
             break
