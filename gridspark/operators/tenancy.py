@@ -356,17 +356,21 @@ def version_records(df: DataFrame, changes: DataFrame, by: str = "dataset") -> D
 def latest_versions(changes: DataFrame, by: str = "dataset", order: str = "created_at", kind: str = "change_type") -> DataFrame:
     """The last version of each dataset, without numbering those before it: major
     changes are counted, minor ones after the last major, patches after the last of
-    either, each in one aggregate, so a dataset of many versions is no window."""
+    either, each in one aggregate, so a dataset of many versions is no window. A
+    dataset's row, one for each, is looked up by its hash: no change is sorted."""
     at = F.col(order)
     ends = changes.groupBy(by).agg(F.min(at).alias("_first"), F.max(at).alias("_end"), F.count(F.lit(1)).alias("n_versions"))
-    later = changes.join(ends.select(by, "_first"), by).where(at > F.col("_first"))
+    later = changes.join(ends.select(by, "_first").hint("shuffle_hash"), by).where(at > F.col("_first"))
     when = lambda k: F.when(F.col(kind) == k, at)
     major = later.groupBy(by).agg(F.count(when("major")).alias("_major"), F.max(when("major")).alias("_last_major"))
-    minor = later.join(major, by).where(F.col("_last_major").isNull() | (at > F.col("_last_major")))
+    minor = later.join(major.hint("shuffle_hash"), by).where(F.col("_last_major").isNull() | (at > F.col("_last_major")))
     minor = minor.groupBy(by).agg(F.count(when("minor")).alias("_minor"), F.max(when("minor")).alias("_last_minor"))
-    patch = later.join(major, by).join(minor, by).where((F.col("_last_major").isNull() | (at > F.col("_last_major"))) & (F.col("_last_minor").isNull() | (at > F.col("_last_minor"))))
+    patch = later.join(major.hint("shuffle_hash"), by).join(minor.hint("shuffle_hash"), by).where((F.col("_last_major").isNull() | (at > F.col("_last_major"))) & (F.col("_last_minor").isNull() | (at > F.col("_last_minor"))))
     patch = patch.groupBy(by).agg(F.count(when("patch")).alias("_patch"))
-    out = ends.join(major.select(by, "_major"), by, "left").join(minor.select(by, "_minor"), by, "left").join(patch, by, "left").na.fill(0, ["_major", "_minor", "_patch"])
+    out = ends
+    for counts in (major.select(by, "_major"), minor.select(by, "_minor"), patch):
+        out = out.join(counts.hint("shuffle_hash"), by, "left")
+    out = out.na.fill(0, ["_major", "_minor", "_patch"])
     return out.select(by, F.col("_end").alias(order), "n_versions", F.concat_ws(".", F.col("_major") + 1, "_minor", "_patch").alias("version"))
 
 
