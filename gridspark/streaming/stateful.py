@@ -25,7 +25,9 @@ import threading
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
@@ -34,6 +36,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 SESSION = "status string, session long, last long"
 EVENTS = "source string, lane int, event string, reason string, session long, id long, at long, bytes long, finish long"
 SECOND = 1_000_000
+#: Events of a source that become a table at a time.
+AT_ONCE = 10_000
 
 
 @dataclass(frozen=True)
@@ -154,19 +158,37 @@ def ingest(records: DataFrame, rules: Rules, lanes: int = 1, late: str = "1 hour
 
 def replay(records: DataFrame, rules: Rules, lanes: int = 1, late: float = 3600.0, **names) -> DataFrame:
     """The same events of a finished table, a source and lane at a time; sessions
-    that are idle when the newest record less ``late`` seconds is reached have ended."""
+    that are idle when the newest record less ``late`` seconds is reached have ended.
+    The records come sorted, so a task holds the state of one source and lane, and
+    a batch of records, however many there are."""
     rows = dealt(records, lanes, **names).drop("event_time")
     end = rows.agg(F.max("at")).first()[0]
-    fields = [c.split()[0] for c in EVENTS.split(", ")]
+    rows = rows.repartition("source", "lane").sortWithinPartitions("source", "lane", "at", "id").select("source", "lane", "kind", "id", "at", "bytes")
+    schema = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[c.split()[1]]) for c in EVENTS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, s, found = None, None, []
+
+        def ended() -> list[tuple]:
+            return [(*key, *f) for f in s.expire(int(end - late * SECOND))] if s else []
+
+        for batch in batches:
+            for source, lane, *record in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (source, lane):
+                    found += ended()
+                    key, s = (source, lane), Source(rules)
+                found += [(*key, *f) for f in s.take(*record)]
+                if len(found) >= AT_ONCE:
+                    yield table(found)
+                    found = []
+        found += ended()
+        if found:
+            yield table(found)
 
-    def run(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        s, found = Source(rules), []
-        for r in parts.sort_values(["at", "id"], kind="stable").itertuples():
-            found += s.take(r.kind, int(r.id), int(r.at), int(r.bytes))
-        found += s.expire(int(end - late * SECOND))
-        return pd.DataFrame([(key[0], key[1], *f) for f in found], columns=fields).astype({"session": "Int64", "id": "Int64", "at": "Int64", "bytes": "Int64", "finish": "Int64"})
+    def table(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), schema)], schema=schema)
 
-    return rows.groupBy("source", "lane").applyInPandas(run, EVENTS)
+    return rows.mapInArrow(run, EVENTS)
 
 
 def totals(events: DataFrame, by: list[str] = ["source"]) -> DataFrame:  # noqa: B006
