@@ -16,8 +16,9 @@ WINDOW, STRIDE = 32, 24
 SYMBOLS, CLASSES = 4096, 64
 KEY, VALUE = 8, 16
 WINDOWS_AT_ONCE = 256
-#: Rounds of training: in each, every task starts from the same weights and the mean of all changes is taken.
-ROUNDS, RATE, BATCH = 2, 0.05, 64
+#: Rounds of training: in each, every part of the corpus starts from the same weights and the mean of all changes is taken.
+#: A round meets every training text, so one is enough.
+ROUNDS, RATE, BATCH = 1, 0.125, 256
 WEIGHTS = ("query", "key", "value", "out", "distance", "start")
 PER_SYMBOL = ("query", "key", "value", "start")
 MASKED = np.float32(-1e9)
@@ -28,16 +29,16 @@ def window_starts(n: int) -> int:
     return 1 + max(0, -(-(n - WINDOW) // STRIDE))
 
 
-def windows(previous: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows(previous: np.ndarray, lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Places of the inputs of every window of texts laid end to end, and which
-    of them score: windows of a text overlap, and each place scores in one. A
-    place past the text's end repeats its last and scores nowhere."""
-    counts = 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE))
+    of them score: windows of a text overlap where they start ``stride`` apart, and each
+    place scores in one. A place past the text's end repeats its last and scores nowhere."""
+    counts = 1 + np.maximum(0, -(-(lengths - WINDOW) // stride))
     first = np.repeat(np.cumsum(lengths) - lengths, counts)
     number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    inside = number[:, None] * STRIDE + np.arange(WINDOW)
+    inside = number[:, None] * stride + np.arange(WINDOW)
     length = np.repeat(lengths, counts)[:, None]
-    scores = (inside < length) & ((number[:, None] == 0) | (np.arange(WINDOW) >= WINDOW - STRIDE))
+    scores = (inside < length) & ((number[:, None] == 0) | (np.arange(WINDOW) >= WINDOW - stride))
     return first[:, None] + np.minimum(inside, length - 1), scores
 
 
@@ -188,38 +189,37 @@ class AttentionLM:
         return np.where(gap >= 0, self.distance[np.maximum(gap, 0)], MASKED).astype("f4")
 
     def _train(self, before: np.ndarray, x: np.ndarray, lengths: np.ndarray, rng, rate: float) -> tuple[int, np.ndarray]:
-        """Adagrad on the windows' class predictions, each window once; how many
-        there were, and how often each symbol was met."""
-        at, scores = windows(before, lengths)
+        """Adagrad on the class predictions of windows side by side, each place once;
+        how many windows there were, and how often each symbol was met."""
+        at, scores = windows(before, lengths, WINDOW)
         goal = self.of_class[x]
         sums = {name: np.full(getattr(self, name).shape, 1e-4, "f4") for name in WEIGHTS}
-        gap = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW), 0)
+        gap = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW), 0).ravel()
         met = np.zeros(len(self.of_class), np.int64)
         order = rng.permutation(len(at))
         for i in range(0, len(order), BATCH):
             rows = order[i : i + BATCH]
-            place, live = at[rows], scores[rows]
+            place, live = at[rows].ravel(), scores[rows].ravel()
             u = before[place]
-            q, k, v, a, c = self._attend(u)
-            z = self.start[u] + c @ self.out
-            z -= z.max(axis=2, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(axis=2, keepdims=True)
-            b, j = np.nonzero(live)
-            p[b, j, goal[place[b, j]]] -= 1
-            p *= (live / live.sum())[:, :, None].astype("f4") * 32
-            dc = p @ self.out.T
+            weight = live * np.float32(32 / live.sum())
+            q, k, v, a, c = self._attend(u.reshape(-1, WINDOW))
+            flat = c.reshape(-1, VALUE)
+            p = flat @ self.out
+            p += self.start[u]
+            np.exp(np.minimum(p, 60, out=p), out=p)
+            p *= (weight / p.sum(axis=1))[:, None]
+            p[np.arange(len(u)), goal[place]] -= weight
+            dc = (p @ self.out.T).reshape(c.shape)
             da = dc @ v.transpose(0, 2, 1)
             ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-            flat = u.ravel()
-            self._move("out", np.einsum("blv,blc->vc", c, p), sums, rate)
-            self._move("distance", np.bincount(gap.ravel(), weights=ds.sum(axis=0).ravel(), minlength=WINDOW).astype("f4"), sums, rate)
-            own, which, times = np.unique(flat, return_inverse=True, return_counts=True)
-            met[own] += times
-            order_of = np.argsort(which, kind="stable")
-            edges = np.cumsum(times) - times
+            self._move("out", flat.T @ p, sums, rate)
+            self._move("distance", np.bincount(gap, weights=ds.sum(axis=0).ravel(), minlength=WINDOW).astype("f4"), sums, rate)
+            order_of = np.argsort(u, kind="stable")
+            edges = np.flatnonzero(np.append(True, u[order_of][1:] != u[order_of][:-1]))
+            own = u[order_of[edges]]
+            met[own] += np.diff(np.append(edges, len(u)))
             for name, g in (("query", ds @ k), ("key", ds.transpose(0, 2, 1) @ q), ("value", a.transpose(0, 2, 1) @ dc), ("start", p)):
-                total = np.add.reduceat(g.reshape(len(flat), -1)[order_of], edges, axis=0)
+                total = np.add.reduceat(g.reshape(len(u), -1)[order_of], edges, axis=0)
                 self._move(name, total, sums, rate, own)
         return len(at), met
 

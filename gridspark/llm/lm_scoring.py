@@ -7,14 +7,13 @@ a word and chunk; a word of very many chunks is dealt to several tasks, and summ
 in two levels. So no task holds the whole vocabulary, and texts are shuffled
 once, compressed. The score of a word mixes the attention model's probability of
 its ids with the word's share of all training words. The model's symbols, and how often one follows another, come
-from all training documents. The attention's weights are trained where the chunks
-lie, on a share of the training documents; what the tasks change is averaged.
+from all training documents. So do the attention's weights, trained where the chunks
+lie; what each chunk changes is averaged.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +31,6 @@ from .token_files import WordTokenizer
 
 #: Text of a chunk.
 PACK_BYTES = 12 << 20
-#: The attention's weights train on about so many of the training documents, by a
-#: digest of the key, and one in so many of all; on all where there are fewer.
-LEAST, SHARE = 2000, 64
 #: Changes of so many tasks are added up at a time.
 SUMMED = 64
 #: Chunks whose rows of one word meet in one task.
@@ -71,11 +67,10 @@ class Texts:
         return [raw[s:e] for s, e in zip(self.starts[self.first].tolist(), self.ends[self.first].tolist())]
 
 
-def packed(docs: DataFrame, tokenizer: str, pack_bytes: int, end_id: int = 0, part: float = 0.0) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, pack_bytes: int) -> DataFrame:
     """Of documents (k, held, t): chunk, docs (an Arrow stream of k, held and the
     places of each text's words among the chunk's), words and counts
-    (of training documents), ids of the words, id_counts, n_train, and train: the
-    ids of those training documents that the attention's weights learn from."""
+    (of training documents), ids of the words, id_counts and n_train."""
     key = to_arrow_type(docs.schema["k"].dataType)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,13 +93,6 @@ def packed(docs: DataFrame, tokenizer: str, pack_bytes: int, end_id: int = 0, pa
             table = pa.table({"k": pa.array(ks, key), "held": pa.array(hs), "words": pa.ListArray.from_arrays(pa.array(texts.edges, pa.int32()), pa.array(texts.word, pa.int32()))})
             with pa.ipc.new_stream(sink, table.schema) as out:
                 out.write_table(table)
-            whole = lengths.astype(np.int64)
-            begin = np.cumsum(whole) - whole
-            chosen = [d for d in range(len(ks)) if not hs[d] and zlib.crc32(f"train {ks[d]}".encode()) < part * 2**32]
-            own = [texts.word[texts.edges[d] : texts.edges[d + 1]] for d in chosen]
-            learnt = [np.append(pool[np.repeat(begin[w] - (np.cumsum(whole[w]) - whole[w]), whole[w]) + np.arange(whole[w].sum())], end_id) for w in own]
-            sizes = np.array([len(x) for x in learnt], "<u4")
-            train = struct.pack("<Q", len(learnt)) + sizes.tobytes() + b"".join(x.astype("<u4").tobytes() for x in learnt)
             lists = pa.array([words], pa.list_(pa.binary()))
             values = [
                 pa.array([task << 32 | number], pa.int64()),
@@ -114,9 +102,8 @@ def packed(docs: DataFrame, tokenizer: str, pack_bytes: int, end_id: int = 0, pa
                 pa.array([z.compress(struct.pack("<Q", len(lengths)) + lengths.tobytes() + pool.astype("<u4").tobytes())], pa.binary()),
                 pa.array([list(zip(some.tolist(), counts[some].astype(int).tolist()))], pa.map_(pa.int32(), pa.int64())),
                 pa.array([int(np.sum(~np.array(hs, bool)))], pa.int64()),
-                pa.array([z.compress(train)], pa.binary()),
             ]
-            return pa.RecordBatch.from_arrays(values, ["chunk", "docs", "words", "counts", "ids", "id_counts", "n_train", "train"])
+            return pa.RecordBatch.from_arrays(values, ["chunk", "docs", "words", "counts", "ids", "id_counts", "n_train"])
 
         for batch in batches:
             for k, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -129,7 +116,7 @@ def packed(docs: DataFrame, tokenizer: str, pack_bytes: int, end_id: int = 0, pa
         if held:
             yield row()
 
-    return docs.mapInArrow(trimmed(pack), "chunk long, docs binary, words array<binary>, counts array<long>, ids binary, id_counts map<int, long>, n_train long, train binary")
+    return docs.mapInArrow(trimmed(pack), "chunk long, docs binary, words array<binary>, counts array<long>, ids binary, id_counts map<int, long>, n_train long")
 
 
 def score_texts(
@@ -140,8 +127,6 @@ def score_texts(
     key: str = "doc_id",
     text: str = "text",
     pack_bytes: int = PACK_BYTES,
-    least: int = LEAST,
-    share: int = SHARE,
     spread: int = SPREAD,
 ) -> DataFrame:
     """One row per document: ``key``, held_out, n_tokens, n_known, train_tokens,
@@ -161,8 +146,7 @@ def score_texts(
     gives an empty one. Other columns are not read.
     """
     docs = df.select(F.col(key).alias("k"), (~learn(F.col(key))).alias("held"), F.col(text).cast("binary").alias("t"))
-    part = least / max(docs.where("NOT held").count(), 1) + 1 / share
-    chunks = materialise(packed(docs, tokenizer, pack_bytes, end_id, part), "chunks")
+    chunks = materialise(packed(docs, tokenizer, pack_bytes), "chunks")
     n_train, n_chunks = chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count(F.lit(1))).first()
     groups = max(1, -(-n_chunks // spread))
     words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "w")).select("chunk", "i", "w.words", "w.counts")
@@ -245,6 +229,17 @@ def _opened(blob: bytes, pool: bytes, end_id: int) -> tuple[pa.Table, np.ndarray
     return table, lists.values.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64), lengths, flat
 
 
+def _learnt(blob: bytes, pool: bytes, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a chunk's training documents laid end to end, each with the end, and how many each has."""
+    table, words, edges, lengths, flat = _opened(blob, pool, end_id)
+    word = np.insert(words, edges[1:], len(lengths) - 1)
+    learn = ~np.array(table["held"].to_pylist(), bool)
+    per_doc = np.add.reduceat(lengths[word], edges[:-1] + np.arange(table.num_rows))[learn]
+    word = word[np.repeat(learn, np.diff(edges) + 1)]
+    own, begin = lengths[word], np.cumsum(lengths) - lengths
+    return flat[np.repeat(begin[word] - (np.cumsum(own) - own), own) + np.arange(own.sum())], per_doc
+
+
 def _successors(chunks: DataFrame, symbol: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How often a symbol follows another in all training documents: the one
     before, the one after, the number. Each task sums its chunks first; the
@@ -255,13 +250,9 @@ def _successors(chunks: DataFrame, symbol: np.ndarray, end_id: int) -> tuple[np.
         total = None
         for batch in batches:
             for blob, pool in zip(batch.column(0), batch.column(1)):
-                table, words, edges, lengths, flat = _opened(blob.as_py(), pool.as_py(), end_id)
-                word = np.insert(words, edges[1:], len(lengths) - 1)
-                learn = np.repeat(~np.array(table["held"].to_pylist(), bool), np.diff(edges) + 1)
-                word = word[learn]
-                own, begin = lengths[word], np.cumsum(lengths) - lengths
-                x = np.full(int(own.sum()) + 1, symbol_of(end_id), np.int64)
-                x[1:] = shared.value[flat[np.repeat(begin[word] - (np.cumsum(own) - own), own) + np.arange(own.sum())]]
+                ids, _ = _learnt(blob.as_py(), pool.as_py(), end_id)
+                x = np.full(len(ids) + 1, symbol_of(end_id), np.int64)
+                x[1:] = shared.value[ids]
                 total = np.zeros(n * n, np.uint32) if total is None else total
                 codes = np.sort((x[:-1] * n + x[1:]).astype(np.uint32))
                 first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
@@ -283,34 +274,33 @@ def _successors(chunks: DataFrame, symbol: np.ndarray, end_id: int) -> tuple[np.
 def _trained(chunks: DataFrame, counts: np.ndarray, end_id: int) -> AttentionLM:
     model = AttentionLM(len(counts), end_id).tables(counts, lambda symbol: _successors(chunks, symbol, end_id))
     for step in range(ROUNDS):
-        model.moved(_changes(chunks, model, step))
+        model.moved(_changes(chunks, model, step, end_id))
     return model
 
 
-def _changes(chunks: DataFrame, model: AttentionLM, step: int) -> np.ndarray | None:
-    """The sum of what training in every task changes: one row of numbers, of the
+def _changes(chunks: DataFrame, model: AttentionLM, step: int, end_id: int) -> np.ndarray | None:
+    """The sum of what training on every chunk changes: one row of numbers, of the
     same size for any corpus. Rows are added up some at a time, in as many levels
     as it takes."""
     shared = chunks.sparkSession.sparkContext.broadcast(model.learner())
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, z = [], zstandard.ZstdDecompressor()
+        total = None
         for batch in batches:
-            for blob in batch.column(0):
-                raw = z.decompress(blob.as_py())
-                n = struct.unpack_from("<Q", raw)[0]
-                sizes = np.frombuffer(raw, "<u4", n, 8).astype(np.int64)
-                texts += np.split(np.frombuffer(raw, "<u4", -1, 8 + 4 * n).astype(np.int64), np.cumsum(sizes)[:-1]) if n else []
-        change = shared.value.deltas(texts, step)
-        if change is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([change.tobytes()], pa.binary())], ["part", "change"])
+            for blob, pool in zip(batch.column(0), batch.column(1)):
+                ids, sizes = _learnt(blob.as_py(), pool.as_py(), end_id)
+                change = shared.value.deltas(np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else [], step)
+                if change is not None:
+                    total = change.astype("f8") if total is None else total + change
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.astype("f4").tobytes()], pa.binary())], ["part", "change"])
 
     def summed(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("part")
         total = np.sum([np.frombuffer(c.as_py(), "f4") for c in rows["change"]], axis=0, dtype="f8").astype("f4")
         return pa.table({"part": pa.array([rows["part"][0].as_py() // SUMMED], pa.int64()), "change": pa.array([total.tobytes()], pa.binary())})
 
-    changes = materialise(chunks.select("train").mapInArrow(trimmed(learn), "part long, change binary"), "changes")
+    changes = materialise(chunks.select("docs", "ids").mapInArrow(trimmed(learn), "part long, change binary"), "changes")
     shared.destroy()
     while changes.count() > 1:
         before, number = changes, F.expr(f"part div {SUMMED}L")
