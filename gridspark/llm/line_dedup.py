@@ -66,9 +66,17 @@ def sketches(lines: DataFrame) -> DataFrame:
     return least.select("hi", "lo", F.array(*(f"m{j}" for j in range(BANDS * ROWS))).alias("sketch"))
 
 
-def hashes(texts: DataFrame) -> DataFrame:
-    """hi, lo, n and h: one row for each place where a shingle starts."""
-    runs = coded(texts).select("hi", "lo", "n", "units", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+def hashes(texts: DataFrame, distinct: bool = False) -> DataFrame:
+    """hi, lo, n and h: one row for each place where a shingle starts. With
+    ``distinct`` n counts equal shingles once, except in lines with characters of
+    two code units, whose runs of ten units are not runs of ten characters."""
+    own = coded(texts)
+    size = F.col("n")
+    if distinct:
+        each = F.expr(f"size(array_distinct(transform(sequence(1, n), i -> xxhash64(substring(units, 2 * i - 1, {2 * SHINGLE})))))")
+        size = F.when(F.octet_length("units") == 2 * F.length(F.decode("units", "UTF-16BE")), each).otherwise(size)
+    own = own.withColumn("size", size)
+    runs = own.select("hi", "lo", F.col("size").alias("n"), "units", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
     return runs.select("hi", "lo", "n", F.xxhash64(F.expr(f"substring(units, 2 * i - 1, {2 * SHINGLE})")).alias("h"))
 
 
@@ -77,11 +85,12 @@ def bits(words: int) -> list[str]:
 
 
 def bitmaps(texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """vertex, n (shingles, repeats counted) and ``bits``: which of 64 x ``words``
-    values the hashes of the line's shingles take."""
+    """vertex, n (shingles, repeats counted; in bitmaps larger than ``WORDS`` distinct
+    ones) and ``bits``: which of 64 x ``words`` values the hashes of the line's shingles
+    take. A line that repeats itself looks like many others where its repeats count."""
     at_once = next(k for k in range(WORDS, 0, -1) if words % k == 0)  # every shingle is held against so many words
     word, bit, none = F.shiftrightunsigned("h", 6) % words, F.expr("shiftleft(1L, cast(h & 63 AS INT))"), F.lit(0).cast("long")
-    maps = hashes(texts).groupBy("hi", "lo", "n", F.floor(word / at_once).alias("part")).agg(*(F.bit_or(F.when(word % at_once == j, bit).otherwise(none)).alias(f"p{j}") for j in range(at_once)))
+    maps = hashes(texts, words > WORDS).groupBy("hi", "lo", "n", F.floor(word / at_once).alias("part")).agg(*(F.bit_or(F.when(word % at_once == j, bit).otherwise(none)).alias(f"p{j}") for j in range(at_once)))
     if words == at_once:
         maps = maps.withColumnsRenamed({f"p{j}": c for j, c in enumerate(bits(words))})
     else:

@@ -21,3 +21,14 @@ def test_long_lines_below_the_threshold_are_no_candidates(spark):
     assert len(found) < 10  # of 820, of which a bitmap of 1,024 values lets hundreds through
     coarse = nodes.across(rows, line_dedup.bitmaps(texts), line_dedup.alike(80)).count()
     assert coarse > 20 * len(found)
+
+
+def test_repeats_within_a_line_count_once_in_large_bitmaps(spark):
+    once = "the quick brown fox jumps over the lazy dog again"
+    lines = [once, once * 9, "\U0001f600" * 12, "\U0001f600" * 40]
+    texts = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "hi long, lo long, line string")
+    shingles = lambda x: [x[i : i + line_dedup.SHINGLE] for i in range(len(x) - line_dedup.SHINGLE + 1)]
+    n = {r.vertex: r.n for r in line_dedup.bitmaps(texts, line_dedup.FINE).select("vertex", "n").collect()}
+    assert [n[i] for i in (0, 1)] == [len(set(shingles(x))) for x in lines[:2]]
+    assert [n[i] for i in (2, 3)] == [15, 71]  # two code units a character: as counted before
+    assert line_dedup.bitmaps(texts).where("vertex = 1").first().n == len(shingles(lines[1]))
