@@ -14,18 +14,20 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, documents, held_out, materialise, trimmed
+from .common import discard, documents, held_out, materialise, remove, scratch_path, trimmed
 from .shingles import hashed_words
 
 #: The classifier learns from so many labelled rows at most, the first by hash of their id, and from so many bytes of text.
@@ -261,10 +263,36 @@ def best_threshold(p: np.ndarray, labels: np.ndarray) -> float:
     return float((p[k] + below) / 2) if len(p) else THRESHOLD
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic") -> bytes:
-    """The model (``TextCNN.to_bytes``) from the first ``sample`` labelled rows by
+@dataclass(frozen=True)
+class StoredModel:
+    """A model in a file of the shared folder, where the task that trained it put
+    it and every task that scores reads it: its 17 MB never pass the driver, which
+    would hold several copies to collect and to broadcast them."""
+
+    path: str | None  # none: nothing was learned
+    settings: dict
+
+    def open(self) -> TextCNN:
+        if self.path is None:
+            return TextCNN()
+        fs, at = pafs.FileSystem.from_uri(self.path)
+        with fs.open_input_stream(at) as f:
+            return TextCNN.from_bytes(f.read())
+
+
+def train(docs: DataFrame, labels: DataFrame, usable, *args, **kwargs) -> bytes:
+    """The model of ``train_stored`` itself (``TextCNN.to_bytes``)."""
+    found = train_stored(docs, labels, usable, *args, **kwargs)
+    data = found.open().to_bytes()
+    if found.path is not None:
+        remove(docs.sparkSession, found.path)
+    return data
+
+
+def train_stored(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic") -> StoredModel:
+    """The model from the first ``sample`` labelled rows by
     hash of their id, as far as their texts stay within ``sample_bytes``; one task
-    trains it, and only the weights come back. Texts of more than a
+    trains it, and writes the weights to a file. Texts of more than a
     ``LONGEST_PART``-th of ``sample_bytes`` are passed over, those after them are not.
     ``usable`` is the condition on the key for learning from a row. Rows of null
     label are not used; a key with both labels counts as toxic. Repeated rows of
@@ -279,16 +307,17 @@ def train(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE, samp
     first = materialise(first.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("k", "x", "y"), "sample")
     texts = rows.join(F.broadcast(first), ["k", "x"]).groupBy("k", "x").agg(F.first("t").alias("t"), F.min("lang").alias("lang"), F.max("y").alias("y"))
     texts = texts.select(F.xxhash64("k").alias("h"), "x", "t", F.col("lang").cast("string").alias("lang"), F.col("y").cast("long").alias("y"))
-    trained = materialise(texts.coalesce(1).mapInArrow(trimmed(_learned), "model binary"), "model")
+    path = scratch_path(docs.sparkSession, "model")
+    trained = materialise(texts.coalesce(1).mapInArrow(trimmed(lambda batches: _learned(batches, path)), "settings string"), "settings")
     found = trained.first()
     for table in (first, trained):
         discard(table)
-    return bytes(found.model) if found else TextCNN().to_bytes()
+    return StoredModel(path, json.loads(found.settings)) if found else StoredModel(None, TextCNN.settings(TextCNN().to_bytes()))
 
 
-def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The weights learned from all rows (h, x, t, lang, y), in an order that does
-    not depend on how they came; nothing where there are none."""
+def _learned(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Writes what is learned from all rows (h, x, t, lang, y), in an order that does
+    not depend on how they came, and gives the settings; nothing where there are none."""
     batches = [b for b in batches if b.num_rows]
     if batches:
         table = pa.Table.from_batches(batches)
@@ -298,10 +327,16 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
         y = table["y"].to_numpy().astype(np.int64).clip(0, 1)
         model = TextCNN().fit(texts, y, table["lang"].to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([model.to_bytes()], pa.binary())], ["model"])
+        data = model.to_bytes()
+        fs, at = pafs.FileSystem.from_uri(path)
+        own = f"{at}.{uuid.uuid4().hex}"  # a task may run again, or twice at once
+        with fs.open_output_stream(own) as f:
+            f.write(data)
+        fs.move(own, at)
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(TextCNN.settings(data))])], ["settings"])
 
 
-def classify(df: DataFrame, model: bytes, text: str = "text", lang: str = "lang") -> DataFrame:
+def classify(df: DataFrame, model: bytes | StoredModel, text: str = "text", lang: str = "lang") -> DataFrame:
     """All columns of ``df`` and score (of the whole text alone), threshold (of
     the row's language, or of all) and toxic (score at least the threshold).
 
@@ -311,14 +346,17 @@ def classify(df: DataFrame, model: bytes, text: str = "text", lang: str = "lang"
     an output column are replaced.
     """
     df = df.drop("score")
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    own = TextCNN.settings(model)
+    if isinstance(model, StoredModel):
+        own, opened = model.settings, model.open
+    else:
+        shared = df.sparkSession.sparkContext.broadcast(model)
+        own, opened = TextCNN.settings(model), lambda: TextCNN.from_bytes(shared.value)
     limits, limit = own["thresholds"], own["threshold"]
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = TextCNN.from_bytes(shared.value)
+        model = opened()
         for batch in (whole.slice(i, ROWS_AT_ONCE) for whole in batches for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
             scores = model.score(batch.column(at).cast(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
@@ -331,8 +369,8 @@ def classify(df: DataFrame, model: bytes, text: str = "text", lang: str = "lang"
     return out.withColumn("toxic", F.col("score") >= F.col("threshold"))
 
 
-def corpus_model(spark, docs: DataFrame, sf_dir: str) -> bytes:
-    return train(docs, documents(spark, sf_dir, "labels"), lambda key: ~held_out(key, 4, 2))
+def corpus_model(spark, docs: DataFrame, sf_dir: str) -> StoredModel:
+    return train_stored(docs, documents(spark, sf_dir, "labels"), lambda key: ~held_out(key, 4, 2))
 
 
 def op1_toxicity(spark, sf_dir) -> DataFrame:
