@@ -42,6 +42,35 @@ def windows(previous: np.ndarray, lengths: np.ndarray, stride: int = STRIDE) ->
     return first[:, None] + np.minimum(inside, length - 1), scores
 
 
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    """As a product: numpy's own sums over short rows take several times as long."""
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
+def _alike(u: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The distinct values of ``u``; and for each number of places that values have:
+    the places, a row for each such value, and where these values stand among the distinct ones."""
+    order = np.argsort(u.astype(np.uint16) if len(u) and u.max() < 1 << 16 else u, kind="stable")
+    edges = np.flatnonzero(np.append(True, u[order][1:] != u[order][:-1]))
+    sizes = np.diff(np.append(edges, len(u)))
+    by_size = np.argsort(sizes, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(sizes[by_size]) > 0)).tolist()
+    steps, groups = np.arange(len(u)), []
+    for a, b in zip(cuts, [*cuts[1:], len(by_size)]):
+        which = by_size[a:b]
+        groups.append((order[edges[which][:, None] + steps[: sizes[which[0]]]], which))
+    return u[order[edges]], groups
+
+
+def _group_sums(g: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """Sums of the rows of ``g`` over equal values, as ``_alike`` gives them."""
+    total = np.empty((n, g.shape[1]), g.dtype)
+    for places, which in groups:
+        rows = g.take(places, axis=0)
+        total[which] = rows[:, 0] if places.shape[1] == 1 else np.add.reduce(rows, axis=1)
+    return total
+
+
 class AttentionLM:
     """Learns from texts given as arrays of ids that end in ``end_id``: first the
     tables, from counts of the whole corpus, then the weights, from texts that may
@@ -175,14 +204,12 @@ class AttentionLM:
         self.start = np.log((follow + seen * rate) / (follow.sum(axis=1, keepdims=True) + seen)).astype("f4")
 
     def _attend(self, x: np.ndarray) -> tuple:
-        q, k, v = self.query[x], self.key[x], self.value[x]
+        q, k, v = (np.take(p, x, axis=0) for p in (self.query, self.key, self.value))
         s = q @ k.transpose(0, 2, 1)
         s += self._bias()
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        c = s @ v
-        return q, k, v, s, c
+        np.exp(np.minimum(s, 60, out=s), out=s)
+        s *= (1 / _row_sums(s.reshape(-1, WINDOW))).reshape(*x.shape, 1)
+        return q, k, v, s, s @ v
 
     def _bias(self) -> np.ndarray:
         gap = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
@@ -205,22 +232,26 @@ class AttentionLM:
             q, k, v, a, c = self._attend(u.reshape(-1, WINDOW))
             flat = c.reshape(-1, VALUE)
             p = flat @ self.out
-            p += self.start[u]
+            p += np.take(self.start, u, axis=0)
             np.exp(np.minimum(p, 60, out=p), out=p)
-            p *= (weight / p.sum(axis=1))[:, None]
+            p *= (weight / _row_sums(p))[:, None]
             p[np.arange(len(u)), goal[place]] -= weight
-            dc = (p @ self.out.T).reshape(c.shape)
-            da = dc @ v.transpose(0, 2, 1)
-            ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+            d = p @ self.out.T
+            dc = d.reshape(c.shape)
+            ds = dc @ v.transpose(0, 2, 1)
+            ds -= np.einsum("ij,ij->i", d, flat).reshape(*ds.shape[:2], 1)  # as c is the mean of v by a
+            ds *= a
             self._move("out", flat.T @ p, sums, rate)
             self._move("distance", np.bincount(gap, weights=ds.sum(axis=0).ravel(), minlength=WINDOW).astype("f4"), sums, rate)
-            order_of = np.argsort(u, kind="stable")
-            edges = np.flatnonzero(np.append(True, u[order_of][1:] != u[order_of][:-1]))
-            own = u[order_of[edges]]
-            met[own] += np.diff(np.append(edges, len(u)))
-            for name, g in (("query", ds @ k), ("key", ds.transpose(0, 2, 1) @ q), ("value", a.transpose(0, 2, 1) @ dc), ("start", p)):
-                total = np.add.reduceat(g.reshape(len(u), -1)[order_of], edges, axis=0)
-                self._move(name, total, sums, rate, own)
+            own, groups = _alike(u)
+            for rows_of, at_own in groups:
+                met[own[at_own]] += rows_of.shape[1]
+            every = np.concatenate([g.reshape(len(u), -1) for g in (ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc, p)], axis=1)
+            total, at_column = _group_sums(every, groups, len(own)), 0
+            for name in PER_SYMBOL:
+                width = getattr(self, name).shape[1]
+                self._move(name, total[:, at_column : at_column + width], sums, rate, own)
+                at_column += width
         return len(at), met
 
     def _move(self, name: str, g: np.ndarray, sums: dict, rate: float, rows=slice(None)) -> None:
@@ -240,20 +271,25 @@ class AttentionLM:
         total = (self.pair[before, x] + self.log_share[ids]).astype("f8")
         at, scores = windows(before, lengths)
         goal = self.of_class[x]
-        bias = self._bias()
-        for i in range(0, len(at), WINDOWS_AT_ONCE):
-            place, live = at[i : i + WINDOWS_AT_ONCE], scores[i : i + WINDOWS_AT_ONCE]
-            u = before[place]
-            s = self.query[u] @ self.key[u].transpose(0, 2, 1)
-            s += bias
-            np.exp(np.minimum(s, 60, out=s), out=s)
-            c = s @ self.value[u]
-            c /= s.sum(axis=2, keepdims=True)
-            b, j = np.nonzero(live)
-            own = place[b, j]
-            z = self.start[u[b, j]]
-            z += c[b, j] @ self.out
-            picked = z[np.arange(len(own)), goal[own]]
-            np.exp(np.minimum(z, 60, out=z), out=z)
-            total[own] += (picked - np.log(z.sum(axis=1))) / np.log(10)
+        first = scores[:, 0]
+        # All but a text's first window score their last places only: the others are looked back at, and look back at nothing.
+        for some, skip in ((np.flatnonzero(first), 0), (np.flatnonzero(~first), WINDOW - STRIDE)):
+            bias = self._bias()[skip:]
+            for i in range(0, len(some), WINDOWS_AT_ONCE):
+                place = at[some[i : i + WINDOWS_AT_ONCE]]
+                u = before[place]
+                live = np.flatnonzero(scores[some[i : i + WINDOWS_AT_ONCE], skip:])
+                own = place[:, skip:].ravel()
+                s = np.take(self.query, u[:, skip:], axis=0) @ np.take(self.key, u, axis=0).transpose(0, 2, 1)
+                s += bias
+                np.exp(np.minimum(s, 60, out=s), out=s)
+                c = (s @ np.take(self.value, u, axis=0)).reshape(-1, VALUE)
+                c *= (1 / _row_sums(s.reshape(-1, WINDOW)))[:, None]
+                if len(live) < len(own):
+                    own, c = own[live], c[live]
+                z = c @ self.out
+                z += np.take(self.start, before[own], axis=0)
+                picked = z[np.arange(len(own)), goal[own]]
+                np.exp(np.minimum(z, 60, out=z), out=z)
+                total[own] += (picked - np.log(_row_sums(z))) / np.log(10)
         return total

@@ -83,7 +83,11 @@ def packed(docs: DataFrame, tokenizer: str, pack_bytes: int) -> DataFrame:
             train = np.repeat(~np.array(hs, bool), np.diff(texts.edges))
             n = np.bincount(texts.word[train], minlength=len(texts.first)).astype("<u4")
             words = texts.distinct()
-            ids = tokens.words([w.decode("utf-8", "replace") for w in words])
+            # The frequent ones first: the tokenizer remembers them for the chunks that follow.
+            order = np.argsort(-np.bincount(texts.word, minlength=len(words)), kind="stable").tolist()
+            ids: list[bytes] = [b""] * len(words)
+            for i, found in zip(order, tokens.words([words[i].decode("utf-8", "replace") for i in order])):
+                ids[i] = found
             width = np.dtype(tokens.dtype).itemsize
             lengths = np.array([len(i) // width for i in ids], "<u4")
             pool = np.frombuffer(b"".join(ids), tokens.dtype)

@@ -79,15 +79,17 @@ class WordTokenizer:
         return out
 
     def words(self, words: list[str]) -> list[bytes]:
-        """The ids of words without white space in them, each as bytes of ``dtype``."""
+        """The ids of words without white space in them, each as bytes of ``dtype``.
+        Of new words the first are kept, as many as there is room for."""
         if not self.piecewise:
             return [self._whole(w) for w in words]
         fresh = [w for w in words if w not in self.known]
         self._learn(fresh)
         out = [self.known[w] for w in words]
-        if len(self.known) > self.capacity:
-            for w in fresh:
-                del self.known[w]
+        over = len(self.known) - self.capacity
+        if over > 0:
+            for w in fresh[-over:]:
+                self.known.pop(w, None)  # two words of bad bytes may read alike
         return out
 
     def _learn(self, fresh: list[str]) -> None:
